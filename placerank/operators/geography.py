@@ -240,6 +240,15 @@ def _level_cells(lat: Column, lon: Column) -> Column:
     return F.array(*cells)
 
 
+def _on_level(number: int, cells: Column) -> Column:
+    return F.transform(
+        cells,
+        lambda c: F.struct(
+            F.lit(number).alias("level"), c["band"].alias("band"), c["col"].alias("col")
+        ),
+    )
+
+
 def _search_cells(level: Column, lat: Column, lon: Column) -> Column:
     """Cells to search once a place is known to share the point's cell on ``level``.
 
@@ -254,12 +263,7 @@ def _search_cells(level: Column, lat: Column, lon: Column) -> Column:
         top = F.least(F.abs(lat) + reach, F.lit(90.0))
         cos_top = F.cos(F.radians(top))
         dlon = F.when(cos_top > reach / 180.0, reach / cos_top).otherwise(F.lit(180.0))
-        cells = F.transform(
-            Grid(step).touching(lat, lon, F.lit(reach), dlon),
-            lambda c, n=number: F.struct(
-                F.lit(n).alias("level"), c["band"].alias("band"), c["col"].alias("col")
-            ),
-        )
+        cells = _on_level(number, Grid(step).touching(lat, lon, F.lit(reach), dlon))
         choice = F.when(level == number, cells).otherwise(choice)
     return choice
 
