@@ -4,6 +4,8 @@ from checks import (  # noqa: F401
     cleaning_queries,
     geography_queries,
     score_queries,
+    retrieval_queries,
+    browse_queries,
 )
 from checks.registry import ORACLES, QUERIES
 

@@ -11,6 +11,7 @@ from placerank.constants import ENV_COLUMNS, RATING_COLUMNS, SCORE_COLUMNS, TEMP
 from placerank.operators import geography, ranking, scoring
 from placerank.operators.ranking import Preferences
 from placerank.plans.offline import integrate, score
+from placerank.sources.scratch import written
 
 # --- SQL steps -----------------------------------------------------------------
 _CATEGORIES = " + ".join(RATING_COLUMNS.values())
@@ -48,11 +49,11 @@ SCORE_VIEWS = ["listings", "pois", "cities"]
 
 
 def scored(spark, folder):
-    return score(
-        integrate(
-            view(spark, folder, "listings"), view(spark, folder, "cities"), view(spark, folder, "pois")
-        )
+    """Scoring reads the integrated listings from a written table, as the offline build does."""
+    joined = integrate(
+        view(spark, folder, "listings"), view(spark, folder, "cities"), view(spark, folder, "pois")
     )
+    return score(written(joined, "integrated"))
 
 
 # --- scores ------------------------------------------------------------------------

@@ -7,8 +7,6 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placerank.constants import EARTH_RADIUS_M
-
 
 def present(df: DataFrame, names: Iterable[str]) -> list[str]:
     """The names that are columns of ``df``, in the order given."""
@@ -26,17 +24,6 @@ def safe_divide(numerator: Column, denominator: Column, default: float = 0.0) ->
     return F.coalesce(F.try_divide(numerator, denominator), F.lit(float(default)))
 
 
-def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in metres."""
-    half_lat = F.sin(F.radians(lat2 - lat1) / 2)
-    half_lon = F.sin(F.radians(lon2 - lon1) / 2)
-    chord = half_lat * half_lat + (
-        F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    )
-    # Rounding can push the chord of antipodal points just above 1.
-    return 2 * EARTH_RADIUS_M * F.asin(F.least(F.sqrt(chord), F.lit(1.0)))
-
-
 def cosine_from_l2(distance: Column) -> Column:
     """Cosine similarity of two unit vectors from their Euclidean distance."""
     return 1 - distance * distance / 2

@@ -1,66 +1,64 @@
-"""An equal-width grid on the sphere, as column expressions.
+"""An equal-width grid on the sphere, as SQL expressions.
 
 Latitude is cut in bands of ``step`` degrees.  Each band is cut in a whole
 number of columns that are about as wide, in metres, as the band is high.  All
 cell numbers are monotone in the coordinate they come from, so a point inside a
 closed box always lies in one of the cells ``touching`` reports for that box.
+
+The expressions are text because they are long: one parsed expression is built
+much faster than hundreds of ``Column`` calls.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str, earth_radius_m: float) -> str:
+    """Great-circle distance in metres."""
+    return (
+        f"2 * {earth_radius_m}D * asin(least(1D, sqrt("
+        f"power(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2}))"
+        f" * power(sin(radians({lon2} - {lon1}) / 2), 2))))"
+    )
 
 
 @dataclass(frozen=True)
 class Grid:
     step: float
 
-    def band(self, lat: Column) -> Column:
-        return F.floor((lat + 90.0) / self.step)
+    def band(self, lat: str) -> str:
+        return f"floor(({lat} + 90D) / {self.step!r}D)"
 
-    def band_columns(self, band: Column) -> Column:
+    def band_columns(self, band: str) -> str:
         """Number of columns in a band; its edge nearest the pole decides."""
-        low = band * self.step - 90.0
-        edge = F.least(F.greatest(F.abs(low), F.abs(low + self.step)), F.lit(90.0))
-        return F.greatest(
-            F.floor(360.0 * F.cos(F.radians(edge)) / self.step), F.lit(1)
-        )
-
-    def _raw_column(self, lon: Column, columns: Column) -> Column:
-        return F.floor((lon + 180.0) / 360.0 * columns)
+        low = f"({band} * {self.step!r}D - 90D)"
+        edge = f"least(greatest(abs({low}), abs({low} + {self.step!r}D)), 90D)"
+        return f"greatest(floor(360D * cos(radians({edge})) / {self.step!r}D), 1L)"
 
-    def cell(self, lat: Column, lon: Column) -> Column:
-        """The one cell a point lies in, as ``struct(band, col)``."""
+    def cell(self, lat: str, lon: str) -> str:
+        """The one cell a point lies in, as ``struct<band, col>``."""
         band = self.band(lat)
         columns = self.band_columns(band)
-        return F.struct(
-            band.alias("band"),
-            F.pmod(self._raw_column(lon, columns), columns).alias("col"),
+        return (
+            f"named_struct('band', {band}, 'col', "
+            f"pmod(floor(({lon} + 180D) / 360D * {columns}), {columns}))"
         )
 
-    def touching(self, lat: Column, lon: Column, dlat: Column, dlon: Column) -> Column:
-        """Array of all cells that the box ``lat±dlat, lon±dlon`` touches."""
+    def touching(self, lat: str, lon: str, dlat: str, dlon: str) -> str:
+        """Array of all cells that the box ``lat±dlat, lon±dlon`` touches.
+
+        A box wider than a band names each of its columns once.
+        """
         top = int(180.0 / self.step) + 1
-        bands = F.sequence(
-            F.greatest(self.band(lat - dlat), F.lit(0)),
-            F.least(self.band(lat + dlat), F.lit(top)),
+        bands = (
+            f"transform(sequence(greatest({self.band(f'{lat} - {dlat}')}, 0L), "
+            f"least({self.band(f'{lat} + {dlat}')}, {top}L)), "
+            f"b -> named_struct('b', b, 'n', {self.band_columns('b')}))"
+        )
+        first = f"floor(({lon} - {dlon} + 180D) / 360D * x.n)"
+        last = f"least(floor(({lon} + {dlon} + 180D) / 360D * x.n), {first} + x.n - 1)"
+        return (
+            f"flatten(transform({bands}, x -> transform(sequence({first}, {last}), "
+            f"c -> named_struct('band', x.b, 'col', pmod(c, x.n)))))"
         )
-
-        def cells_of(band: Column) -> Column:
-            columns = self.band_columns(band)
-            first = self._raw_column(lon - dlon, columns)
-            # A box wider than the band must not name a column twice.
-            last = F.least(
-                self._raw_column(lon + dlon, columns), first + columns - 1
-            )
-            return F.transform(
-                F.sequence(first, last),
-                lambda c: F.struct(
-                    band.alias("band"), F.pmod(c, columns).alias("col")
-                ),
-            )
-
-        return F.flatten(F.transform(bands, cells_of))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,13 +18,13 @@ from placerank.constants import (
     RADIUS_M,
     SAMPLE_STEP,
 )
-from placerank.functions.expressions import column_safe, haversine_m
-from placerank.functions.grid import Grid
+from placerank.functions.expressions import column_safe
+from placerank.functions.grid import Grid, haversine_sql
 
 # Cells of the radius join are about as large as the radius; each is cut in
 # REFINE x REFINE tiles whose totals stand in for their points.
 _STEP = 0.01
-_REFINE = 8
+_REFINE = 16
 _SLACK = 1e-9
 
 
@@ -44,67 +45,71 @@ def clean_poi_groups(pois: DataFrame) -> DataFrame:
 
 def _points(pois: DataFrame, groups: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """One row per coordinate with a count per group: copies of a point collapse here."""
-    coarse = Grid(_STEP)
-    fine = Grid(_STEP / _REFINE)
-    counts = [F.count_if(F.col("poi_group") == g).alias(column_safe(g)) for g in groups]
+    counts = [f"count_if(poi_group = '{g}') as `{column_safe(g)}`" for g in groups]
     return (
         clean_poi_groups(pois)
         .where(F.col("poi_group").isin(list(groups)))
         .groupBy(*keys, "p_lat", "p_lon")
-        .agg(*counts)
-        .withColumn("cell", coarse.cell(F.col("p_lat"), F.col("p_lon")))
-        .withColumn("tile", fine.cell(F.col("p_lat"), F.col("p_lon")))
+        .agg(*map(F.expr, counts))
+        .selectExpr(
+            "*",
+            f"{Grid(_STEP).cell('p_lat', 'p_lon')} as cell",
+            f"{Grid(_STEP / _REFINE).cell('p_lat', 'p_lon')} as tile",
+        )
     )
 
 
 def _tiles(points: DataFrame, groups: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Totals and true bounds of the points of each tile within a cell."""
-    totals = [F.sum(column_safe(g)).alias(column_safe(g)) for g in groups]
-    return points.groupBy(*keys, "cell", "tile").agg(
-        F.min("p_lat").alias("lat_lo"),
-        F.max("p_lat").alias("lat_hi"),
-        F.min("p_lon").alias("lon_lo"),
-        F.max("p_lon").alias("lon_hi"),
-        *totals,
-    )
+    totals = [f"sum(`{column_safe(g)}`) as `{column_safe(g)}`" for g in groups]
+    bounds = [
+        f"{how}(p_{axis}) as {axis}_{end}"
+        for axis in ("lat", "lon")
+        for how, end in (("min", "lo"), ("max", "hi"))
+    ]
+    return points.groupBy(*keys, "cell", "tile").agg(*map(F.expr, [*bounds, *totals]))
 
 
-def _chord(dlat: Column, dlon: Column, cos_lat: Column, cos_other: Column) -> Column:
-    half_lat, half_lon = F.sin(F.radians(dlat) / 2), F.sin(F.radians(dlon) / 2)
-    return half_lat * half_lat + cos_lat * cos_other * half_lon * half_lon
+def _chord(dlat: str, dlon: str, cos_other: str) -> str:
+    return (
+        f"(power(sin(radians({dlat}) / 2), 2)"
+        f" + cos(radians(lat)) * {cos_other} * power(sin(radians({dlon}) / 2), 2))"
+    )
 
 
-def _placement(lat: Column, lon: Column, dlat: Column, dlon: Column, radius_m: float) -> Column:
+def _placement(radius_m: float) -> str:
     """``inside``, ``outside`` or ``edge``: a tile's bounds against box and circle.
 
-    Both verdicts are conservative by a relative 1e-9; ``edge`` tiles are
-    settled point by point.
+    A tile of one coordinate is settled by the exact tests.  For others both
+    verdicts are conservative by a relative 1e-9, and ``edge`` tiles are settled
+    point by point.
     """
-    lat_lo, lat_hi = F.col("lat_lo"), F.col("lat_hi")
-    lon_lo, lon_hi = F.col("lon_lo"), F.col("lon_hi")
-    zero = F.lit(0.0)
-    far_lat = F.greatest(F.abs(lat_lo - lat), F.abs(lat_hi - lat))
-    far_lon = F.greatest(F.abs(lon_lo - lon), F.abs(lon_hi - lon))
-    near_lat = F.greatest(zero, lat_lo - lat, lat - lat_hi)
-    near_lon = F.greatest(zero, lon_lo - lon, lon - lon_hi)
-    furthest_pole = F.greatest(F.abs(lat_lo), F.abs(lat_hi))
-    nearest_equator = F.greatest(zero, lat_lo, -lat_hi)
-    cos_lat = F.cos(F.radians(lat))
-    most = _chord(far_lat, far_lon, cos_lat, F.cos(F.radians(nearest_equator)))
-    least = _chord(near_lat, near_lon, cos_lat, F.cos(F.radians(furthest_pole)))
-    limit = F.pow(F.sin(F.lit(radius_m / (2 * EARTH_RADIUS_M))), 2)
-    boxed = (
-        (lat_lo >= lat - dlat) & (lat_hi <= lat + dlat)
-        & (lon_lo >= lon - dlon) & (lon_hi <= lon + dlon)
+    limit = math.sin(radius_m / (2 * EARTH_RADIUS_M)) ** 2
+    most = _chord(
+        "greatest(abs(lat_lo - lat), abs(lat_hi - lat))",
+        "greatest(abs(lon_lo - lon), abs(lon_hi - lon))",
+        "cos(radians(greatest(0D, lat_lo, -lat_hi)))",
     )
+    least = _chord(
+        "greatest(0D, lat_lo - lat, lat - lat_hi)",
+        "greatest(0D, lon_lo - lon, lon - lon_hi)",
+        "cos(radians(greatest(abs(lat_lo), abs(lat_hi))))",
+    )
+    exact = haversine_sql("lat", "lon", "lat_lo", "lon_lo", EARTH_RADIUS_M)
     missed = (
-        (lat_hi < lat - dlat) | (lat_lo > lat + dlat)
-        | (lon_hi < lon - dlon) | (lon_lo > lon + dlon)
+        "lat_hi < lat - dlat or lat_lo > lat + dlat or lon_hi < lon - dlon or lon_lo > lon + dlon"
+    )
+    boxed = (
+        "lat_lo >= lat - dlat and lat_hi <= lat + dlat"
+        " and lon_lo >= lon - dlon and lon_hi <= lon + dlon"
     )
     return (
-        F.when(missed | (least > limit * (1 + _SLACK)), F.lit("outside"))
-        .when(boxed & (most <= limit * (1 - _SLACK)), F.lit("inside"))
-        .otherwise(F.lit("edge"))
+        f"case when {missed} then 'outside'"
+        f" when lat_lo = lat_hi and lon_lo = lon_hi"
+        f" then if({exact} <= {radius_m}D, 'inside', 'outside')"
+        f" when {least} > {limit * (1 + _SLACK)!r}D then 'outside'"
+        f" when {boxed} and {most} <= {limit * (1 - _SLACK)!r}D then 'inside'"
+        f" else 'edge' end"
     )
 
 
@@ -129,36 +134,37 @@ def count_nearby(
     names = [column_safe(g) for g in groups]
     place = ["addr_cc", "lat", "lon"]
 
-    lat, lon = F.col("lat"), F.col("lon")
-    dlat = F.lit(radius_m / METRES_PER_DEGREE)
-    dlon = radius_m / (METRES_PER_DEGREE * F.cos(F.radians(lat)))
     places = (
-        listings.select(
-            "addr_cc", F.col("lat").cast("double").alias("lat"),
-            F.col("long").cast("double").alias("lon"),
-        )
+        listings.selectExpr("addr_cc", "cast(lat as double) as lat", "cast(long as double) as lon")
         .dropna(subset=["lat", "lon", *keys])
         .distinct()
+        .selectExpr(
+            "*",
+            f"{radius_m / METRES_PER_DEGREE!r}D as dlat",
+            f"{radius_m}D / ({METRES_PER_DEGREE}D * cos(radians(lat))) as dlon",
+        )
+        .selectExpr("*", f"explode({Grid(_STEP).touching('lat', 'lon', 'dlat', 'dlon')}) as cell")
     )
-    met = (
-        places.withColumn("cell", F.explode(Grid(_STEP).touching(lat, lon, dlat, dlon)))
-        .join(tiles, [*keys, "cell"])
-        .withColumn("placement", _placement(lat, lon, dlat, dlon, radius_m))
+    placement = _placement(radius_m)
+    inside = (
+        places.join(tiles, [*keys, "cell"])
+        .where(f"{placement} = 'inside'")
+        .select(*place, *names)
     )
-    inside = met.where("placement = 'inside'").select(*place, *names)
-    # A tile can cross a cell's border, so the edge join names the cell too.
+    # Tiles of one coordinate are never on the edge, so where points are sparse
+    # this side is all but empty.  A tile can cross a cell's border, so the join
+    # with the points names the cell too.
     edge = (
-        met.where("placement = 'edge'")
-        .select(*place, "cell", "tile")
+        places.join(tiles.where("lat_lo < lat_hi or lon_lo < lon_hi"), [*keys, "cell"])
+        .where(f"{placement} = 'edge'")
+        .select(*place, "dlat", "dlon", "cell", "tile")
         .join(points, [*keys, "cell", "tile"])
-        .where(F.col("p_lat").between(lat - dlat, lat + dlat))
-        .where(F.col("p_lon").between(lon - dlon, lon + dlon))
-        .where(haversine_m(lat, lon, F.col("p_lat"), F.col("p_lon")) <= radius_m)
+        .where("p_lat between lat - dlat and lat + dlat and p_lon between lon - dlon and lon + dlon")
+        .where(f"{haversine_sql('lat', 'lon', 'p_lat', 'p_lon', EARTH_RADIUS_M)} <= {radius_m}D")
         .select(*place, *names)
     )
-    totals = [F.sum(n).cast("int").alias(f"env_{n}") for n in names]
-    # Each side is summed before they meet, so pairs never leave their stage.
-    return inside.unionByName(edge).groupBy(*place).agg(*totals)
+    totals = [f"cast(sum(`{n}`) as int) as `env_{n}`" for n in names]
+    return inside.unionByName(edge).groupBy(*place).agg(*map(F.expr, totals))
 
 
 def count_nearby_long(
@@ -228,44 +234,34 @@ def join_cities(listings: DataFrame, cities: DataFrame) -> DataFrame:
 _LEVELS = [0.25, 1.0, 4.0, 16.0, 64.0, 360.0]
 
 
-def _level_cells(lat: Column, lon: Column) -> Column:
-    """The cell of a point on each level, as an array of (level, band, col)."""
-    cells = []
-    for level, step in enumerate(_LEVELS):
-        cell = Grid(step).cell(lat, lon)
-        cells.append(
-            F.struct(F.lit(level).alias("level"), cell["band"].alias("band"),
-                     cell["col"].alias("col"))
-        )
-    return F.array(*cells)
-
-
-def _on_level(number: int, cells: Column) -> Column:
-    return F.transform(
-        cells,
-        lambda c: F.struct(
-            F.lit(number).alias("level"), c["band"].alias("band"), c["col"].alias("col")
-        ),
-    )
+def _level_cells(lat: str, lon: str) -> str:
+    """The cell of a point on each level, as an array of (level, cell)."""
+    cells = [
+        f"named_struct('level', {level}, 'cell', {Grid(step).cell(lat, lon)})"
+        for level, step in enumerate(_LEVELS)
+    ]
+    return f"array({', '.join(cells)})"
 
 
-def _search_cells(level: Column, lat: Column, lon: Column) -> Column:
+def _search_cells(lat: str, lon: str) -> str:
     """Cells to search once a place is known to share the point's cell on ``level``.
 
     A cell's diagonal bounds the distance to that place, so every nearer place
-    is in the box with that reach on all sides.
+    is in the box with that reach on all sides.  Columns are at most about twice
+    as wide as bands are high, except where one column is a whole polar band;
+    a reach of three steps covers both.
     """
-    choice = F.array().cast("array<struct<level:int,band:bigint,col:bigint>>")
-    for number, step in enumerate(_LEVELS):
-        # Columns are at most twice as wide as bands are high, except where one
-        # column is the whole band; the reach below covers both, in degrees.
+    branches = []
+    for level, step in enumerate(_LEVELS):
         reach = min(3.0 * step, 180.0)
-        top = F.least(F.abs(lat) + reach, F.lit(90.0))
-        cos_top = F.cos(F.radians(top))
-        dlon = F.when(cos_top > reach / 180.0, reach / cos_top).otherwise(F.lit(180.0))
-        cells = _on_level(number, Grid(step).touching(lat, lon, F.lit(reach), dlon))
-        choice = F.when(level == number, cells).otherwise(choice)
-    return choice
+        top = f"cos(radians(least(abs({lat}) + {reach}D, 90D)))"
+        dlon = f"if({top} > {reach / 180.0!r}D, {reach}D / {top}, 180D)"
+        cells = Grid(step).touching(lat, lon, f"{reach}D", dlon)
+        branches.append(
+            f"when {level} then transform({cells}, "
+            f"q -> named_struct('level', {level}, 'cell', q))"
+        )
+    return f"case level {' '.join(branches)} end"
 
 
 def nearest_place(df: DataFrame, gazetteer: DataFrame, lat: str = "lat", lon: str = "long") -> DataFrame:
@@ -277,41 +273,36 @@ def nearest_place(df: DataFrame, gazetteer: DataFrame, lat: str = "lat", lon: st
     coordinates get nulls.
     """
     names = ["name", "cc", "admin1", "admin2"]
-    places = gazetteer.select(
-        F.col("lat").cast("double").alias("g_lat"), F.col("lon").cast("double").alias("g_lon"),
-        *names,
-    ).dropna(subset=["g_lat", "g_lon"])
-    placed = places.withColumn("cell", F.explode(_level_cells(F.col("g_lat"), F.col("g_lon"))))
-    occupied = placed.select("cell").distinct()
-
-    at_lat, at_lon = F.col("at_lat"), F.col("at_lon")
+    placed = (
+        gazetteer.selectExpr("cast(lat as double) as g_lat", "cast(lon as double) as g_lon", *names)
+        .dropna(subset=["g_lat", "g_lon"])
+        .selectExpr("*", f"explode({_level_cells('g_lat', 'g_lon')}) as at")
+    )
     spots = (
-        df.select(F.col(lat).try_cast("double").alias("at_lat"),
-                  F.col(lon).try_cast("double").alias("at_lon"))
-        .where(at_lat.between(-90, 90) & at_lon.between(-180, 180))
+        df.selectExpr(f"try_cast(`{lat}` as double) as near_lat", f"try_cast(`{lon}` as double) as near_lon")
+        .where("near_lat between -90 and 90 and near_lon between -180 and 180")
         .distinct()
     )
     level = (
-        spots.withColumn("cell", F.explode(_level_cells(at_lat, at_lon)))
-        .join(occupied, "cell", "left_semi")
-        .groupBy("at_lat", "at_lon")
-        .agg(F.min("cell.level").alias("level"))
+        spots.selectExpr("*", f"explode({_level_cells('near_lat', 'near_lon')}) as at")
+        .join(placed.select("at").distinct(), "at", "left_semi")
+        .groupBy("near_lat", "near_lon")
+        .agg(F.min("at.level").alias("level"))
     )
-    distance = haversine_m(at_lat, at_lon, F.col("g_lat"), F.col("g_lon"))
+    distance = haversine_sql("near_lat", "near_lon", "g_lat", "g_lon", EARTH_RADIUS_M)
+    order = f"struct(round({distance}, 3) as metres, {', '.join(names)})"
     nearest = (
-        level.withColumn("cell", F.explode(_search_cells(F.col("level"), at_lat, at_lon)))
-        .join(placed, "cell")
-        .groupBy("at_lat", "at_lon")
-        .agg(F.min_by(F.struct(*names), F.struct(F.round(distance, 3), *names)).alias("place"))
-        .select(
-            F.col("at_lat").alias("near_lat"), F.col("at_lon").alias("near_lon"),
-            F.col("place.name").alias("addr_name"), F.col("place.cc").alias("addr_cc"),
-            F.col("place.admin1").alias("addr_admin1"), F.col("place.admin2").alias("addr_admin2"),
+        level.selectExpr("*", f"explode({_search_cells('near_lat', 'near_lon')}) as at")
+        .join(placed, "at")
+        .groupBy("near_lat", "near_lon")
+        .agg(F.expr(f"min({order})").alias("place"))
+        .selectExpr(
+            "near_lat", "near_lon", "place.name as addr_name", "place.cc as addr_cc",
+            "place.admin1 as addr_admin1", "place.admin2 as addr_admin2",
         )
     )
-    same = (
-        (F.col(lat).try_cast("double") == F.col("near_lat"))
-        & (F.col(lon).try_cast("double") == F.col("near_lon"))
+    same = F.expr(
+        f"try_cast(`{lat}` as double) = near_lat and try_cast(`{lon}` as double) = near_lon"
     )
     return df.join(nearest, same, "left").drop("near_lat", "near_lon")
 

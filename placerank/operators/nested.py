@@ -188,7 +188,7 @@ def extract_listing_features(df: DataFrame) -> DataFrame:
 
 
 def _temperature(month: int) -> Column:
-    return F.col("temperatures").getItem(str(month)).getField("avg")
+    return F.col("temperatures")[str(month)]["avg"]
 
 
 def monthly_temperatures(df: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from placerank.sources.scratch import written
 def budget_rank(level: Column) -> Column:
     """1, 2 or 3 for a known budget level, else null."""
     pairs = [F.lit(v) for pair in BUDGET_RANKS.items() for v in pair]
-    return F.create_map(*pairs).getItem(level)
+    return F.try_element_at(F.create_map(*pairs), level)
 
 
 def _price_per_guest(null_ppg: bool) -> Column:

@@ -21,6 +21,7 @@ from placerank.constants import (
 )
 from placerank.operators import cleaning, embedding, geography, nested, pricing, scoring
 from placerank.operators.neighbours import attach_candidates, every_country, nearest_neighbours
+from placerank.sources.scratch import written
 from placerank.sources.tables import read_table, write_by_country, write_neighbours
 
 RANKING_COLUMNS = [
@@ -38,7 +39,8 @@ def clean_listings(
     """Raw listings to the final listing columns.
 
     Means for imputation are taken before the price cap, as the cap only applies
-    to imputed prices.
+    to imputed prices.  The parsed and priced rows are written once: the means
+    and the rows they complete are both read from there.
     """
     typed = cleaning.cast_types(cleaning.select_raw_columns(raw))
     parsed = (
@@ -55,7 +57,7 @@ def clean_listings(
         .transform(pricing.prices_to_usd)
     )
     return (
-        pricing.impute(priced)
+        pricing.impute(written(priced, "priced"))
         .transform(cleaning.fill_description)
         .transform(cleaning.cap_price, max_price)
         .transform(cleaning.add_logs)
