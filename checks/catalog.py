@@ -6,6 +6,7 @@ from checks import (  # noqa: F401
     score_queries,
     retrieval_queries,
     browse_queries,
+    suite_queries,
 )
 from checks.registry import ORACLES, QUERIES
 

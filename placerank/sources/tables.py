@@ -135,10 +135,14 @@ def clean_picker_sample(df: DataFrame, codes: Iterable[str] = tuple(EUROPE_CODES
     )
 
 
-def read_picker_sample(spark: SparkSession, path: str) -> DataFrame:
-    """The sample file is one JSON array; every field is read as text."""
+def read_picker_sample(spark: SparkSession, path: str, one_array: bool = False) -> DataFrame:
+    """The stored sample, every field read as text first.
+
+    A sample written here is one record per line; ``one_array`` reads a file that
+    is a single JSON array instead, which only suits a small sample.
+    """
     fields = T.StructType([T.StructField(c, T.StringType()) for c in PICKER_COLUMNS])
-    return clean_picker_sample(spark.read.schema(fields).json(path, multiLine=True))
+    return clean_picker_sample(spark.read.schema(fields).json(path, multiLine=one_array))
 
 
 def write_picker_sample(df: DataFrame, path: str) -> None:
