@@ -20,6 +20,7 @@ from placerank.operators.ranking import Preferences
 from placerank.plans.offline import precompute_neighbours
 from placerank.plans.online import recommend
 from placerank.sources.scratch import written
+from placerank.sources.tables import spread_single_file
 
 _DISTANCE = "round(list_distance(s.features_norm, c.features_norm), 6)"
 _SAMPLE = "SELECT * FROM vectors ORDER BY md5('7|' || property_id), CAST(property_id AS STRING) LIMIT 500"
@@ -135,12 +136,16 @@ FROM counted GROUP BY term""",
 }
 
 
+def _texts(spark, folder):
+    return spread_single_file(view(spark, folder, "text_listings"))
+
+
 @query(
     "word_weights", ["text_listings"], "SELECT term, round(idf, 6) AS idf FROM weights",
     {k: TEXT_STEPS[k] for k in ("tokens", "counted", "weights")},
 )
 def word_weights(spark, folder):
-    listings = view(spark, folder, "text_listings")
+    listings = _texts(spark, folder)
     counted = embedding.words(listings)
     n = listings.agg(F.count("*")).scalar()
     return rounded(embedding.word_weights(counted, n), "idf")
@@ -152,7 +157,7 @@ def word_weights(spark, folder):
     {k: TEXT_STEPS[k] for k in ("tokens", "counted", "weights", "weighted")},
 )
 def tfidf(spark, folder):
-    weighted = embedding.tf_idf(view(spark, folder, "text_listings"))
+    weighted = embedding.tf_idf(_texts(spark, folder))
     return rounded(weighted.select("property_id", "term", "tf", "weight"), "weight")
 
 
@@ -178,7 +183,7 @@ QUALIFY row_number() OVER (PARTITION BY src_property_id, target_cc ORDER BY l2_d
     },
 )
 def text_knn(spark, folder):
-    listings = view(spark, folder, "text_listings")
+    listings = _texts(spark, folder)
     vectors = written(embedding.word_vectors(embedding.tf_idf(listings)), "vectors")
     asked = browsing.sample_listings(listings, 10, seed=3).select(
         F.col("property_id").cast("long").alias("property_id")
@@ -196,7 +201,7 @@ def text_knn(spark, folder):
 )
 def embedding_pipeline(spark, folder):
     """The stored form of an embedding: its width and length, one row per listing."""
-    listings = view(spark, folder, "text_listings").withColumnRenamed("text_all", "description")
+    listings = _texts(spark, folder).withColumnRenamed("text_all", "description")
     model = embedding.fit_embedding(listings)
     parts = F.unwrap_udt("features_norm")
     length = F.sqrt(F.aggregate(parts["values"], F.lit(0.0), lambda a, v: a + v * v))

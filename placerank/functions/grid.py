@@ -23,8 +23,24 @@ def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str, earth_radius_m: fl
     )
 
 
+def _number(band: str, column: str) -> str:
+    """Band and column in one long, so that joins compare a single number."""
+    return f"(shiftleft({band}, 24) + {column})"
+
+
+def on_level(level: int, cell: str) -> str:
+    """A cell of one of several grids, told apart from the cells of the others."""
+    return f"(shiftleft({level}L, 52) + {cell})"
+
+
+def level_of(cell: str) -> str:
+    return f"cast(shiftright({cell}, 52) as int)"
+
+
 @dataclass(frozen=True)
 class Grid:
+    """Grids down to a step of about 0.00003 degrees fit the cell numbers."""
+
     step: float
 
     def band(self, lat: str) -> str:
@@ -37,13 +53,10 @@ class Grid:
         return f"greatest(floor(360D * cos(radians({edge})) / {self.step!r}D), 1L)"
 
     def cell(self, lat: str, lon: str) -> str:
-        """The one cell a point lies in, as ``struct<band, col>``."""
+        """The one cell a point lies in, as a number."""
         band = self.band(lat)
         columns = self.band_columns(band)
-        return (
-            f"named_struct('band', {band}, 'col', "
-            f"pmod(floor(({lon} + 180D) / 360D * {columns}), {columns}))"
-        )
+        return _number(band, f"pmod(floor(({lon} + 180D) / 360D * {columns}), {columns})")
 
     def touching(self, lat: str, lon: str, dlat: str, dlon: str) -> str:
         """Array of all cells that the box ``lat±dlat, lon±dlon`` touches.
@@ -60,5 +73,5 @@ class Grid:
         last = f"least(floor(({lon} + {dlon} + 180D) / 360D * x.n), {first} + x.n - 1)"
         return (
             f"flatten(transform({bands}, x -> transform(sequence({first}, {last}), "
-            f"c -> named_struct('band', x.b, 'col', pmod(c, x.n)))))"
+            f"c -> {_number('x.b', 'pmod(c, x.n)')})))"
         )

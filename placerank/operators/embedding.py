@@ -152,19 +152,19 @@ def word_vectors(weighted: DataFrame) -> DataFrame:
 
     A listing's words are bounded by its own text, so the lists are too.
     """
-    squares = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["w"] * t["w"]))
-    terms = F.array_sort(
+    terms = F.sort_array(
         F.collect_list(F.struct(F.xxhash64("term").alias("i"), F.col("weight").alias("w")))
     )
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")))
     return (
         weighted.groupBy("property_id", "addr_cc")
-        .agg(terms.alias("terms"))
-        .withColumn("norm", squares)
+        .agg(terms.alias("terms"), length.alias("norm"))
         .select(
             "property_id",
             "addr_cc",
             F.transform("terms", lambda t: t["i"]).alias("indices"),
-            F.transform("terms", lambda t: F.coalesce(F.try_divide(t["w"], F.col("norm")),
-                                                      F.lit(0.0))).alias("values"),
+            F.transform(
+                "terms", lambda t: F.coalesce(F.try_divide(t["w"], F.col("norm")), F.lit(0.0))
+            ).alias("values"),
         )
     )

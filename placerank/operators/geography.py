@@ -19,7 +19,7 @@ from placerank.constants import (
     SAMPLE_STEP,
 )
 from placerank.functions.expressions import column_safe
-from placerank.functions.grid import Grid, haversine_sql
+from placerank.functions.grid import Grid, haversine_sql, level_of, on_level
 
 # Cells of the radius join are about as large as the radius; each is cut in
 # REFINE x REFINE tiles whose totals stand in for their points.
@@ -147,7 +147,7 @@ def count_nearby(
     )
     placement = _placement(radius_m)
     inside = (
-        places.join(tiles, [*keys, "cell"])
+        places.join(tiles, ["cell", *keys])
         .where(f"{placement} = 'inside'")
         .select(*place, *names)
     )
@@ -155,10 +155,10 @@ def count_nearby(
     # this side is all but empty.  A tile can cross a cell's border, so the join
     # with the points names the cell too.
     edge = (
-        places.join(tiles.where("lat_lo < lat_hi or lon_lo < lon_hi"), [*keys, "cell"])
+        places.join(tiles.where("lat_lo < lat_hi or lon_lo < lon_hi"), ["cell", *keys])
         .where(f"{placement} = 'edge'")
         .select(*place, "dlat", "dlon", "cell", "tile")
-        .join(points, [*keys, "cell", "tile"])
+        .join(points, ["tile", "cell", *keys])
         .where("p_lat between lat - dlat and lat + dlat and p_lon between lon - dlon and lon + dlon")
         .where(f"{haversine_sql('lat', 'lon', 'p_lat', 'p_lon', EARTH_RADIUS_M)} <= {radius_m}D")
         .select(*place, *names)
@@ -235,9 +235,9 @@ _LEVELS = [0.25, 1.0, 4.0, 16.0, 64.0, 360.0]
 
 
 def _level_cells(lat: str, lon: str) -> str:
-    """The cell of a point on each level, as an array of (level, cell)."""
+    """The cell of a point on each level, as an array."""
     cells = [
-        f"named_struct('level', {level}, 'cell', {Grid(step).cell(lat, lon)})"
+        on_level(level, Grid(step).cell(lat, lon))
         for level, step in enumerate(_LEVELS)
     ]
     return f"array({', '.join(cells)})"
@@ -258,8 +258,7 @@ def _search_cells(lat: str, lon: str) -> str:
         dlon = f"if({top} > {reach / 180.0!r}D, {reach}D / {top}, 180D)"
         cells = Grid(step).touching(lat, lon, f"{reach}D", dlon)
         branches.append(
-            f"when {level} then transform({cells}, "
-            f"q -> named_struct('level', {level}, 'cell', q))"
+            f"when {level} then transform({cells}, q -> {on_level(level, 'q')})"
         )
     return f"case level {' '.join(branches)} end"
 
@@ -287,7 +286,7 @@ def nearest_place(df: DataFrame, gazetteer: DataFrame, lat: str = "lat", lon: st
         spots.selectExpr("*", f"explode({_level_cells('near_lat', 'near_lon')}) as at")
         .join(placed.select("at").distinct(), "at", "left_semi")
         .groupBy("near_lat", "near_lon")
-        .agg(F.min("at.level").alias("level"))
+        .agg(F.expr(f"min({level_of('at')})").alias("level"))
     )
     distance = haversine_sql("near_lat", "near_lon", "g_lat", "g_lon", EARTH_RADIUS_M)
     order = f"struct(round({distance}, 3) as metres, {', '.join(names)})"

@@ -149,7 +149,7 @@ def extract_listing_features(df: DataFrame) -> DataFrame:
     lacking = F.filter("amenity_items", lambda a: a["absent"])
 
     def joined(tokens: Column) -> Column:
-        return F.array_join(F.array_sort(F.array_distinct(tokens)), " | ")
+        return F.array_join(F.sort_array(F.array_distinct(tokens)), " | ")
 
     has_text = joined(F.transform(owned, lambda a: a["token"]))
     no_text = joined(F.transform(lacking, lambda a: F.concat(F.lit("no_"), a["token"])))
@@ -223,7 +223,7 @@ def neighbour_lists(neighbours: DataFrame, n: int) -> DataFrame:
     kept = neighbours.withColumn("place", F.row_number().over(nearest)).where(
         F.col("place") <= n
     )
-    ordered = F.array_sort(F.collect_list(F.struct("place", *rest)))
+    ordered = F.sort_array(F.collect_list(F.struct("place", *rest)))
     return (
         kept.groupBy(*keys)
         .agg(ordered.alias("results"))

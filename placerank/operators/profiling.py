@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placerank.sources.scratch import written
+
 _NUMERIC = (T.DoubleType, T.IntegerType, T.FloatType, T.LongType)
 _UNPROFILED_TEXT = ["addr_cc", "currency", "category", "cancellation_policy"]
 _ACCURACY = 5000
@@ -139,10 +141,14 @@ def distribution_report(
     iqr_multiplier: float = 1.5,
     skip_all_null: bool = True,
 ) -> DataFrame:
-    """Distribution and outliers of numeric columns and of text lengths."""
+    """Distribution and outliers of numeric columns and of text lengths.
+
+    The fences are a few rows; they are written once and read by both the second
+    pass and the report.
+    """
     checked = _profiled(df, numbers, texts)
     columns = checked.columns
-    fences = quartile_fences(checked, columns, iqr_multiplier)
+    fences = written(quartile_fences(checked, columns, iqr_multiplier), "fences")
     outside = outlier_counts(checked, fences, columns)
     report = fences.join(outside, "feature")
     if skip_all_null:

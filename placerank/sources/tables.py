@@ -20,6 +20,17 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread_single_file(df: DataFrame) -> DataFrame:
+    """Rows of a table that is one file spread over all cores before heavy work.
+
+    A single file is small and is often read by one task.  Tables of several
+    files are left as they are, so large ones are never shuffled here.
+    """
+    if len(df.inputFiles()) != 1:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def read_countries(
     spark: SparkSession,
     path: str,
