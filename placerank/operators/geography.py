@@ -20,6 +20,7 @@ from placerank.constants import (
 )
 from placerank.functions.expressions import column_safe
 from placerank.functions.grid import Grid, haversine_sql, level_of, on_level
+from placerank.sources.scratch import written
 
 # Cells of the radius join are about as large as the radius; each is cut in
 # REFINE x REFINE tiles whose totals stand in for their points.
@@ -126,10 +127,11 @@ def count_nearby(
     one row with counts, so copies on either side are never paired.  Places meet
     tiles, not points: a tile that lies wholly inside the radius adds its totals,
     and only the points of tiles on the edge are measured one by one.  Both joins
-    are equi-joins on grid cells; adaptive execution splits the dense ones.
+    are equi-joins on grid cells; adaptive execution splits the dense ones.  The
+    counted points are written once, as totals and edges both read them.
     """
     keys = [] if cross_border else ["addr_cc"]
-    points = _points(pois, groups, keys)
+    points = written(_points(pois, groups, keys), "points")
     tiles = _tiles(points, groups, keys)
     names = [column_safe(g) for g in groups]
     place = ["addr_cc", "lat", "lon"]
