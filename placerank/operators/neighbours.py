@@ -178,11 +178,14 @@ def _nearest_by_blocks(
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
     left = sources.withColumns({"s": block(source_blocks), "c": every(row_blocks)})
+    # Both sides stem from one table, so the left one's columns get their own names.
+    names = left.columns
+    left = left.toDF(*[f"source_{name}" for name in names])
     right = prepared.withColumns({"c": block(row_blocks), "s": every(source_blocks)})
     spark_schema, arrow_schema = _result_types(prepared.schema["property_id"].dataType)
 
     def search(some: pa.Table, rows: pa.Table) -> pa.Table:
-        source_rows = some.to_pylist()
+        source_rows = some.rename_columns(names).to_pylist()
         targets = {r["property_id"]: r["targets"] for r in source_rows}
         out = []
         if source_rows and rows.num_rows:
@@ -193,7 +196,9 @@ def _nearest_by_blocks(
         return pa.Table.from_batches(out, schema=arrow_schema)
 
     found = (
-        left.groupBy("s", "c").cogroup(right.groupBy("s", "c")).applyInArrow(search, spark_schema)
+        left.groupBy("source_s", "source_c")
+        .cogroup(right.groupBy("s", "c"))
+        .applyInArrow(search, spark_schema)
     )
     return _nearest_n(found, n)
 
