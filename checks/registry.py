@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.shipping import ship_package
 from checks.views import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +24,12 @@ def query(
     """Register a query; ``select`` over ``views`` and ``steps`` is its SQL twin."""
 
     def register(run: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = run
+        @wraps(run)
+        def shipped(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return run(spark, folder)
+
+        QUERIES[name] = shipped
         if select is not None:
             ORACLES[name] = with_views(list(views), select, steps)
         return run

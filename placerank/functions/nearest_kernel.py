@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 DIGITS = 6
 _TIE = 2 * 10.0**-DIGITS
 _CHUNK = 64
+_MATRIX_CELLS = 4_000_000
 
 
 def _ragged(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +136,18 @@ def _nearest(sources: np.ndarray, ids: np.ndarray, dist: np.ndarray, n: int):
     return sources[keep], ids[keep], dist[keep]
 
 
+def _slices(batches: Iterable[pa.RecordBatch], wanted: dict[str, np.ndarray]):
+    """Rows of one wanted country at a time, few enough for one distance matrix."""
+    for batch in batches:
+        for country in pc.unique(batch.column("addr_cc")).to_pylist():
+            if country not in wanted:
+                continue
+            rows = batch.filter(pc.equal(batch.column("addr_cc"), country))
+            step = max(1, _MATRIX_CELLS // len(wanted[country]))
+            for first in range(0, rows.num_rows, step):
+                yield country, rows.slice(first, step)
+
+
 def nearest_in_batches(
     batches: Iterable[pa.RecordBatch], sources: Sources, n: int, drop_self: bool
 ) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
@@ -142,36 +155,45 @@ def nearest_in_batches(
     wanted = sources.by_country()
     parts = {c: sources.part(p) for c, p in wanted.items()}
     best: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        for country in pc.unique(batch.column("addr_cc")).to_pylist():
-            if country not in wanted:
-                continue
-            rows = batch.filter(pc.equal(batch.column("addr_cc"), country))
-            sparse = rows.column("indices") if "indices" in rows.schema.names else None
-            block = Block.from_columns(rows.column("values"), sparse)
-            ids = as_ids(rows.column("property_id"))
-            positions = wanted[country]
-            dist = distances(block, parts[country])
-            if drop_self:
-                dist[ids[:, None] == sources.ids[positions][None, :]] = np.inf
-            if sources.buckets is not None:
-                flat, _ = _ragged(rows.column("buckets"), "float64")
-                theirs = flat.reshape(len(ids), -1)
-                mine = sources.buckets[positions]
-                shared = (theirs[:, None, :] == mine[None, :, :]).any(axis=2)
-                dist[~shared] = np.inf
-            limit = np.full(len(positions), np.inf)
-            if len(ids) > n:
-                limit = np.partition(dist, n - 1, axis=0)[n - 1] + _TIE
-            row, col = np.nonzero((dist <= limit) & np.isfinite(dist))
-            found = (positions[col], ids[row], dist[row, col])
-            if country in best:
-                found = tuple(np.concatenate(pair) for pair in zip(best[country], found))
-            best[country] = _nearest(*found, n)
+    # Once a source has n rows, only rows as near as its n-th are looked at.
+    bound = {c: np.full(len(p), np.inf) for c, p in wanted.items()}
+    for country, rows in _slices(batches, wanted):
+        sparse = rows.column("indices") if "indices" in rows.schema.names else None
+        block = Block.from_columns(rows.column("values"), sparse)
+        ids = as_ids(rows.column("property_id"))
+        positions = wanted[country]
+        dist = distances(block, parts[country])
+        if drop_self:
+            dist[ids[:, None] == sources.ids[positions][None, :]] = np.inf
+        if sources.buckets is not None:
+            flat, _ = _ragged(rows.column("buckets"), "float64")
+            theirs = flat.reshape(len(ids), -1)
+            mine = sources.buckets[positions]
+            shared = (theirs[:, None, :] == mine[None, :, :]).any(axis=2)
+            dist[~shared] = np.inf
+        limit = bound[country]
+        if len(ids) > n:
+            limit = np.minimum(limit, np.partition(dist, n - 1, axis=0)[n - 1])
+        row, col = np.nonzero((dist <= limit + _TIE) & np.isfinite(dist))
+        if not len(row):
+            continue
+        found = (positions[col], ids[row], dist[row, col])
+        if country in best:
+            found = tuple(np.concatenate(pair) for pair in zip(best[country], found))
+        best[country] = _nearest(*found, n)
+        bound[country] = _nth(best[country], positions, n)
     for country, found in best.items():
         yield (country, *found)
 
 
+def _nth(best: tuple, positions: np.ndarray, n: int) -> np.ndarray:
+    """The n-th distance of each source, or infinity while it has fewer."""
+    sources, _, dist = best
+    ends = np.searchsorted(sources, positions, side="right")
+    full = ends - np.searchsorted(sources, positions, side="left") >= n
+    return np.where(full, dist[np.maximum(ends - 1, 0)], np.inf)
+
+
 def total_distances(batch: pa.RecordBatch, picks: Block) -> np.ndarray:
     """Summed distance of each row of a batch to all picks, rounded."""
     sparse = batch.column("indices") if "indices" in batch.schema.names else None

@@ -53,10 +53,21 @@ def _as_vectors(df: DataFrame, vector: str, shared_buckets: bool) -> tuple[DataF
     return df.select(*columns).dropna(subset=["property_id", "addr_cc", "values"]), sparse
 
 
-def _sources_from(rows: Sequence, targets: dict, sparse: bool, shared_buckets: bool) -> Sources:
+def _with_targets(prepared: DataFrame, requests: DataFrame) -> DataFrame:
+    """The vectors of the requested ids, each with the countries asked for."""
+    per_source = (
+        requests.select("property_id", "target_cc")
+        .dropna()
+        .groupBy("property_id")
+        .agg(F.collect_set("target_cc").alias("targets"))
+    )
+    return prepared.drop("addr_cc").join(per_source, "property_id")
+
+
+def _sources_from(rows: Sequence, sparse: bool, shared_buckets: bool) -> Sources:
     ids = np.asarray([r["property_id"] for r in rows])
     buckets = np.asarray([r["buckets"] for r in rows]) if shared_buckets else None
-    return Sources(ids, block_of(rows, sparse), [targets[i] for i in ids.tolist()], buckets)
+    return Sources(ids, block_of(rows, sparse), [list(r["targets"]) for r in rows], buckets)
 
 
 def _found(country: str, ids: np.ndarray, found, schema: pa.Schema) -> pa.RecordBatch:
@@ -119,22 +130,17 @@ def nearest_neighbours(
     carries the index's ``hashes``.  Ids without an embedding have no result.
     """
     prepared, sparse = _as_vectors(embedded, vector, shared_buckets)
-    asked = requests.select("property_id", "target_cc").dropna().distinct()
-    sources = prepared.join(asked.select("property_id"), "property_id", "left_semi")
-    rows = sources.drop("addr_cc").limit(max_sources + 1).collect()
+    sources = _with_targets(prepared, requests)
+    rows = sources.limit(max_sources + 1).collect()
     if len(rows) > max_sources:
-        return _nearest_by_blocks(prepared, asked, n, sparse, drop_self, shared_buckets, max_sources)
-
-    targets: dict = {}
-    have = {r["property_id"] for r in rows}
-    known = asked.where(F.col("property_id").isin(list(have))) if len(have) < 500 else asked
-    for row in known.collect():
-        if row["property_id"] in have:
-            targets.setdefault(row["property_id"], []).append(row["target_cc"])
-    rows = [r for r in {r["property_id"]: r for r in rows}.values()]
+        return _nearest_by_blocks(
+            prepared, sources, n, sparse, drop_self, shared_buckets, max_sources
+        )
+    rows = list({r["property_id"]: r for r in rows}.values())
+    countries = sorted({c for r in rows for c in r["targets"]})
     spark_schema, arrow_schema = _result_types(prepared.schema["property_id"].dataType)
     sent = embedded.sparkSession.sparkContext.broadcast(
-        _sources_from(rows, targets, sparse, shared_buckets)
+        _sources_from(rows, sparse, shared_buckets)
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +150,13 @@ def nearest_neighbours(
         for country, *found in nearest_in_batches(batches, block, n, drop_self):
             yield _found(country, block.ids, found, arrow_schema)
 
-    countries = sorted({c for cs in targets.values() for c in cs})
     candidates = prepared.where(F.col("addr_cc").isin(countries))
     return _nearest_n(candidates.mapInArrow(search, spark_schema), n)
 
 
 def _nearest_by_blocks(
     prepared: DataFrame,
-    asked: DataFrame,
+    sources: DataFrame,
     n: int,
     sparse: bool,
     drop_self: bool,
@@ -163,11 +168,7 @@ def _nearest_by_blocks(
     Blocks go by a hash of the id and not by country, so a country with a third
     of all listings is spread over all blocks.
     """
-    per_source = asked.groupBy("property_id").agg(
-        F.collect_set("target_cc").alias("targets")
-    )
-    sources = prepared.drop("addr_cc").join(per_source, "property_id")
-    n_sources, n_rows = asked.select("property_id").distinct().count(), prepared.count()
+    n_sources, n_rows = sources.count(), prepared.count()
     source_blocks = math.ceil(n_sources / max_sources)
     row_blocks = max(1, math.ceil(n_rows / _BLOCK_ROWS))
 
@@ -186,10 +187,9 @@ def _nearest_by_blocks(
 
     def search(some: pa.Table, rows: pa.Table) -> pa.Table:
         source_rows = some.rename_columns(names).to_pylist()
-        targets = {r["property_id"]: r["targets"] for r in source_rows}
         out = []
         if source_rows and rows.num_rows:
-            block_ = _sources_from(source_rows, targets, sparse, shared_buckets)
+            block_ = _sources_from(source_rows, sparse, shared_buckets)
             whole = rows.combine_chunks().to_batches()
             for country, *found in nearest_in_batches(whole, block_, n, drop_self):
                 out.append(_found(country, block_.ids, found, arrow_schema))
