@@ -235,7 +235,11 @@ def currency_usd(spark, folder):
     )
 
 
-_AVERAGES = ", ".join(f"round(avg({c}), 2) AS avg_{c}" for c in IMPUTED_COLUMNS)
+# Means of tenths often end in a half; as decimals they are rounded half up,
+# whatever the order in which the doubles were summed.
+_AVERAGES = ", ".join(
+    f"CAST(round(CAST(avg({c}) AS DECIMAL(28, 12)), 2) AS DOUBLE) AS avg_{c}" for c in IMPUTED_COLUMNS
+)
 
 
 @query(

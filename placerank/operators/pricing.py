@@ -74,7 +74,9 @@ def imputation_means(
     The overall row is the one with ``is_overall = 1``; a null country has a
     row of its own.
     """
-    means = [F.round(F.avg(c), 2).alias(f"avg_{c}") for c in columns]
+    # The last digits of a sum of doubles depend on the order of the tasks.  They
+    # are rounded off first, or a mean that ends in a half could go either way.
+    means = [F.round(F.round(F.avg(c), 9), 2).alias(f"avg_{c}") for c in columns]
     return (
         df.groupingSets([[F.col("addr_cc")], []], "addr_cc")
         .agg(F.grouping("addr_cc").cast("int").alias("is_overall"), *means)
