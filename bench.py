@@ -18,9 +18,9 @@ from checks.catalog import QUERIES  # noqa: E402
 from checks.run import session  # noqa: E402
 
 HEADLINES = [
-    "env_wide", "nearest_place", "clean_pipeline", "listing_features", "scored_listings",
-    "rank_presets", "vec_knn_batch", "recommend", "tfidf", "text_knn", "embedding_pipeline",
-    "distribution_report", "diverse_picks", "suite_results",
+    "env_wide", "nearest_place", "clean_pipeline", "scored_listings", "vec_knn_batch",
+    "recommend", "tfidf", "text_knn", "embedding_pipeline", "distribution_report",
+    "suite_results",
 ]
 
 

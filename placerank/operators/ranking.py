@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from placerank.constants import (
     BUDGET_ALIASES,
-    BUDGET_RANKS,
     ENV_COLUMNS,
     TARGET_COUNTRIES,
     TEMPERATURE_TOLERANCE,
@@ -269,6 +268,3 @@ def check_request(
     if allowed and code not in allowed:
         raise ValueError(f"the target country must be one of: {', '.join(allowed)}")
     return source, code
-
-
-BUDGET_LEVELS = list(BUDGET_RANKS)
