@@ -15,6 +15,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def shipped(run: Callable[[SparkSession, str], DataFrame]):
+    """``run`` with the package handed to the Python workers first."""
+
+    @wraps(run)
+    def call(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return run(spark, folder)
+
+    return call
+
+
 def query(
     name: str,
     views: Sequence[str] = (),
@@ -24,12 +35,7 @@ def query(
     """Register a query; ``select`` over ``views`` and ``steps`` is its SQL twin."""
 
     def register(run: Callable[[SparkSession, str], DataFrame]):
-        @wraps(run)
-        def shipped(spark: SparkSession, folder: str) -> DataFrame:
-            ship_package(spark)
-            return run(spark, folder)
-
-        QUERIES[name] = shipped
+        QUERIES[name] = shipped(run)
         if select is not None:
             ORACLES[name] = with_views(list(views), select, steps)
         return run

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-
-import pyspark
 from pyspark.sql import functions as F
 
 from checks.registry import query, rounded
 from checks.score_queries import SCORE_STEPS, SCORE_VIEWS, score_sql, scored
 from checks.views import view
-from placerank.constants import TARGET_COUNTRIES
+from placerank.constants import ENGLISH_STOP_WORDS, TARGET_COUNTRIES
 from placerank.functions.expressions import cosine_from_l2
 from placerank.operators import browsing, embedding, neighbours, ranking
 from placerank.operators.nested import neighbour_lists
@@ -20,7 +15,6 @@ from placerank.operators.ranking import Preferences
 from placerank.plans.offline import precompute_neighbours
 from placerank.plans.online import recommend
 from placerank.sources.scratch import written
-from placerank.sources.tables import spread_single_file
 
 _DISTANCE = "round(list_distance(s.features_norm, c.features_norm), 6)"
 _SAMPLE = "SELECT * FROM vectors ORDER BY md5('7|' || property_id), CAST(property_id AS STRING) LIMIT 500"
@@ -115,15 +109,7 @@ def lsh_single(spark, folder):
 
 
 # --- text ------------------------------------------------------------------------------
-def _stop_words() -> list[str]:
-    """The stop word list that ships with Spark, read from its jar."""
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar")
-    with zipfile.ZipFile(glob.glob(jars)[0]) as jar:
-        text = jar.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
-    return text.split()
-
-
-_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in _stop_words())
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS)
 TEXT_STEPS = {
     "tokens": r"""SELECT property_id, addr_cc, unnest(regexp_split_to_array(lower(text_all), '[^a-z0-9_]+')) AS term
 FROM text_listings""",
@@ -137,7 +123,7 @@ FROM counted GROUP BY term""",
 
 
 def _texts(spark, folder):
-    return spread_single_file(view(spark, folder, "text_listings"))
+    return view(spark, folder, "text_listings")
 
 
 @query(

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placerank.constants import (
+    ENGLISH_STOP_WORDS,
     LSH_BUCKET_LENGTH,
     LSH_TABLES,
     SCORE_COLUMNS,
@@ -59,7 +60,9 @@ def fit_embedding(
         RegexTokenizer(
             inputCol="text_all", outputCol="words", pattern=_WORD_BREAK, minTokenLength=_MIN_WORD
         ),
-        StopWordsRemover(inputCol="words", outputCol="kept_words"),
+        StopWordsRemover(
+            inputCol="words", outputCol="kept_words", stopWords=ENGLISH_STOP_WORDS
+        ),
         HashingTF(inputCol="kept_words", outputCol="word_counts", numFeatures=buckets),
         IDF(inputCol="word_counts", outputCol="word_weights"),
     ]
@@ -115,13 +118,12 @@ def approximate_nearest(
 # --- the exact form: real words instead of hashed buckets ---------------------
 def words(df: DataFrame, text: str = "text_all") -> DataFrame:
     """One row per listing and distinct word with its number of occurrences."""
-    stop = StopWordsRemover.loadDefaultStopWords("english")
     tokens = F.filter(
         F.split(F.lower(text), _WORD_BREAK), lambda word: F.length(word) >= _MIN_WORD
     )
     return (
         df.select("property_id", "addr_cc", F.explode(tokens).alias("term"))
-        .where(~F.col("term").isin(stop))
+        .where(~F.col("term").isin(ENGLISH_STOP_WORDS))
         .groupBy("property_id", "addr_cc", "term")
         .agg(F.count("*").alias("tf"))
     )

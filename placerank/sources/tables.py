@@ -5,7 +5,9 @@ Paths are plain arguments; credentials belong in the Spark configuration.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,17 +22,6 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread_single_file(df: DataFrame) -> DataFrame:
-    """Rows of a table that is one file spread over all cores before heavy work.
-
-    A single file is small and is often read by one task.  Tables of several
-    files are left as they are, so large ones are never shuffled here.
-    """
-    if len(df.inputFiles()) != 1:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def read_countries(
     spark: SparkSession,
     path: str,
@@ -44,14 +35,26 @@ def read_countries(
     return spark.read.parquet(path).where(F.col(partition_column).isin(list(countries)))
 
 
+def path_prefix(path: str) -> str:
+    """A pattern of the files at ``path``: the whole path, ended by a slash or the end.
+
+    The scheme that Spark puts before a path is not part of the comparison, and
+    blanks are compared in the escaped form that Spark gives them.
+    """
+    place = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/")
+    whole = re.sub("/+", "/", place)
+    start = "" if whole.startswith("/") else "/"
+    return rf"^[^:/]*:(//[^/]*)?{'.*' if start else '/*'}{start}{re.escape(quote(whole, safe='/=+,@~'))}(/|$)"
+
+
 def read_by_continent(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """All continents' files in one scan, with the continent each row came from."""
     frames = spark.read.parquet(*paths.values())
     origin = F.col("_metadata.file_path")
     continent = F.lit(None).cast("string")
     for name, path in paths.items():
-        folder = path.rstrip("/").rsplit("/", 1)[-1]
-        continent = F.when(origin.contains(f"/{folder}"), F.lit(name)).otherwise(continent)
+        inside = path_prefix(path)
+        continent = F.when(origin.rlike(inside), F.lit(name)).otherwise(continent)
     return frames.select("*", continent.alias("continent"))
 
 
