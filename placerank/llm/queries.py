@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from placerank.llm import mixing, sharding
+from placerank.llm import mixing, sharding, tokens
 from placerank.llm.common import table, word_count
 from placerank.sources.scratch import written
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -41,3 +44,9 @@ def op9_shard_by_key(spark, folder):
     return sharding.assign_shards(docs, shards=40, keep=["doc_id"]).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark, folder):
+    docs = table(spark, folder, "documents")
+    return tokens.count_tokens(docs, VOCABULARY, keep=["doc_id"])
