@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Words are separated by these ASCII characters, those at which ``bytes.split()`` cuts.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,6 +77,7 @@ def map_texts(
     source = df.select(*[column(c) for c in kept], column(text).cast("binary").alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], *results.fields])
     labels = [f.name for f in schema]
+    kinds = [to_arrow_type(f.dataType) for f in results]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = factory()
@@ -83,7 +85,7 @@ def map_texts(
             for piece in pieces(batch, len(kept)):
                 found = list(work(piece.column(len(kept)).to_pylist()))
                 mask = found.pop() if select else None
-                columns = [*piece.columns[: len(kept)], *(pa.array(x) for x in found)]
+                columns = [*piece.columns[: len(kept)], *map(pa.array, found, kinds)]
                 out = pa.RecordBatch.from_arrays(columns, names=labels)
                 yield out if mask is None else out.filter(pa.array(mask))
 

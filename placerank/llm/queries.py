@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from placerank.llm import mixing, sharding, tokens
+from placerank.llm import decontamination, jaccard_join, mixing, sharding, tokens
 from placerank.llm.common import table, word_count
 from placerank.sources.scratch import written
 
@@ -50,3 +50,58 @@ def op9_shard_by_key(spark, folder):
 def op3_token_counts(spark, folder):
     docs = table(spark, folder, "documents")
     return tokens.count_tokens(docs, VOCABULARY, keep=["doc_id"])
+
+
+_BENCH_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op2_find_benchmark",
+    f"""WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '{_BENCH_WORD}') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all({_LOWER.format("text")}, '{_BENCH_WORD}') AS w FROM benchmark),
+patterns AS (SELECT DISTINCT item_id, p FROM (SELECT item_id,
+  unnest([w[i : i + 9] FOR i IN range(1, greatest(2, len(w) - 8))]) AS p FROM items WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT len(p) AS n FROM patterns),
+runs AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM docs, lengths WHERE len(w) >= n),
+hits AS (SELECT doc_id, n, i, item_id FROM (SELECT doc_id, n, i, w[i : i + n - 1] AS p FROM runs) JOIN patterns USING (p)),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (
+  SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY 1),
+listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (
+  SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)""",
+)
+def op2_find_benchmark(spark, folder):
+    docs, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    found = decontamination.find_benchmark(docs, benchmark, keep=["doc_id"])
+    n_hit = decontamination.hit_words()
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+@query(
+    "op10_jaccard_join",
+    f"""WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '{_WORD}'), []) AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id,
+  unnest([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, greatest(2, len(w) - 3))]) AS s FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM shingles a JOIN shingles b USING (s)
+  WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM shared JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v
+  WHERE 100 * c >= 80 * (a.n + b.n - c)),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM docs UNION
+  SELECT r.a, l.v FROM reached r JOIN links l ON r.b = l.u)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM docs LEFT JOIN sizes USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY 1) USING (doc_id)""",
+)
+def op10_jaccard_join(spark, folder):
+    return jaccard_join.jaccard_components(table(spark, folder, "documents"))
