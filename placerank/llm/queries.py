@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from placerank.llm import decontamination, jaccard_join, mixing, sharding, tokens
+from placerank.llm import decontamination, jaccard_join, language, mixing, passages, quality, sharding, tokens
 from placerank.llm.common import table, word_count
 from placerank.sources.scratch import written
 
@@ -105,3 +105,25 @@ JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY 1) USING
 )
 def op10_jaccard_join(spark, folder):
     return jaccard_join.jaccard_components(table(spark, folder, "documents"))
+
+
+@query("op6_language")
+def op6_language(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = language.learn(docs)
+    asked = docs.select("doc_id", language.held_out("doc_id").alias("held_out"), "text")
+    return language.identify(asked, model, keep=["doc_id", "held_out"])
+
+
+@query("op1_quality_rules")
+def op1_quality_rules(spark, folder):
+    docs = table(spark, folder, "documents")
+    return quality.judge(docs, keep=["doc_id"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", F.array_join("failed_measures", ",").alias("failed_measures"),
+    )
+
+
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark, folder):
+    return passages.repeated_passages(table(spark, folder, "documents"))
