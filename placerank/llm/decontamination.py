@@ -210,6 +210,10 @@ def hit_words(spans: str = "hit_spans") -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without those in which a window of the benchmark occurs."""
-    found = find_benchmark(docs, benchmark, **options)
-    return found.where(F.size("hit_spans") == 0).drop(*RESULTS.fieldNames())
-
+    names = {f.lower() for f in RESULTS.fieldNames()}
+    aside = {c: f"__kept_{c}" for c in docs.columns if c.lower() in names}
+    found = find_benchmark(docs.withColumnsRenamed(aside), benchmark, **options)
+    kept = found.where(F.size("hit_spans") == 0).drop(*RESULTS.fieldNames())
+    return kept.withColumnsRenamed({new: old for old, new in aside.items()}).select(
+        *[column(c) for c in docs.columns]
+    )
