@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from placerank.llm import decontamination, jaccard_join, language, mixing, passages, quality, sharding, tokens
+from placerank.llm import decontamination, jaccard_join, language, mixing, passages, pii, quality, sharding, tokens
 from placerank.llm.common import table, word_count
 from placerank.sources.scratch import written
 
@@ -127,3 +127,14 @@ def op1_quality_rules(spark, folder):
 @query("op5_substring_dedup")
 def op5_substring_dedup(spark, folder):
     return passages.repeated_passages(table(spark, folder, "documents"))
+
+
+@query("op8_personal_data")
+def op8_personal_data(spark, folder):
+    found = pii.find_personal_data(table(spark, folder, "documents"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        *[pii.count_kind(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.written_spans("base_spans"), 256).alias("base_sha256"),
+        pii.written_spans("spans").alias("spans"),
+    )
