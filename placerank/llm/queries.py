@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from placerank.llm import decontamination, jaccard_join, language, mixing, passages, pii, quality, sharding, tokens
+from placerank.llm import (
+    decontamination,
+    jaccard_join,
+    language,
+    mixing,
+    passages,
+    pii,
+    quality,
+    sharding,
+    tokens,
+    wrappers,
+)
 from placerank.llm.common import table, word_count
 from placerank.sources.scratch import written
 
@@ -138,3 +149,9 @@ def op8_personal_data(spark, folder):
         F.sha2(pii.written_spans("base_spans"), 256).alias("base_sha256"),
         pii.written_spans("spans").alias("spans"),
     )
+
+
+@query("op7_article_text")
+def op7_article_text(spark, folder):
+    pages = table(spark, folder, "pages")
+    return wrappers.extract_articles(pages, keep=["page_id", "url"])
