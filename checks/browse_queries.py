@@ -6,7 +6,13 @@ from pyspark.sql import functions as F
 
 from checks.registry import query, rounded
 from checks.views import view
-from placerank.constants import CANONICAL_CONTINENTS, CONTINENT_TITLES, ENV_GROUPS, PICKER_COLUMNS
+from placerank.constants import (
+    BROWSE_LIMIT,
+    CANONICAL_CONTINENTS,
+    CONTINENT_TITLES,
+    ENV_GROUPS,
+    PICKER_COLUMNS,
+)
 from placerank.functions.expressions import truncated
 from placerank.operators import browsing, coverage, profiling
 
@@ -22,7 +28,7 @@ ORDER BY ratings DESC, price_per_night, property_id LIMIT 300""",
 )
 def browse_filter(spark, folder):
     return browsing.browse(
-        view(spark, folder, "listings"), country=" fr ", rating=(3.5, 5), price=(50, 900)
+        view(spark, folder, "listings"), BROWSE_LIMIT, country=" fr ", rating=(3.5, 5), price=(50, 900)
     )
 
 
@@ -37,13 +43,13 @@ def browse_open(spark, folder):
 
 @query(
     "browse_search", ["listings"],
-    "SELECT property_id FROM listings WHERE contains(lower(listing_title || ' ' || room_type_text), 'machin')",
+    """SELECT property_id FROM listings WHERE contains(lower(concat_ws(' ', coalesce(listing_title, ''),
+  coalesce(room_type_text, ''), coalesce(addr_name, ''), coalesce(addr_cc, ''),
+  coalesce(CAST(price_per_night AS STRING), ''), coalesce(CAST(ratings AS STRING), ''))), 'city_1 de ')""",
 )
 def browse_search(spark, folder):
-    found = browsing.search(
-        view(spark, folder, "listings"), "MACHIN", ["listing_title", "room_type_text"]
-    )
-    return found.select("property_id")
+    """The end of a city and its country: text that runs over two of the six columns."""
+    return browsing.search(view(spark, folder, "listings"), "CITY_1 de ").select("property_id")
 
 
 @query("country_choices", ["listings"], "SELECT DISTINCT addr_cc FROM listings")
@@ -59,12 +65,10 @@ def city_choices(spark, folder):
 @query(
     "display_labels", ["listings"],
     """SELECT property_id, listing_title || ' — ' || addr_name || ' (' || addr_cc || ') | $'
-  || coalesce(CAST(guests AS STRING), 'None') || ' | ⭐ ' || CAST(ratings AS STRING) AS label FROM listings""",
+  || coalesce(CAST(price_per_night AS STRING), 'None') || ' | ⭐ ' || CAST(ratings AS STRING) AS label FROM listings""",
 )
 def display_labels(spark, folder):
-    """Guests stand in for the price, whose text differs between engines."""
-    listings = view(spark, folder, "listings").withColumn("price_per_night", F.col("guests"))
-    return browsing.with_label(listings).select("property_id", "label")
+    return browsing.with_label(view(spark, folder, "listings")).select("property_id", "label")
 
 
 @query(
@@ -91,6 +95,10 @@ def short_titles(spark, folder):
 
 # --- profiling ------------------------------------------------------------------------
 _MISSING = ["price_per_night", "host_rating", "ratings", "guests"]
+_ALL_COLUMNS = """property_id listing_title room_type_text addr_cc addr_name lat long price_per_night guests
+ratings property_number_of_reviews host_rating host_number_of_reviews host_response_rate hosts_year
+rating_cleanliness rating_accuracy rating_checkin rating_communication rating_location rating_value
+is_supperhost is_guest_favorite final_url""".split()
 
 
 def _missing_sql(columns, where=""):
@@ -108,9 +116,9 @@ def missing_report(spark, folder):
     return profiling.missing_values(view(spark, folder, "listings"))
 
 
-@query("missing_report_all", ["listings"], _missing_sql(_MISSING))
+@query("missing_report_all", ["listings"], _missing_sql(_ALL_COLUMNS))
 def missing_report_all(spark, folder):
-    return profiling.missing_values(view(spark, folder, "listings").select(*_MISSING), show_all=True)
+    return profiling.missing_values(view(spark, folder, "listings"), show_all=True)
 
 
 _NUMBERS = [

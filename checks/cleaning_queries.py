@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from checks.registry import query, rounded
 from checks.views import view
 from placerank.constants import (
+    AMENITY_LIMIT,
+    TEXT_ITEM_LIMIT,
     FINAL_COLUMNS,
     IMPUTED_COLUMNS,
     RATING_COLUMNS,
@@ -356,7 +358,7 @@ FROM parsed LEFT JOIN tokens USING (property_id) LEFT JOIN blobs USING (property
 )
 def listing_features(spark, folder):
     raw = view(spark, folder, "raw_listings")
-    return nested.extract_listing_features(raw).select("property_id", *_FEATURES)
+    return nested.extract_listing_features(raw, AMENITY_LIMIT, TEXT_ITEM_LIMIT).select("property_id", *_FEATURES)
 
 
 _NEAR = """SELECT property_id, first(name ORDER BY dist, name, cc) AS addr_name,

@@ -159,7 +159,7 @@ _TEXT_COUNTRIES = ["GB", "FR", "DE", "ES"]
 QUALIFY row_number() OVER (PARTITION BY src_property_id, target_cc ORDER BY l2_dist, neighbor_property_id) <= 50""",
     TEXT_STEPS | {
         "known": "SELECT DISTINCT property_id, addr_cc FROM counted",
-        "asked": "SELECT property_id FROM text_listings ORDER BY md5('3|' || property_id) LIMIT 10",
+        "asked": "SELECT property_id FROM text_listings ORDER BY md5('3|' || property_id) LIMIT 500",
         "everyone": """SELECT a.property_id AS src_property_id, k.property_id AS neighbor_property_id,
     k.addr_cc AS target_cc FROM asked a SEMI JOIN known USING (property_id)
     JOIN known k ON a.property_id <> k.property_id""",
@@ -171,7 +171,7 @@ QUALIFY row_number() OVER (PARTITION BY src_property_id, target_cc ORDER BY l2_d
 def text_knn(spark, folder):
     listings = _texts(spark, folder)
     vectors = written(embedding.word_vectors(embedding.tf_idf(listings)), "vectors")
-    asked = browsing.sample_listings(listings, 10, seed=3).select(
+    asked = browsing.sample_listings(listings, 500, seed=3).select(
         F.col("property_id").cast("long").alias("property_id")
     )
     requests = neighbours.every_country(asked, _TEXT_COUNTRIES)

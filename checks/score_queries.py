@@ -133,11 +133,8 @@ ORDER BY final_score DESC, property_id LIMIT {k}""",
         SCORE_STEPS,
     )
     def run(spark, folder):
-        candidates = scored(spark, folder)
-        score_ = F.round(ranking.preference_score(candidates.columns, prefs), 6)
-        # Scores are compared to 6 decimals in both engines, so ties go by id.
-        best = candidates.withColumn("final_score", score_).orderBy(F.desc("final_score"), "property_id")
-        return best.limit(k).select("property_id", "listing_title", "final_score")
+        best = ranking.rank(scored(spark, folder), prefs, k)
+        return rounded(best.select("property_id", "listing_title", "final_score"), "final_score")
 
 
 _ranked(

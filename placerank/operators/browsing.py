@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placerank.constants import BROWSE_LIMIT, DISPLAY_HEADERS, PICKER_COLUMNS
+from placerank.constants import DISPLAY_HEADERS, PICKER_COLUMNS
 from placerank.functions.expressions import present, seeded_order
 
 _SEARCHED = [
@@ -43,14 +43,17 @@ def filter_listings(
     return kept
 
 
-def browse(df: DataFrame, limit: int = BROWSE_LIMIT, **filters) -> DataFrame:
-    """The picker's columns of the filtered listings, best rated and cheapest first."""
-    return (
+def browse(df: DataFrame, limit: int | None = None, **filters) -> DataFrame:
+    """The picker's columns of the filtered listings, best rated and cheapest first.
+
+    All of them without a ``limit``, else at least one.
+    """
+    found = (
         filter_listings(df, **filters)
         .select(*present(df, PICKER_COLUMNS))
         .orderBy(F.desc_nulls_last("ratings"), F.asc_nulls_last("price_per_night"), "property_id")
-        .limit(max(1, int(limit)))
     )
+    return found if limit is None else found.limit(max(1, int(limit)))
 
 
 def search(df: DataFrame, text: str, columns: Sequence[str] = tuple(_SEARCHED)) -> DataFrame:

@@ -66,7 +66,10 @@ def one_per_key(
     rest = [c for c in df.columns if c != key]
     sortable = [f.name for f in df.schema if f.name in rest and _orderable(f.dataType)]
     order = list(order_by) + [c for c in sortable if c not in order_by]
-    kept = F.min_by(F.struct(*rest), F.struct(*order)).alias("kept")
+    if set(order) == set(rest):
+        kept = F.min(F.struct(*order)).alias("kept")
+    else:  # columns without an order are carried beside those that have one
+        kept = F.min_by(F.struct(*rest), F.struct(*order)).alias("kept")
     return df.groupBy(key).agg(kept).select(key, "kept.*").select(*df.columns)
 
 

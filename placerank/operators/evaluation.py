@@ -51,7 +51,7 @@ def pick_diverse(
     if len(pool) < n_picks:
         raise ValueError(f"{n_picks} picks need as many countries; there are {len(pool)}")
     first = (
-        embedded.where(F.col("addr_cc") == pool[0])
+        embedded.where(F.upper("addr_cc") == pool[0])
         .orderBy(seeded_order(seed, "property_id"), "property_id")
         .select("property_id")
         .first()["property_id"]
@@ -61,7 +61,7 @@ def pick_diverse(
     for country in pool[1:n_picks]:
         chosen, total = farthest(embedded, country, rows, vector)
         picks.append((chosen, country, total))
-        rows += pick_rows(embedded.where(F.col("addr_cc") == country), [chosen], vector)
+        rows += pick_rows(embedded.where(F.upper("addr_cc") == country), [chosen], vector)
     id_type = embedded.schema["property_id"].dataType.simpleString()
     table = embedded.sparkSession.createDataFrame(
         picks, f"property_id {id_type}, country_code string, total_dist double"

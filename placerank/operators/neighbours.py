@@ -284,7 +284,7 @@ def farthest(
             )
 
     found = (
-        prepared.where(F.col("addr_cc") == country)
+        prepared.where(F.upper("addr_cc") == country.upper())
         .mapInArrow(search, schema)
         .orderBy(F.desc("total_dist"), "property_id")
         .limit(1)

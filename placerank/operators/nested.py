@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placerank.constants import (
-    AMENITY_LIMIT,
     BATHS_PATTERN,
     BEDROOMS_PATTERN,
     BEDS_PATTERN,
@@ -14,7 +13,6 @@ from placerank.constants import (
     RATING_COLUMNS,
     STUDIO_PATTERN,
     TEMPERATURE_COLUMNS,
-    TEXT_ITEM_LIMIT,
 )
 
 _PRICING_SCHEMA = (
@@ -111,16 +109,18 @@ def _amenities() -> Column:
     )
 
 
-def _until_limit(amenities: Column) -> Column:
-    """Amenities up to and including the 40th that is present.
+def _until_limit(amenities: Column, limit: int | None) -> Column:
+    """Amenities up to and including the ``limit``-th that is present; all without a limit.
 
     What is present decides the cut; absent ones are kept only before it.
     """
+    if limit is None:
+        return amenities
     positions = F.filter(
         F.transform(amenities, lambda a, i: F.when(~a["absent"], i + 1)),
         lambda i: i.isNotNull(),
     )
-    last = F.get(positions, F.lit(AMENITY_LIMIT - 1))
+    last = F.get(positions, F.lit(limit - 1))
     return F.slice(amenities, F.lit(1), F.coalesce(last, F.size(amenities)))
 
 
@@ -132,15 +132,25 @@ def _amenity_text(amenity: Column) -> Column:
     )
 
 
-def extract_listing_features(df: DataFrame) -> DataFrame:
-    """Eight columns read from ``description_items``, ``details`` and ``amenities``."""
+def _first(items: Column, limit: int | None) -> Column:
+    return items if limit is None else F.slice(items, 1, limit)
+
+
+def extract_listing_features(
+    df: DataFrame, amenity_limit: int | None = None, text_item_limit: int | None = None
+) -> DataFrame:
+    """Eight columns read from ``description_items``, ``details`` and ``amenities``.
+
+    Everything is read unless limits are given: ``amenity_limit`` amenities that are
+    present, and ``text_item_limit`` items of each text list for the combined text.
+    """
     staged = df.withColumns(
         {
             "desc_items": _items("description_items"),
             "detail_items": _items("details"),
             "amenity_items": _amenities(),
         }
-    ).withColumn("amenity_items", _until_limit(F.col("amenity_items")))
+    ).withColumn("amenity_items", _until_limit(F.col("amenity_items"), amenity_limit))
 
     desc, detail = F.col("desc_items"), F.col("detail_items")
     rest = F.lower(F.array_join(F.slice(desc, 2, 2**31 - 2), " | "))
@@ -154,8 +164,8 @@ def extract_listing_features(df: DataFrame) -> DataFrame:
     has_text = joined(F.transform(owned, lambda a: a["token"]))
     no_text = joined(F.transform(lacking, lambda a: F.concat(F.lit("no_"), a["token"])))
     parts = F.concat(
-        _strings(F.slice(desc, 1, TEXT_ITEM_LIMIT)),
-        _strings(F.slice(detail, 1, TEXT_ITEM_LIMIT)),
+        _strings(_first(desc, text_item_limit)),
+        _strings(_first(detail, text_item_limit)),
         F.transform(owned, _amenity_text),
     )
     blob = F.array_distinct(F.filter(parts, lambda part: F.length(part) > 2))

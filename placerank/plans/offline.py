@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placerank.constants import (
+    AMENITY_LIMIT,
     DISPLAY_COLUMNS,
     ENV_COLUMNS,
     EUROPE_CODES,
@@ -18,6 +19,7 @@ from placerank.constants import (
     SCORE_COLUMNS,
     TARGET_COUNTRIES,
     TEMPERATURE_COLUMNS,
+    TEXT_ITEM_LIMIT,
 )
 from placerank.operators import cleaning, embedding, geography, nested, pricing, scoring
 from placerank.operators.neighbours import attach_candidates, every_country, nearest_neighbours
@@ -39,13 +41,13 @@ def clean_listings(
     """Raw listings to the final listing columns.
 
     Means for imputation are taken before the price cap, as the cap only applies
-    to imputed prices.  The parsed and priced rows are written once: the means
-    and the rows they complete are both read from there.
+    to imputed prices.  Runs jobs: the unique rows and the priced rows are written
+    once, as places and means are found in a pass of their own.
     """
     typed = cleaning.cast_types(cleaning.select_raw_columns(raw))
+    unique = written(cleaning.one_per_key(typed), "listings")
     parsed = (
-        cleaning.one_per_key(typed)
-        .transform(nested.extract_listing_features)
+        unique.transform(nested.extract_listing_features, AMENITY_LIMIT, TEXT_ITEM_LIMIT)
         .transform(nested.parse_pricing)
         .transform(nested.parse_ratings)
     )

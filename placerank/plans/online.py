@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placerank.constants import N_CANDIDATES, RESULT_COLUMNS
+from placerank.constants import N_CANDIDATES, RESULT_COLUMNS, TARGET_COUNTRIES
 from placerank.functions.expressions import present
 from placerank.operators.neighbours import retrieve
 from placerank.operators.ranking import Preferences, check_request, rank
@@ -21,10 +21,13 @@ def recommend(
     prefs: Preferences,
     k: int = 10,
     n: int = N_CANDIDATES,
-    allowed: Sequence[str] = (),
+    allowed: Sequence[str] = tuple(TARGET_COUNTRIES),
     **options,
 ) -> DataFrame:
-    """The ``k`` best of the ``n`` listings nearest to one listing in a country."""
+    """The ``k`` best of the ``n`` listings nearest to one listing in a country.
+
+    The country must be one of ``allowed``; an empty list allows all.
+    """
     _, code = check_request(target_id, country, allowed)
     candidates = retrieve(embedded, target_id, code, n, **options)
     taken = [c for c in candidates.columns if c != "property_id"]
@@ -33,10 +36,15 @@ def recommend(
 
 
 def recommend_stored(
-    neighbours: DataFrame, target_id, country: str, prefs: Preferences, k: int = 10
+    neighbours: DataFrame,
+    target_id,
+    country: str,
+    prefs: Preferences,
+    k: int = 10,
+    allowed: Sequence[str] = tuple(TARGET_COUNTRIES),
 ) -> DataFrame:
     """The same from precomputed neighbours."""
-    source, code = check_request(target_id, country)
+    source, code = check_request(target_id, country, allowed)
     stored = neighbours.where(
         (F.col("src_property_id").cast("string") == source) & (F.col("target_cc") == code)
     )
