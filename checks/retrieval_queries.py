@@ -100,6 +100,17 @@ def lsh_neighbours(spark, folder):
     return neighbours.nearest_neighbours(index.transform(vectors), requests, 50, shared_buckets=True)
 
 
+@query("lsh_neighbours_wide", ["vectors"], "SELECT * FROM nearest", NEIGHBOUR_STEPS)
+def lsh_neighbours_wide(spark, folder):
+    """One bucket for all listings: the join on buckets then finds the exact nearest."""
+    from pyspark.ml.functions import array_to_vector
+
+    bucket = F.array(array_to_vector(F.array(F.lit(0.0))))
+    hashed = view(spark, folder, "vectors").withColumn("hashes", bucket)
+    requests = neighbours.every_country(sample(spark, folder), TARGET_COUNTRIES)
+    return neighbours.nearest_neighbours(hashed, requests, 50, shared_buckets=True)
+
+
 @query("lsh_single")
 def lsh_single(spark, folder):
     """The index's own approximate search for one listing."""

@@ -103,7 +103,6 @@ class Sources:
     ids: np.ndarray
     block: Block
     targets: list[list[str]]
-    buckets: np.ndarray | None = None
 
     def by_country(self) -> dict[str, np.ndarray]:
         wanted: dict[str, list[int]] = {}
@@ -165,12 +164,6 @@ def nearest_in_batches(
         dist = distances(block, parts[country])
         if drop_self:
             dist[ids[:, None] == sources.ids[positions][None, :]] = np.inf
-        if sources.buckets is not None:
-            flat, _ = _ragged(rows.column("buckets"), "float64")
-            theirs = flat.reshape(len(ids), -1)
-            mine = sources.buckets[positions]
-            shared = (theirs[:, None, :] == mine[None, :, :]).any(axis=2)
-            dist[~shared] = np.inf
         limit = bound[country]
         if len(ids) > n:
             limit = np.minimum(limit, np.partition(dist, n - 1, axis=0)[n - 1])

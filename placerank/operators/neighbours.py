@@ -1,15 +1,14 @@
 """Nearest listings in embedding space, within one country.
 
-The search is exact.  Source vectors are few and are sent to every task; each
-task makes one pass over its candidates and keeps the best ``n`` per source and
-country, so candidates are neither shuffled nor paired in rows.  If there are
-more sources than may be sent, both sides are cut in blocks and each pair of
-blocks is searched in its own task.
+The search is exact.  Requests and candidates of a country are cut by a hash of their
+ids into blocks of bounded bytes, and each pair of blocks of one country is searched in a
+task of its own; countries nobody asks for are not looked at.  One listing's request is
+a single vector, which is sent to the candidates instead.  With an index, listings that
+share a hash bucket are paired by an equi-join on the buckets.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,15 +21,19 @@ from pyspark.ml.linalg import VectorUDT
 from placerank.constants import N_CANDIDATES
 from placerank.functions.expressions import cosine_from_l2, present
 from placerank.functions.nearest_kernel import (
+    DIGITS,
     Sources,
     as_ids,
     block_of,
     nearest_in_batches,
     total_distances,
 )
+from placerank.sources.scratch import written
 
-MAX_SOURCES = 4096
-_BLOCK_ROWS = 50_000
+SOURCE_ROWS = 4096
+CANDIDATE_ROWS = 50_000
+BLOCK_BYTES = 128 << 20
+_MERGE_PARTS = 64
 
 
 def _as_vectors(df: DataFrame, vector: str, shared_buckets: bool) -> tuple[DataFrame, bool]:
@@ -53,21 +56,9 @@ def _as_vectors(df: DataFrame, vector: str, shared_buckets: bool) -> tuple[DataF
     return df.select(*columns).dropna(subset=["property_id", "addr_cc", "values"]), sparse
 
 
-def _with_targets(prepared: DataFrame, requests: DataFrame) -> DataFrame:
-    """The vectors of the requested ids, each with the countries asked for."""
-    per_source = (
-        requests.select("property_id", "target_cc")
-        .dropna()
-        .groupBy("property_id")
-        .agg(F.collect_set("target_cc").alias("targets"))
-    )
-    return prepared.drop("addr_cc").join(per_source, "property_id")
-
-
-def _sources_from(rows: Sequence, sparse: bool, shared_buckets: bool) -> Sources:
+def _sources_from(rows: Sequence, sparse: bool) -> Sources:
     ids = np.asarray([r["property_id"] for r in rows])
-    buckets = np.asarray([r["buckets"] for r in rows]) if shared_buckets else None
-    return Sources(ids, block_of(rows, sparse), [list(r["targets"]) for r in rows], buckets)
+    return Sources(ids, block_of(rows, sparse), [[r["target_cc"]] for r in rows])
 
 
 def _found(country: str, ids: np.ndarray, found, schema: pa.Schema) -> pa.RecordBatch:
@@ -92,23 +83,21 @@ def _result_types(id_type: T.DataType) -> tuple[T.StructType, pa.Schema]:
 
 def top_neighbours(pairs: DataFrame, n: int) -> DataFrame:
     """The ``n`` nearest per source and target country, ties by id, self left out."""
-    nearest = Window.partitionBy("src_property_id", "target_cc").orderBy(
-        "l2_dist", "neighbor_property_id"
-    )
-    return (
-        pairs.where("src_property_id <> neighbor_property_id")
-        .withColumn("place", F.row_number().over(nearest))
-        .where(F.col("place") <= n)
-        .drop("place")
-    )
+    return _nearest_n(pairs.where("src_property_id <> neighbor_property_id"), n)
 
 
 def _nearest_n(found: DataFrame, n: int) -> DataFrame:
-    nearest = Window.partitionBy("src_property_id", "target_cc").orderBy(
-        "l2_dist", "neighbor_property_id"
-    )
+    """The best ``n`` of every hashed part of a source's candidates, then of those.
+
+    So no task sorts all candidates of a source.
+    """
+    part = F.pmod(F.xxhash64("neighbor_property_id"), F.lit(_MERGE_PARTS))
+    order = ["l2_dist", "neighbor_property_id"]
+    some = Window.partitionBy("src_property_id", "target_cc", part).orderBy(*order)
+    every = Window.partitionBy("src_property_id", "target_cc").orderBy(*order)
+    best = found.withColumn("place", F.row_number().over(some)).where(F.col("place") <= n)
     return (
-        found.withColumn("place", F.row_number().over(nearest))
+        best.withColumn("place", F.row_number().over(every))
         .where(F.col("place") <= n)
         .drop("place")
     )
@@ -121,37 +110,33 @@ def nearest_neighbours(
     vector: str = "features_norm",
     drop_self: bool = True,
     shared_buckets: bool = False,
-    max_sources: int = MAX_SOURCES,
+    source_rows: int = SOURCE_ROWS,
+    candidate_rows: int = CANDIDATE_ROWS,
 ) -> DataFrame:
     """The ``n`` nearest candidates for every (``property_id``, ``target_cc``) request.
 
-    ``shared_buckets`` admits only candidates that share at least one hash bucket
-    with the source, as a locality-sensitive index does; ``embedded`` then
-    carries the index's ``hashes``.  Ids without an embedding have no result.
+    Blocks hold at most ``source_rows`` sources or ``candidate_rows`` candidates on
+    average, and fewer if vectors are long.  ``shared_buckets`` admits only candidates
+    that share at least one hash bucket with the source, as a locality-sensitive index
+    does; ``embedded`` then carries the index's ``hashes``.  Ids without an embedding
+    have no result.  Block counts are written to the shared folder when it is called.
     """
     prepared, sparse = _as_vectors(embedded, vector, shared_buckets)
-    sources = _with_targets(prepared, requests)
-    rows = sources.limit(max_sources + 1).collect()
-    if len(rows) > max_sources:
-        return _nearest_by_blocks(
-            prepared, sources, n, sparse, drop_self, shared_buckets, max_sources
-        )
-    rows = list({r["property_id"]: r for r in rows}.values())
-    countries = sorted({c for r in rows for c in r["targets"]})
-    spark_schema, arrow_schema = _result_types(prepared.schema["property_id"].dataType)
-    sent = embedded.sparkSession.sparkContext.broadcast(
-        _sources_from(rows, sparse, shared_buckets)
-    )
+    asked = requests.select("property_id", "target_cc").dropna().distinct()
+    sources = prepared.drop("addr_cc").join(asked, "property_id")
+    if shared_buckets:
+        return _nearest_in_buckets(prepared, sources, n, drop_self)
+    return _nearest_by_blocks(prepared, sources, n, sparse, drop_self, source_rows, candidate_rows)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = sent.value
-        if not len(block.ids):
-            return
-        for country, *found in nearest_in_batches(batches, block, n, drop_self):
-            yield _found(country, block.ids, found, arrow_schema)
 
-    candidates = prepared.where(F.col("addr_cc").isin(countries))
-    return _nearest_n(candidates.mapInArrow(search, spark_schema), n)
+def _blocks(df: DataFrame, country: str, rows: int, sparse: bool, name: str) -> DataFrame:
+    """How many blocks every country's vectors need, by rows and by bytes."""
+    size = F.sum(F.size("values")) * (16 if sparse else 8)
+    counted = df.groupBy(F.col(country).alias("country")).agg(
+        F.count("*").alias("rows"), size.alias("bytes")
+    )
+    needed = F.greatest(F.ceil(F.col("rows") / rows), F.ceil(F.col("bytes") / BLOCK_BYTES))
+    return counted.select("country", F.greatest(needed, F.lit(1)).cast("int").alias(name))
 
 
 def _nearest_by_blocks(
@@ -160,68 +145,145 @@ def _nearest_by_blocks(
     n: int,
     sparse: bool,
     drop_self: bool,
-    shared_buckets: bool,
-    max_sources: int,
+    source_rows: int,
+    candidate_rows: int,
 ) -> DataFrame:
-    """The same search with both sides cut in blocks of bounded size.
+    """Every source block of a country meets every candidate block of it once.
 
-    Blocks go by a hash of the id and not by country, so a country with a third
-    of all listings is spread over all blocks.
+    Blocks go by a hash of the id, so a country with a third of all listings has more
+    blocks than others and none that is larger.
     """
-    n_sources, n_rows = sources.count(), prepared.count()
-    source_blocks = math.ceil(n_sources / max_sources)
-    row_blocks = max(1, math.ceil(n_rows / _BLOCK_ROWS))
+    counts = written(
+        _blocks(sources, "target_cc", source_rows, sparse, "s_blocks").join(
+            _blocks(prepared, "addr_cc", candidate_rows, sparse, "c_blocks"), "country"
+        ),
+        "blocks",
+    )
 
-    def block(count: int) -> Column:
-        return F.pmod(F.xxhash64("property_id"), F.lit(count)).cast("int")
+    def block(count: str) -> Column:
+        return F.pmod(F.xxhash64("property_id"), F.col(count)).cast("int")
 
-    def every(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    left = sources.withColumns({"s": block(source_blocks), "c": every(row_blocks)})
+    left = (
+        sources.withColumn("country", F.col("target_cc")).join(counts, "country")
+        .withColumn("s", block("s_blocks")).withColumn("c", every("c_blocks"))
+        .drop("s_blocks", "c_blocks")
+    )
     # Both sides stem from one table, so the left one's columns get their own names.
     names = left.columns
     left = left.toDF(*[f"source_{name}" for name in names])
-    right = prepared.withColumns({"c": block(row_blocks), "s": every(source_blocks)})
+    right = (
+        prepared.withColumn("country", F.col("addr_cc")).join(counts, "country")
+        .withColumn("c", block("c_blocks")).withColumn("s", every("s_blocks"))
+        .drop("s_blocks", "c_blocks")
+    )
     spark_schema, arrow_schema = _result_types(prepared.schema["property_id"].dataType)
 
     def search(some: pa.Table, rows: pa.Table) -> pa.Table:
         source_rows = some.rename_columns(names).to_pylist()
         out = []
         if source_rows and rows.num_rows:
-            block_ = _sources_from(source_rows, sparse, shared_buckets)
+            block_ = _sources_from(source_rows, sparse)
             whole = rows.combine_chunks().to_batches()
             for country, *found in nearest_in_batches(whole, block_, n, drop_self):
                 out.append(_found(country, block_.ids, found, arrow_schema))
         return pa.Table.from_batches(out, schema=arrow_schema)
 
     found = (
-        left.groupBy("source_s", "source_c")
-        .cogroup(right.groupBy("s", "c"))
+        left.groupBy("source_country", "source_s", "source_c")
+        .cogroup(right.groupBy("country", "s", "c"))
         .applyInArrow(search, spark_schema)
     )
     return _nearest_n(found, n)
 
 
+def _nearest_in_buckets(
+    prepared: DataFrame, sources: DataFrame, n: int, drop_self: bool
+) -> DataFrame:
+    """Pairs that share a bucket of any table of the index, and their distances.
+
+    Buckets are joined without the vectors; these join the distinct pairs.
+    """
+
+    def bucketed(df: DataFrame, country: str, name: str) -> DataFrame:
+        return df.select(
+            F.col("property_id").alias(name), F.col(country).alias("target_cc"),
+            F.posexplode("buckets").alias("place", "bucket"),
+        )
+
+    met = bucketed(sources, "target_cc", "src_property_id").join(
+        bucketed(prepared, "addr_cc", "neighbor_property_id"), ["target_cc", "place", "bucket"]
+    )
+    if drop_self:
+        met = met.where("src_property_id <> neighbor_property_id")
+    pairs = met.select("src_property_id", "neighbor_property_id", "target_cc").distinct()
+
+    def side(df: DataFrame, name: str, prefix: str) -> DataFrame:
+        values = F.col("values")
+        places = F.col("indices") if "indices" in df.columns else F.sequence(
+            F.lit(0), F.size(values) - 1
+        )
+        return df.select(
+            F.col("property_id").alias(name), places.alias(f"{prefix}_places"), values.alias(prefix)
+        ).dropDuplicates([name])
+
+    both = pairs.join(side(prepared, "src_property_id", "a"), "src_property_id").join(
+        side(prepared, "neighbor_property_id", "b"), "neighbor_property_id"
+    )
+    return _nearest_n(
+        both.select(*pairs.columns, _distance("a_places", "a", "b_places", "b").alias("l2_dist")), n
+    )
+
+
+def _distance(a_places: str, a: str, b_places: str, b: str) -> Column:
+    """Euclidean distance of two vectors of places and values, rounded."""
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+    def squares(name: str) -> Column:
+        return total(F.transform(name, lambda v: v * v))
+
+    same = total(F.zip_with(a, b, lambda x, y: x * y))
+    known = F.map_from_arrays(a_places, a)
+    sparse = total(
+        F.zip_with(b_places, b, lambda i, y: y * F.coalesce(F.try_element_at(known, i), F.lit(0.0)))
+    )
+    dot = F.when(F.col(a_places) == F.col(b_places), same).otherwise(sparse)
+    return F.round(F.sqrt(F.greatest(F.lit(0.0), squares(a) + squares(b) - 2 * dot)), DIGITS)
+
+
 def retrieve(
     embedded: DataFrame,
     target_id,
     country: str,
     n: int = N_CANDIDATES,
     vector: str = "features_norm",
-    **options,
 ) -> DataFrame:
     """The ``n`` nearest listings to one listing in one country, with ``l2_dist``.
 
-    The listing itself never takes one of the ``n`` places; an unknown listing
+    The listing is looked up by its id, which prunes a stored table, when this is
+    called.  Its one vector is sent to the candidates, and each task keeps its ``n``
+    best.  The listing itself never takes one of the ``n`` places; an unknown listing
     has no neighbours.
     """
-    id_type = embedded.schema["property_id"].dataType.simpleString()
-    request = embedded.sparkSession.createDataFrame(
-        [(target_id, country)], f"property_id {id_type}, target_cc string"
-    )
-    found = nearest_neighbours(embedded, request, n, vector, **options)
-    return found.select(
+    prepared, sparse = _as_vectors(embedded, vector, False)
+    found = prepared.where(F.col("property_id") == F.lit(target_id)).limit(1).collect()
+    rows = [r.asDict() | {"target_cc": country} for r in found]
+    spark_schema, arrow_schema = _result_types(prepared.schema["property_id"].dataType)
+    sent = embedded.sparkSession.sparkContext.broadcast(_sources_from(rows, sparse))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = sent.value
+        if not len(block.ids):
+            return
+        for country, *best in nearest_in_batches(batches, block, n, True):
+            yield _found(country, block.ids, best, arrow_schema)
+
+    candidates = prepared.where(F.col("addr_cc") == country)
+    return _nearest_n(candidates.mapInArrow(search, spark_schema), n).select(
         F.col("neighbor_property_id").alias("property_id"),
         F.col("target_cc").alias("addr_cc"),
         "l2_dist",

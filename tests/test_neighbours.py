@@ -46,12 +46,11 @@ def test_dense_search_is_exact(spark, dense):
     assert as_set(neighbours.nearest_neighbours(df, requests, 10)) == brute(x, countries, sources, 10)
 
 
-def test_blocks_equal_broadcast(spark, dense, monkeypatch):
+def test_blocks_of_any_size_agree(spark, dense):
     _, _, df = dense
-    monkeypatch.setattr(neighbours, "_BLOCK_ROWS", 50)
     requests = neighbours.every_country(df.select("property_id"), COUNTRIES)
     sent = neighbours.nearest_neighbours(df, requests, 7)
-    blocked = neighbours.nearest_neighbours(df, requests, 7, max_sources=100)
+    blocked = neighbours.nearest_neighbours(df, requests, 7, source_rows=10, candidate_rows=15)
     assert as_set(sent) == as_set(blocked)
 
 
