@@ -28,9 +28,9 @@ def _number(band: str, column: str) -> str:
     return f"(shiftleft({band}, 24) + {column})"
 
 
-def on_level(level: int, cell: str) -> str:
+def on_level(level: int | str, cell: str) -> str:
     """A cell of one of several grids, told apart from the cells of the others."""
-    return f"(shiftleft({level}L, 52) + {cell})"
+    return f"(shiftleft(cast({level} as bigint), 52) + {cell})"
 
 
 def level_of(cell: str) -> str:
@@ -39,18 +39,25 @@ def level_of(cell: str) -> str:
 
 @dataclass(frozen=True)
 class Grid:
-    """Grids down to a step of about 0.00003 degrees fit the cell numbers."""
+    """Grids down to a step of about 0.00003 degrees fit the cell numbers.
 
-    step: float
+    The step is a number, or SQL text that names one, so that rows may differ in it.
+    """
+
+    step: float | str
+
+    @property
+    def _step(self) -> str:
+        return self.step if isinstance(self.step, str) else f"{self.step!r}D"
 
     def band(self, lat: str) -> str:
-        return f"floor(({lat} + 90D) / {self.step!r}D)"
+        return f"floor(({lat} + 90D) / {self._step})"
 
     def band_columns(self, band: str) -> str:
         """Number of columns in a band; its edge nearest the pole decides."""
-        low = f"({band} * {self.step!r}D - 90D)"
-        edge = f"least(greatest(abs({low}), abs({low} + {self.step!r}D)), 90D)"
-        return f"greatest(floor(360D * cos(radians({edge})) / {self.step!r}D), 1L)"
+        low = f"({band} * {self._step} - 90D)"
+        edge = f"least(greatest(abs({low}), abs({low} + {self._step})), 90D)"
+        return f"greatest(floor(360D * cos(radians({edge})) / {self._step}), 1L)"
 
     def cell(self, lat: str, lon: str) -> str:
         """The one cell a point lies in, as a number."""
@@ -63,10 +70,10 @@ class Grid:
 
         A box wider than a band names each of its columns once.
         """
-        top = int(180.0 / self.step) + 1
+        top = f"(cast(180D / {self._step} as bigint) + 1L)"
         bands = (
             f"transform(sequence(greatest({self.band(f'{lat} - {dlat}')}, 0L), "
-            f"least({self.band(f'{lat} + {dlat}')}, {top}L)), "
+            f"least({self.band(f'{lat} + {dlat}')}, {top})), "
             f"b -> named_struct('b', b, 'n', {self.band_columns('b')}))"
         )
         first = f"floor(({lon} - {dlon} + 180D) / 360D * x.n)"

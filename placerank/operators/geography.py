@@ -127,12 +127,13 @@ def count_nearby(
     one row with counts, so copies on either side are never paired.  Places meet
     tiles, not points: a tile that lies wholly inside the radius adds its totals,
     and only the points of tiles on the edge are measured one by one.  Both joins
-    are equi-joins on grid cells; adaptive execution splits the dense ones.  The
-    counted points are written once, as totals and edges both read them.
+    are equi-joins on grid cells; adaptive execution splits the dense ones.  Points,
+    tiles and the tiles met are written once each, so it runs jobs when called.
+    Only the named groups are counted; a point of another group has no column.
     """
     keys = [] if cross_border else ["addr_cc"]
     points = written(_points(pois, groups, keys), "points")
-    tiles = _tiles(points, groups, keys)
+    tiles = written(_tiles(points, groups, keys), "tiles")
     names = [column_safe(g) for g in groups]
     place = ["addr_cc", "lat", "lon"]
 
@@ -147,19 +148,19 @@ def count_nearby(
         )
         .selectExpr("*", f"explode({Grid(_STEP).touching('lat', 'lon', 'dlat', 'dlon')}) as cell")
     )
-    placement = _placement(radius_m)
-    inside = (
-        places.join(tiles, ["cell", *keys])
-        .where(f"{placement} = 'inside'")
-        .select(*place, *names)
+    met = written(
+        places.hint("merge").join(tiles, ["cell", *keys])
+        .selectExpr("*", f"{_placement(radius_m)} as placement")
+        .where("placement <> 'outside'")
+        .select(*place, "dlat", "dlon", "cell", "tile", "placement", *names),
+        "met",
     )
+    inside = met.where("placement = 'inside'").select(*place, *names)
     # Tiles of one coordinate are never on the edge, so where points are sparse
     # this side is all but empty.  A tile can cross a cell's border, so the join
     # with the points names the cell too.
     edge = (
-        places.join(tiles.where("lat_lo < lat_hi or lon_lo < lon_hi"), ["cell", *keys])
-        .where(f"{placement} = 'edge'")
-        .select(*place, "dlat", "dlon", "cell", "tile")
+        met.where("placement = 'edge'").select(*place, "dlat", "dlon", "cell", "tile")
         .join(points, ["tile", "cell", *keys])
         .where("p_lat between lat - dlat and lat + dlat and p_lon between lon - dlon and lon + dlon")
         .where(f"{haversine_sql('lat', 'lon', 'p_lat', 'p_lon', EARTH_RADIUS_M)} <= {radius_m}D")
@@ -251,18 +252,13 @@ def _search_cells(lat: str, lon: str) -> str:
     A cell's diagonal bounds the distance to that place, so every nearer place
     is in the box with that reach on all sides.  Columns are at most about twice
     as wide as bands are high, except where one column is a whole polar band;
-    a reach of three steps covers both.
+    a reach of three steps covers both.  The step is a column, so the formula is
+    written once for all levels.
     """
-    branches = []
-    for level, step in enumerate(_LEVELS):
-        reach = min(3.0 * step, 180.0)
-        top = f"cos(radians(least(abs({lat}) + {reach}D, 90D)))"
-        dlon = f"if({top} > {reach / 180.0!r}D, {reach}D / {top}, 180D)"
-        cells = Grid(step).touching(lat, lon, f"{reach}D", dlon)
-        branches.append(
-            f"when {level} then transform({cells}, q -> {on_level(level, 'q')})"
-        )
-    return f"case level {' '.join(branches)} end"
+    top = f"cos(radians(least(abs({lat}) + reach, 90D)))"
+    dlon = f"if({top} > reach / 180D, reach / {top}, 180D)"
+    cells = Grid("step").touching(lat, lon, "reach", dlon)
+    return f"transform({cells}, q -> {on_level('level', 'q')})"
 
 
 def nearest_place(df: DataFrame, gazetteer: DataFrame, lat: str = "lat", lon: str = "long") -> DataFrame:
@@ -270,8 +266,10 @@ def nearest_place(df: DataFrame, gazetteer: DataFrame, lat: str = "lat", lon: st
 
     Each distinct coordinate looks up the finest level on which its own cell
     holds a known place.  That bounds the distance to the nearest one, so one
-    equi-join on the cells within reach finds it exactly.  Rows without usable
-    coordinates get nulls.
+    equi-join on the cells within reach finds it exactly.  The level is found without
+    dealing coordinates out by cell.  Only coordinates far from all places, which are
+    few, search coarse cells; the join is a sort-merge join, as the size of an exploded
+    side is not known beforehand.  Rows without usable coordinates get nulls.
     """
     names = ["name", "cc", "admin1", "admin2"]
     placed = (
@@ -284,16 +282,24 @@ def nearest_place(df: DataFrame, gazetteer: DataFrame, lat: str = "lat", lon: st
         .where("near_lat between -90 and 90 and near_lon between -180 and 180")
         .distinct()
     )
+    # Cells of all levels are at most about 1.1 million, whatever the gazetteer holds.
+    held = F.broadcast(placed.select("at").distinct())
+    steps = ", ".join(f"{step!r}D" for step in _LEVELS)
     level = (
         spots.selectExpr("*", f"explode({_level_cells('near_lat', 'near_lon')}) as at")
-        .join(placed.select("at").distinct(), "at", "left_semi")
+        .join(held, "at", "left_semi")
         .groupBy("near_lat", "near_lon")
         .agg(F.expr(f"min({level_of('at')})").alias("level"))
+        .selectExpr("*", f"element_at(array({steps}), level + 1) as step")
+        .selectExpr("*", "least(3D * step, 180D) as reach")
     )
     distance = haversine_sql("near_lat", "near_lon", "g_lat", "g_lon", EARTH_RADIUS_M)
     order = f"struct(round({distance}, 3) as metres, {', '.join(names)})"
     nearest = (
-        level.selectExpr("*", f"explode({_search_cells('near_lat', 'near_lon')}) as at")
+        level.selectExpr(
+            "near_lat", "near_lon", f"explode({_search_cells('near_lat', 'near_lon')}) as at"
+        )
+        .hint("merge")
         .join(placed, "at")
         .groupBy("near_lat", "near_lon")
         .agg(F.expr(f"min({order})").alias("place"))
