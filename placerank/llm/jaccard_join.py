@@ -242,32 +242,62 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs ``u``, ``v`` whose sets are similar enough, by comparing the whole sets."""
-    left = sets.select(F.col("node").alias("u"), F.col("tokens").alias("a"))
-    right = sets.select(F.col("node").alias("v"), F.col("tokens").alias("b"))
+    """Those pairs ``u``, ``v`` whose sets are similar enough, by comparing the whole sets.
+
+    Only the sets that a pair asks for are dealt out.
+    """
+    pairs = written(pairs, "pairs")
+    asked = written(
+        pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "asked"
+    )
+    needed = sets.join(asked, "node", "left_semi")
+    left = needed.select(F.col("node").alias("u"), F.col("tokens").alias("a"))
+    right = needed.select(F.col("node").alias("v"), F.col("tokens").alias("b"))
     both = pairs.join(left, "u").join(right, "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
+def _may_link(shared: Column, a: str, b: str, percent: int) -> Column:
+    """Whether so many shared prefix shingles leave a pair the chance to be similar.
+
+    At least as many are asked for as the less demanding of the two asks.  And what
+    the prefix that ends first does not hold is all that may be shared besides, while
+    similar sets share ``percent / (100 + percent)`` of their sizes' sum.
+    """
+    total = F.col(f"{a}.n") + F.col(f"{b}.n")
+    rest = F.greatest(f"{a}.rest", f"{b}.rest")
+    return (shared >= F.least(f"{a}.matches", f"{b}.matches")) & (
+        (100 + percent) * (shared + rest) >= percent * total
+    )
+
+
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _pivot_pairs(posts: DataFrame, percent: int) -> DataFrame:
+def _pivot_pairs(posts: DataFrame, percent: int, again: bool) -> DataFrame:
     """Every document of a list against the list's pivot, where components differ.
 
-    The pivot has the fewest rare shingles, as the common origin of near copies has
-    none of their changes.  It is found by an aggregate, not by gathering the list.
+    Pairs that share too few of their pivot's lists are left to the last join.  The pivot has the fewest rare shingles, as the common origin of near copies has
+    none of their changes; ``again`` takes the best one outside its component.  It is
+    found by an aggregate, not by gathering the list.
     """
-    first = F.min(F.struct("rare", "node", "n", "component")).over(Window.partitionBy("token"))
-    seen = posts.withColumn("pivot", first)
+    facts = F.struct("rare", "node", "n", "rest", "matches", "component")
+    whole = Window.partitionBy("token")
+    seen = posts.select("token", facts.alias("own"), F.min(facts).over(whole).alias("pivot"))
+    if again:
+        other = F.when(F.col("own.component") != F.col("pivot.component"), F.col("own"))
+        seen = seen.withColumn("pivot", F.min(other).over(whole))
     return (
         seen.where(
-            (F.col("component") != F.col("pivot.component"))
-            & _similar_sizes(F.col("n"), F.col("pivot.n"), percent)
+            (F.col("own.component") != F.col("pivot.component"))
+            & _similar_sizes(F.col("own.n"), F.col("pivot.n"), percent)
         )
-        .select(F.least("node", "pivot.node").alias("u"), F.greatest("node", "pivot.node").alias("v"))
+        .groupBy("own", "pivot")
+        .agg(F.count("*").alias("shared"))
+        .where(_may_link(F.col("shared"), "own", "pivot", percent))
+        .select(F.least("own.node", "pivot.node").alias("u"), F.greatest("own.node", "pivot.node").alias("v"))
         .distinct()
     )
 
@@ -319,11 +349,12 @@ def jaccard_components(
         .where("digest IS NOT NULL")
         .groupBy("digest", "n")
         .agg(F.first(F.struct("matches", "rare", "prefix")).alias("p"))
+        .withColumn("rest", (F.col("n") - F.size("p.prefix")).cast("int"))
     )
     lists = (
         prefixes.select(
             F.xxhash64("digest", "n").alias("node"), F.col("n").cast("int").alias("n"),
-            "p.matches", "p.rare", F.explode("p.prefix").alias("token"),
+            "p.matches", "p.rare", "rest", F.explode("p.prefix").alias("token"),
         )
         .withColumn("length", F.count("*").over(Window.partitionBy("token")))
         .where("length > 1")
@@ -350,23 +381,25 @@ def jaccard_components(
 
     edges = None
     left = posts
-    for _ in range(_STAR_ROUNDS):
-        found = written(_verified(_pivot_pairs(left, percent), sets, percent), "links")
+    for turn in range(_STAR_ROUNDS):
+        found = written(_verified(_pivot_pairs(left, percent, turn > 0), sets, percent), "links")
         edges = found if edges is None else edges.union(found)
         left = written(_mixed(posts, components(edges)), "mixed")
-    a, b = left.alias("a"), left.alias("b")
+    facts = F.struct("node", "n", "rest", "matches", "component")
+    a = left.select("token", facts.alias("a"))
+    b = left.select("token", facts.alias("b"))
     pairs = (
         a.join(
-            b,
-            (F.col("a.token") == F.col("b.token"))
+            b.withColumnRenamed("token", "token_b"),
+            (F.col("token") == F.col("token_b"))
             & (F.col("a.node") < F.col("b.node"))
             & (F.col("a.component") != F.col("b.component"))
             & _similar_sizes(F.col("a.n"), F.col("b.n"), percent),
         )
-        .groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-        .agg(F.count("*").alias("shared"), F.min(F.least("a.matches", "b.matches")).alias("asked"))
-        .where("shared >= asked")
-        .select("u", "v")
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("shared"))
+        .where(_may_link(F.col("shared"), "a", "b", percent))
+        .select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     )
     edges = edges.union(written(_verified(pairs, sets, percent), "links"))
     labels = components(edges)
