@@ -188,7 +188,11 @@ def rating_histogram(spark, folder):
     return rounded(bins, "bin_start", "bin_end", digits=4)
 
 
-@query("row_sample")
+@query(
+    "row_sample", ["listings"],
+    """SELECT property_id, price_per_night FROM listings
+WHERE CAST('0x' || substr(md5('42|' || property_id), 1, 8) AS BIGINT) < 429496729""",
+)
 def row_sample(spark, folder):
     sampled = profiling.sample_rows(view(spark, folder, "listings"), 0.1, seed=42)
     return sampled.select("property_id", "price_per_night")
@@ -324,6 +328,10 @@ def city_points(spark, folder):
     return coverage.city_points(view(spark, folder, "cities"))
 
 
-@query("city_points_sample")
+@query(
+    "city_points_sample", ["cities"],
+    """SELECT addr_cc, longitude, latitude FROM cities
+WHERE CAST('0x' || substr(md5('42|' || addr_cc || '|' || addr_name), 1, 8) AS BIGINT) < 2147483648""",
+)
 def city_points_sample(spark, folder):
     return coverage.city_points(view(spark, folder, "cities"), fraction=0.5)

@@ -35,6 +35,13 @@ def seeded_order(seed: int | str, *columns: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *texts))
 
 
+def seeded_share(fraction: float, seed: int | str, *columns: Column | str) -> Column:
+    """Whether a row is in a sample of that fraction: the same rows for the same seed."""
+    limit = min(max(int(fraction * 2**32), 0), 2**32)
+    place = F.conv(F.substring(seeded_order(seed, *columns), 1, 8), 16, 10).cast("bigint")
+    return place < F.lit(limit)
+
+
 def truncated(label: Column, max_length: int = 15) -> Column:
     """Label cut to ``max_length`` characters, the last three being dots."""
     text = F.coalesce(label.cast("string"), F.lit(""))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placerank.constants import CANONICAL_CONTINENTS, CONTINENT_TITLES, ENV_GROUPS, SUITE_MIN_ROWS
+from placerank.functions.expressions import seeded_share
 
 
 def continent_table(spark: SparkSession, continents: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -173,5 +174,6 @@ def city_points(
     cities: DataFrame, fraction: float | None = None, seed: int = 42
 ) -> DataFrame:
     """Coordinates of cities for a map, or of a seeded sample of them."""
-    points = cities.select("addr_cc", "longitude", "latitude")
-    return points if fraction is None else points.sample(fraction=fraction, seed=seed)
+    if fraction is not None:
+        cities = cities.where(seeded_share(fraction, seed, "addr_cc", "addr_name"))
+    return cities.select("addr_cc", "longitude", "latitude")

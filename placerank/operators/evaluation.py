@@ -15,6 +15,7 @@ from placerank.operators.neighbours import (
     pick_rows,
     with_cosine,
 )
+from placerank.sources.scratch import written
 
 
 def country_pool(
@@ -142,10 +143,12 @@ def median_table(
     """Median similarity per target and country, with medians of both margins.
 
     The last row holds each country's median over targets and, in the last
-    column, the median of all cells.
+    column, the median of all cells.  Cells, one per target and country, are written
+    once, as the rows and the last row read them.
     """
-    cells = results.groupBy("target_id", "cand_cc").agg(
-        F.median("cosine_similarity").alias("cell")
+    cells = written(
+        results.groupBy("target_id", "cand_cc").agg(F.median("cosine_similarity").alias("cell")),
+        "cells",
     )
 
     def of(country: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placerank.functions.expressions import seeded_share
 from placerank.sources.scratch import written
 
 _NUMERIC = (T.DoubleType, T.IntegerType, T.FloatType, T.LongType)
@@ -183,7 +184,13 @@ def histogram(df: DataFrame, column: str, bins: int = 30, log_scale: bool = Fals
     return counted.select("bin", start.alias("bin_start"), end.alias("bin_end"), "n_rows")
 
 
-def sample_rows(df: DataFrame, fraction: float, seed: int = 42, max_rows: int | None = None) -> DataFrame:
-    """A uniform sample without replacement, then at most ``max_rows`` of it."""
-    sampled = df.sample(withReplacement=False, fraction=fraction, seed=seed)
+def sample_rows(
+    df: DataFrame,
+    fraction: float,
+    seed: int = 42,
+    max_rows: int | None = None,
+    keys: Sequence[str] = ("property_id",),
+) -> DataFrame:
+    """A uniform sample without replacement by a hash of ``keys``, then at most ``max_rows`` of it."""
+    sampled = df.where(seeded_share(fraction, seed, *keys))
     return sampled if max_rows is None else sampled.limit(max_rows)

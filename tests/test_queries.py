@@ -1,11 +1,11 @@
-"""Every registered query against its SQL twin on the smallest tables."""
+"""Every registered query against its SQL twin on tables large enough that none is empty."""
 
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from checks.run import compare, connect
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
