@@ -189,22 +189,50 @@ def text_knn(spark, folder):
     return neighbours.nearest_neighbours(vectors, requests, 50, vector="values")
 
 
+# Scores and surroundings of every listing, in the order in which the vector holds them.
+_NUMBERS = {
+    "price_score": "(property_id % 7 + 1) / 7.0e0",
+    "property_quality": "(property_id % 5) / 5.0e0",
+    "host_quality": "(property_id % 3 + 1) / 4.0e0",
+    "env_food_norm": "(property_id % 11) / 11.0e0",
+    "env_nature_norm": "(property_id % 13) / 13.0e0",
+}
+_N = len(_NUMBERS)
+
+
 @query(
     "embedding_pipeline", ["text_listings"],
-    """SELECT property_id, addr_cc, 262144 AS width,
-  CASE WHEN property_id IN (SELECT property_id FROM weighted GROUP BY 1 HAVING sum(weight) > 0)
-    THEN 1 ELSE 0 END AS norm FROM text_listings""",
-    {k: TEXT_STEPS[k] for k in ("tokens", "counted", "weights", "weighted")},
+    f"""SELECT property_id, addr_cc, {262144 + _N} AS width, 1.0e0 AS norm, coalesce(n_words, 0) AS n_words,
+  {', '.join(f'round({e}, 6) AS {c}' for c, e in _NUMBERS.items())}
+FROM text_listings LEFT JOIN (SELECT property_id, sum(tf) AS n_words FROM counted GROUP BY 1) USING (property_id)""",
+    {k: TEXT_STEPS[k] for k in ("tokens", "counted")},
 )
 def embedding_pipeline(spark, folder):
-    """The stored form of an embedding: its width and length, one row per listing."""
+    """Every part of the vector: its width and length, the numbers in front, the hashed words."""
     listings = _texts(spark, folder).withColumnRenamed("text_all", "description")
-    model = embedding.fit_embedding(listings)
-    parts = F.unwrap_udt("features_norm")
-    length = F.sqrt(F.aggregate(parts["values"], F.lit(0.0), lambda a, v: a + v * v))
-    width = F.coalesce(parts["size"], F.size(parts["values"]))
-    return embedding.embed(listings, model).select(
-        "property_id", "addr_cc", width.alias("width"), F.round(length, 6).alias("norm")
+    numbered = listings.selectExpr("*", *[f"double({e}) AS {c}" for c, e in _NUMBERS.items()])
+    model = embedding.fit_embedding(numbered)
+    whole = model.transform(embedding.with_text(numbered)).select(
+        "property_id", "addr_cc",
+        F.unwrap_udt("features").alias("f"),
+        F.unwrap_udt("features_norm").alias("u"),
+        F.unwrap_udt("word_counts")["values"].alias("counts"),
+    )
+    front = F.filter(F.arrays_zip("f.indices", "f.values"), lambda e: e["indices"] < _N)
+    known = F.map_from_entries(front)
+
+    def total(values, square=False):
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + (v * v if square else v))
+
+    return whole.select(
+        "property_id", "addr_cc",
+        F.coalesce("u.size", F.size("u.values")).alias("width"),
+        F.round(F.sqrt(total(F.col("u.values"), True)), 6).alias("norm"),
+        total(F.col("counts")).cast("long").alias("n_words"),
+        *[
+            F.round(F.coalesce(F.try_element_at(known, F.lit(i)), F.lit(0.0)), 6).alias(c)
+            for i, c in enumerate(_NUMBERS)
+        ],
     )
 
 

@@ -14,11 +14,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_local_folders: dict[str, str] = {}
+_local_folders: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one in local mode only.
+
+    A temporary folder goes when the driver's process ends.  What is written to a shared
+    folder stays, as other applications may share it; its tables have names of their own.
+    """
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if folder:
         return folder.rstrip("/")
@@ -26,8 +30,8 @@ def scratch_dir(spark: SparkSession) -> str:
         raise ValueError(f"set {_SETTING} to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="placerank-")
-    return _local_folders[app]
+        _local_folders[app] = tempfile.TemporaryDirectory(prefix="placerank-")
+    return _local_folders[app].name
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

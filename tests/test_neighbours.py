@@ -144,3 +144,25 @@ def test_embedding_models_survive_saving(spark, tmp_path):
     assert [r["property_id"] for r in found] == [3] and found[0]["l2_dist"] < 0.6
     assert embedding.embed(scored, model).count() == 3
     assert embedding.approximate_nearest(embedded, 42, "DE", index, 5) is None
+
+
+def test_embedding_holds_numbers_then_hashed_weighted_words(spark):
+    rows = [(1, "FR", "sunny flat sunny", 0.5, 0.25), (2, "FR", "dark flat", 0.0, 1.0), (3, "DE", "the and", 1.0, 0.0)]
+    df = spark.createDataFrame(
+        rows, "property_id bigint, addr_cc string, description string, price_score double, env_food_norm double"
+    )
+    model = embedding.fit_embedding(df)
+    hashing = model.stages[2]
+    for row in model.transform(embedding.with_text(df)).collect():
+        words = row["kept_words"]
+        weights = {
+            2 + hashing.indexOf(w): words.count(w) * np.log(4 / (1 + sum(w in r[2].split() for r in rows)))
+            for w in set(words)
+        }
+        expected = {0: row["price_score"], 1: row["env_food_norm"]} | weights
+        length = np.sqrt(sum(v * v for v in expected.values()))
+        found = row["features_norm"].toArray()
+        assert len(found) == 2 + (1 << 18)
+        for place in np.flatnonzero(found):
+            assert found[place] == pytest.approx(expected[int(place)] / length)
+        assert {int(p) for p in np.flatnonzero(found)} == {p for p, v in expected.items() if v}

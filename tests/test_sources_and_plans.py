@@ -111,3 +111,23 @@ def test_dense_and_sparse_kinds_of_places(spark):
 
 def test_scratch_folder_is_shared_setting(spark):
     assert scratch_dir(spark) == scratch_dir(spark)
+
+
+def test_continents_are_told_apart_by_their_whole_path(spark, tmp_path):
+    from placerank.sources.tables import read_by_continent
+
+    paths = {}
+    for name, folder in [("Europe", "a/europe"), ("Other", "b/europe"), ("West", "a/europe_west"), ("Blank", "a/south x")]:
+        paths[name] = f"{tmp_path}/{folder}"
+        spark.createDataFrame([(name,)], "origin string").write.parquet(paths[name])
+    rows = read_by_continent(spark, paths).collect()
+    assert len(rows) == 4 and all(r.origin == r.continent for r in rows)
+
+
+def test_country_pool_ignores_case(spark):
+    from placerank.operators import evaluation
+
+    rows = [(1, "fr", [1.0, 0.0]), (2, "de", [0.0, 1.0]), (3, "it", [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "property_id bigint, addr_cc string, features_norm array<double>")
+    picks, _ = evaluation.pick_diverse(df, 3, seed=1)
+    assert {r["property_id"] for r in picks.collect()} == {1, 2, 3}
