@@ -3,6 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from checks.catalog import ORACLES, QUERIES
 from checks.run import compare, connect
 
 FOLDER = "/root/testdata/sf0.01"
@@ -13,11 +14,15 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_agrees_with_sql(spark, duck, name):
-    verdict = compare(spark, duck, FOLDER, queries()[name], oracle_sql().get(name))
+    verdict = compare(spark, duck, FOLDER, QUERIES[name], ORACLES.get(name))
     assert verdict.startswith(("ok", "rows only")), verdict
 
 
+def test_entry_module_has_them_all():
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
+
+
 def test_entry_has_rows(spark):
     assert entry(spark).count() > 0
