@@ -10,8 +10,9 @@ from checks.retrieval_queries import NEIGHBOUR_STEPS, sample, vec_knn_batch
 from checks.score_queries import SCORE_STEPS, SCORE_VIEWS, preset_sql, scored
 from checks.views import CODES, view
 from placerank.constants import EUROPE_CODES, PICKER_COLUMNS
-from placerank.operators import evaluation, ranking
+from placerank.operators import embedding, evaluation, ranking
 from placerank.operators.cleaning import one_per_key
+from placerank.plans.offline import build_models, load_models
 from placerank.sources import tables
 from placerank.sources.scratch import scratch_path, written
 
@@ -287,3 +288,60 @@ def known_ids(spark, folder):
 
 
 assert set(CODES) <= set(EUROPE_CODES)
+
+
+@query(
+    "table_append", ["listings"],
+    """SELECT property_id, addr_cc, count(*) AS copies FROM (
+  SELECT property_id, addr_cc FROM listings UNION ALL SELECT property_id, addr_cc FROM listings WHERE addr_cc = 'FR')
+GROUP BY ALL""",
+)
+def table_append(spark, folder):
+    """A second write in append mode keeps the rows of the first."""
+    path = scratch_path(spark, "append")
+    listings = view(spark, folder, "listings").select("property_id", "addr_cc")
+    tables.write_table(listings, path)
+    tables.write_table(listings.where("addr_cc = 'FR'"), path, mode="append")
+    return tables.read_table(spark, path).groupBy("property_id", "addr_cc").agg(
+        F.count("*").alias("copies")
+    )
+
+
+@query(
+    "neighbour_payloads", ["vectors"],
+    "SELECT neighbor_property_id, l2_dist, count(*) AS copies FROM nearest GROUP BY ALL", NEIGHBOUR_STEPS,
+)
+def neighbour_payloads(spark, folder):
+    """Payloads of every source, half of them bare lists, half wrapped."""
+    found = vec_knn_batch(spark, folder)
+    rows = F.collect_list(F.struct("neighbor_property_id", "l2_dist"))
+    lists = found.groupBy("src_property_id").agg(rows.alias("results"))
+    payload = F.when(
+        F.col("src_property_id") % 2 == 0, F.to_json("results")
+    ).otherwise(F.to_json(F.struct("results")))
+    path = scratch_path(spark, "payloads")
+    # A payload is a file; a partition by source gives each its own.
+    lists.select(payload.alias("value"), "src_property_id").write.partitionBy("src_property_id").text(path)
+    read = tables.read_neighbour_payloads(spark, f"{path}/*/*.txt", _NEIGHBOUR)
+    return read.groupBy("neighbor_property_id", "l2_dist").agg(F.count("*").alias("copies"))
+
+
+@query(
+    "stored_models", ["text_listings"],
+    "SELECT property_id, addr_cc, 262144 AS width FROM text_listings",
+)
+def stored_models(spark, folder):
+    """Models built and saved from a stored table, loaded again and applied by both of them."""
+    scored_path, embedded_path, model_path, index_path = (
+        scratch_path(spark, label) for label in ("scored", "embedded", "model", "index")
+    )
+    listings = view(spark, folder, "text_listings").withColumnRenamed("text_all", "description")
+    tables.write_table(listings, scored_path)
+    build_models(scored_path, embedded_path, model_path, index_path, spark)
+    model, index = load_models(model_path, index_path)
+    again = index.transform(embedding.embed(tables.read_table(spark, scored_path), model))
+    stored = tables.read_table(spark, embedded_path).select("property_id", "addr_cc")
+    size = F.unwrap_udt("features_norm")
+    return again.where(F.size("hashes") > 0).join(stored, ["property_id", "addr_cc"]).select(
+        "property_id", "addr_cc", F.coalesce(size["size"], F.size(size["values"])).alias("width")
+    )
