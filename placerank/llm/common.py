@@ -14,7 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Words are separated by these ASCII characters, those at which ``bytes.split()`` cuts.
 WORD = r"[^\x20\x09-\x0D]+"
-_PIECE_BYTES = 1 << 21
+_PIECE_BYTES = 1 << 20
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 Texts = list[bytes | None]
 
@@ -43,6 +44,18 @@ def uniform(*keys: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to 1,000 rows.
+
+    Spark cuts batches for Python by rows alone.  Texts of a hundred kilobytes would make
+    batches of the usual 10,000 rows larger than a worker's memory.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_ROWS)) <= 1000:
+        conf.set(_BATCH_ROWS, "1000")
+    return df
+
+
 def pieces(batch: pa.RecordBatch, text: int, most: int = _PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with about ``most`` bytes of text each, a long row alone."""
     if not batch.num_rows:
@@ -89,4 +102,4 @@ def map_texts(
                 out = pa.RecordBatch.from_arrays(columns, names=labels)
                 yield out if mask is None else out.filter(pa.array(mask))
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(run, schema)

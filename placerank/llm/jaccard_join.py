@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placerank.llm.common import column, map_texts, others, pieces
+from placerank.llm.common import column, map_texts, others, pieces, small_batches
 from placerank.llm.graph import components
 from placerank.sources.scratch import written
 
@@ -34,7 +34,7 @@ SKETCH_BITS = 20
 _CHUNK = 4096
 _MOST_MATCHES = 8
 _STAR_ROUNDS = 2
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 150_000
 # Odd multipliers that give each place in a shingle its own weight.
 _WEIGHTS = [np.uint64(xxhash.xxh64_intdigest(bytes([k])) | 1) for k in range(SHINGLE)]
 _MIX = np.uint64(xxhash.xxh64_intdigest(b"mix") | 1)
@@ -134,7 +134,7 @@ def _sets_and_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=schema.names
             )
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(run, schema)
 
 
 def _add_up(counted: DataFrame, *keys: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placerank.llm.common import column, pieces
+from placerank.llm.common import column, pieces, small_batches
 from placerank.sources.scratch import written
 
 MIN_WORDS = 50
@@ -108,7 +108,7 @@ def _all_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
                     names=["doc_id", "digest", "start", "end"],
                 )
 
-    return source.mapInArrow(run, "doc_id long, digest long, start int, end int")
+    return small_batches(source).mapInArrow(run, "doc_id long, digest long, start int, end int")
 
 
 def _joined(spans: DataFrame, *keys: str, gap: int = 0) -> DataFrame:
@@ -168,7 +168,7 @@ def _carried_on(short: DataFrame, docs: DataFrame, key: str, text: str, least: i
                     names=["doc_id", "partner", "start", "end"],
                 )
 
-    return both.mapInArrow(run, "doc_id long, partner long, start int, end int")
+    return small_batches(both).mapInArrow(run, "doc_id long, partner long, start int, end int")
 
 
 def _places(words: list[bytes], passage: list[bytes]) -> list[int]:
