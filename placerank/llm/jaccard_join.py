@@ -31,6 +31,7 @@ from placerank.sources.scratch import written
 
 SHINGLE = 5
 SKETCH_BITS = 20
+FILTER_BITS = 24
 _CHUNK = 4096
 _MOST_MATCHES = 8
 _STAR_ROUNDS = 2
@@ -223,6 +224,8 @@ def _prefixes(docs: DataFrame, text: str, levels, usual: int, percent: int) -> D
 
 _SET = T.StructType(
     [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("text_hash", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("digest", T.LongType()),
         T.StructField("tokens", T.ArrayType(T.LongType())),
@@ -230,29 +233,94 @@ _SET = T.StructType(
 )
 
 
-def _sets(docs: DataFrame, text: str) -> DataFrame:
-    def factory():
-        def work(texts):
-            found = [shingles(t) for t in texts]
-            return [len(s) for s in found], [digest(s) for s in found], [s.view(np.int64) for s in found]
+def _filter_places(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
-        return work
 
-    return map_texts(docs, text, [], _SET, factory)
+def _hash_filter(wanted: DataFrame) -> np.ndarray:
+    """A bit for each leading part of the text hashes that are wanted.
+
+    It has ``2 ** FILTER_BITS`` bits whatever the data, so it may be broadcast.  When very
+    many texts are wanted it lets more pass; the join that follows decides.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for batch in batches:
+            held[_filter_places(batch.column(0).to_numpy())] = True
+        chunks = np.packbits(held).reshape(-1, _CHUNK)
+        full = np.flatnonzero(chunks.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(full, pa.int32()), pa.array([chunks[k].tobytes() for k in full], pa.binary())],
+            names=["chunk", "bits"],
+        )
+
+    def either(found: pa.Table) -> pa.Table:
+        total = np.zeros(_CHUNK, dtype=np.uint8)
+        for raw in found.column("bits"):
+            total |= np.frombuffer(raw.as_py(), dtype=np.uint8)
+        return pa.table({"chunk": found.column("chunk").slice(0, 1), "bits": pa.array([total.tobytes()], pa.binary())})
 
+    schema = "chunk int, bits binary"
+    found = wanted.select("text_hash").mapInArrow(run, schema).groupBy("chunk").applyInArrow(either, schema)
+    bits = np.zeros(((1 << FILTER_BITS) // 8 // _CHUNK, _CHUNK), dtype=np.uint8)
+    for row in found.toLocalIterator():
+        bits[row["chunk"]] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+    return bits.reshape(-1)
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs ``u``, ``v`` whose sets are similar enough, by comparing the whole sets.
 
-    Only the sets that a pair asks for are dealt out.
+def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """``node`` and ``tokens`` of the ``wanted`` classes, each from its first document.
+
+    A filter of fixed size keeps most other texts from being cut up and dealt out.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(_hash_filter(wanted))
+    source = docs.select(
+        column(key).cast("long").alias("doc_id"),
+        F.xxhash64(column(text)).alias("text_hash"),
+        column(text).cast("binary").alias("text"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            places = _filter_places(batch.column(1).to_numpy())
+            asked = (bits[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
+            for piece in pieces(batch.filter(pa.array(asked)), 2):
+                found = [shingles(t) for t in piece.column(2).to_pylist()]
+                columns = [[len(f) for f in found], [digest(f) for f in found], [f.view(np.int64) for f in found]]
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), piece.column(1), *map(pa.array, columns, kinds)], names=_SET.fieldNames()
+                )
+
+    found = small_batches(source).mapInArrow(run, _SET).withColumn("node", F.xxhash64("digest", "n"))
+    return (
+        found.alias("s")
+        .join(
+            wanted.alias("w"),
+            (F.col("s.node") == F.col("w.node"))
+            & (F.col("s.text_hash") == F.col("w.text_hash"))
+            & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")),
+            "left_semi",
+        )
+        .groupBy("node")
+        .agg(F.first("tokens").alias("tokens"))
+    )
+
+
+def _verified(
+    pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int
+) -> DataFrame:
+    """Those pairs ``u``, ``v`` whose sets are similar enough, by comparing the whole sets."""
     pairs = written(pairs, "pairs")
-    asked = written(
-        pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "asked"
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = written(
+        nodes.join(classes, "node").select("node", "first.doc_id", "first.text_hash"), "wanted"
     )
-    needed = sets.join(asked, "node", "left_semi")
-    left = needed.select(F.col("node").alias("u"), F.col("tokens").alias("a"))
-    right = needed.select(F.col("node").alias("v"), F.col("tokens").alias("b"))
+    sets = written(_sets(docs, wanted, key, text), "tokens")
+    left = sets.select(F.col("node").alias("u"), F.col("tokens").alias("a"))
+    right = sets.select(F.col("node").alias("v"), F.col("tokens").alias("b"))
     both = pairs.join(left, "u").join(right, "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
@@ -344,45 +412,34 @@ def jaccard_components(
         .withColumn("node", F.xxhash64("digest", "n")),
         "classes",
     )
-    prefixes = (
+    prefixes = written(
         _prefixes(docs, text, shared, usual, percent)
         .where("digest IS NOT NULL")
         .groupBy("digest", "n")
         .agg(F.first(F.struct("matches", "rare", "prefix")).alias("p"))
-        .withColumn("rest", (F.col("n") - F.size("p.prefix")).cast("int"))
+        .select(
+            F.xxhash64("digest", "n").alias("node"), F.col("n").cast("int").alias("n"),
+            "p.matches", "p.rare", (F.col("n") - F.size("p.prefix")).cast("int").alias("rest"), "p.prefix",
+        ),
+        "prefixes",
     )
+    # Most shingles are in one document only; they are dealt out with nothing but its number.
     lists = (
-        prefixes.select(
-            F.xxhash64("digest", "n").alias("node"), F.col("n").cast("int").alias("n"),
-            "p.matches", "p.rare", "rest", F.explode("p.prefix").alias("token"),
-        )
+        prefixes.select("node", F.explode("prefix").alias("token"))
         .withColumn("length", F.count("*").over(Window.partitionBy("token")))
         .where("length > 1")
-        .drop("length")
-    )
-    posts = written(lists.withColumn("component", F.col("node")), "posts")
-
-    wanted = written(
-        posts.select("node").distinct().join(classes, "node").select("node", "first.doc_id", "first.text_hash"),
-        "wanted",
-    )
-    texts = docs.select(
-        column(key).cast("long").alias("doc_id"), F.xxhash64(column(text)).alias("text_hash"),
-        column(text).alias("text"),
+        .select("node", "token")
     )
-    asked = texts.alias("t").join(
-        wanted.alias("w"),
-        (F.col("t.text_hash") == F.col("w.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")),
-        "left_semi",
-    )
-    sets = written(
-        _sets(asked, "text").select(F.xxhash64("digest", "n").alias("node"), "tokens"), "tokens"
+    posts = written(
+        lists.join(prefixes.drop("prefix"), "node").withColumn("component", F.col("node")), "posts"
     )
 
     edges = None
     left = posts
     for turn in range(_STAR_ROUNDS):
-        found = written(_verified(_pivot_pairs(left, percent, turn > 0), sets, percent), "links")
+        found = written(
+            _verified(_pivot_pairs(left, percent, turn > 0), classes, docs, key, text, percent), "links"
+        )
         edges = found if edges is None else edges.union(found)
         left = written(_mixed(posts, components(edges)), "mixed")
     facts = F.struct("node", "n", "rest", "matches", "component")
@@ -401,7 +458,7 @@ def jaccard_components(
         .where(_may_link(F.col("shared"), "a", "b", percent))
         .select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     )
-    edges = edges.union(written(_verified(pairs, sets, percent), "links"))
+    edges = edges.union(written(_verified(pairs, classes, docs, key, text, percent), "links"))
     labels = components(edges)
 
     named = (
