@@ -184,8 +184,9 @@ def adaptive_prefix(tokens: np.ndarray, levels: np.ndarray, usual: int, percent:
     n = len(tokens)
     most = max(1, min(_MOST_MATCHES, -(-percent * n // 100)))
     lists = np.where(level[order] > usual + 1, np.exp2(np.minimum(level[order], 40.0)), 1.0)
-    lengths = np.minimum(n, prefix_length(n, np.arange(1, most + 1), percent))
-    cost = lengths + np.cumsum(lists)[lengths - 1] / np.arange(1, most + 1)
+    asked = np.arange(1, most + 1)
+    lengths = np.minimum(n, prefix_length(n, asked, percent))
+    cost = lengths + np.cumsum(lists)[lengths - 1] / asked
     matches = int(np.argmin(cost)) + 1
     frequent = int((level > usual + 1).sum())
     return tokens[order[: lengths[matches - 1]]], matches, n - frequent
@@ -347,9 +348,10 @@ def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
 def _pivot_pairs(posts: DataFrame, percent: int, again: bool) -> DataFrame:
     """Every document of a list against the list's pivot, where components differ.
 
-    Pairs that share too few of their pivot's lists are left to the last join.  The pivot has the fewest rare shingles, as the common origin of near copies has
-    none of their changes; ``again`` takes the best one outside its component.  It is
-    found by an aggregate, not by gathering the list.
+    Pairs that share too few of their pivot's lists are left to the last join.  The pivot
+    has the fewest rare shingles, as the common origin of near copies has none of their
+    changes; ``again`` takes the best one outside its component.  It is found by an
+    aggregate, not by gathering the list.
     """
     facts = F.struct("rare", "node", "n", "rest", "matches", "component")
     whole = Window.partitionBy("token")
@@ -365,11 +367,19 @@ def _pivot_pairs(posts: DataFrame, percent: int, again: bool) -> DataFrame:
         .groupBy("own", "pivot")
         .agg(F.count("*").alias("shared"))
         .where(_may_link(F.col("shared"), "own", "pivot", percent))
-        .select(F.least("own.node", "pivot.node").alias("u"), F.greatest("own.node", "pivot.node").alias("v"))
-        .distinct()
+        .select(F.col("own.node").alias("u"), F.col("pivot.node").alias("v"))
     )
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """Documents with the smallest pivot that links them.
+
+    Documents with one label are in one component, which is all that pruning needs;
+    components proper are found once, at the end.
+    """
+    return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+
+
 def _mixed(posts: DataFrame, labels: DataFrame) -> DataFrame:
     """Lists that hold documents of several components, labelled anew."""
     now = posts.drop("component").join(labels, "node", "left").withColumn(
@@ -384,6 +394,40 @@ def _mixed(posts: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def _left_over(posts: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """All pairs of documents of different components that may link.
+
+    A pair is met at the first shingle it shares.  From there on both must hold enough
+    shingles for two similar sets, so in the smaller one this shingle stands among the first
+    ``n - 2 percent / (100 + percent) n``.  Documents whose frequent shingles come later do
+    not meet in the long lists of these at all.  What a pair shares is then
+    counted over both prefixes.
+    """
+    enough = f"{100 + percent}L * ({{0}}_n - {{0}}_place) >= {percent}L * ({{1}})"
+    a = posts.select("token", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "place", "component")])
+    b = posts.select("token", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "place", "component")])
+    pairs = (
+        a.where(enough.format("a", "2 * a_n"))
+        .withColumnRenamed("token", "a_token")
+        .join(
+            b,
+            (F.col("a_token") == F.col("token"))
+            & F.expr("a_n < b_n or (a_n = b_n and a_node < b_node)")
+            & (F.col("a_component") != F.col("b_component"))
+            & _similar_sizes(F.col("a_n"), F.col("b_n"), percent)
+            & F.expr(enough.format("a", "a_n + b_n"))
+            & F.expr(enough.format("b", "a_n + b_n")),
+        )
+        .select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
+        .distinct()
+    )
+    facts = F.struct("node", "n", "rest", "matches", "prefix")
+    left = prefixes.select(F.col("node").alias("u"), facts.alias("a"))
+    right = prefixes.select(F.col("node").alias("v"), facts.alias("b"))
+    shared = F.size(F.array_intersect("a.prefix", "b.prefix"))
+    return pairs.join(left, "u").join(right, "v").where(_may_link(shared, "a", "b", percent)).select("u", "v")
+
+
 def jaccard_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80
 ) -> DataFrame:
@@ -425,10 +469,10 @@ def jaccard_components(
     )
     # Most shingles are in one document only; they are dealt out with nothing but its number.
     lists = (
-        prefixes.select("node", F.explode("prefix").alias("token"))
+        prefixes.select("node", F.posexplode("prefix").alias("place", "token"))
         .withColumn("length", F.count("*").over(Window.partitionBy("token")))
         .where("length > 1")
-        .select("node", "token")
+        .select("node", "token", "place")
     )
     posts = written(
         lists.join(prefixes.drop("prefix"), "node").withColumn("component", F.col("node")), "posts"
@@ -441,24 +485,10 @@ def jaccard_components(
             _verified(_pivot_pairs(left, percent, turn > 0), classes, docs, key, text, percent), "links"
         )
         edges = found if edges is None else edges.union(found)
-        left = written(_mixed(posts, components(edges)), "mixed")
-    facts = F.struct("node", "n", "rest", "matches", "component")
-    a = left.select("token", facts.alias("a"))
-    b = left.select("token", facts.alias("b"))
-    pairs = (
-        a.join(
-            b.withColumnRenamed("token", "token_b"),
-            (F.col("token") == F.col("token_b"))
-            & (F.col("a.node") < F.col("b.node"))
-            & (F.col("a.component") != F.col("b.component"))
-            & _similar_sizes(F.col("a.n"), F.col("b.n"), percent),
-        )
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("shared"))
-        .where(_may_link(F.col("shared"), "a", "b", percent))
-        .select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    )
-    edges = edges.union(written(_verified(pairs, classes, docs, key, text, percent), "links"))
+        left = written(_mixed(posts, _labels(edges)), "mixed")
+    pairs = _left_over(left, prefixes, percent)
+    last = written(_verified(pairs, classes, docs, key, text, percent), "links")
+    edges = last if edges is None else edges.union(last)
     labels = components(edges)
 
     named = (

@@ -64,10 +64,10 @@ def near_copies(seed: int) -> list[tuple]:
     return [(i * 7 % 1009, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_components_equal_brute_force(spark, monkeypatch, rounds):
-    monkeypatch.setattr(j, "_STAR_ROUNDS", max(1, rounds))
-    rows = near_copies(rounds)
+@pytest.mark.parametrize("rounds, seed", [(0, 1), (0, 2), (2, 3)])
+def test_components_equal_brute_force(spark, monkeypatch, rounds, seed):
+    monkeypatch.setattr(j, "_STAR_ROUNDS", rounds)
+    rows = near_copies(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     found = {r.doc_id: r.component_id for r in j.jaccard_components(docs).collect()}
     assert found == {key: c for (key, _), c in brute_components(rows).items()}
