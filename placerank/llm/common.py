@@ -77,13 +77,14 @@ def map_texts(
     results: T.StructType,
     factory: Callable[[], Callable[[Texts], Sequence]],
     select: bool = False,
+    piece_bytes: int = _PIECE_BYTES,
 ) -> DataFrame:
     """Columns ``keep`` of ``df`` and ``results`` computed from its whole texts.
 
     ``factory`` runs once per task and gives a function from a list of UTF-8
     texts to one array per result.  A kept column with the name of a result
     gives way to the result.  With ``select`` the last array is a mask of the rows
-    to keep.
+    to keep.  Texts come to the function in lists of about ``piece_bytes``.
     """
     names = {f.name.lower() for f in results}
     kept = [c for c in keep if c.lower() not in names]
@@ -95,7 +96,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = factory()
         for batch in batches:
-            for piece in pieces(batch, len(kept)):
+            for piece in pieces(batch, len(kept), piece_bytes):
                 found = list(work(piece.column(len(kept)).to_pylist()))
                 mask = found.pop() if select else None
                 columns = [*piece.columns[: len(kept)], *map(pa.array, found, kinds)]
