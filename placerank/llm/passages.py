@@ -3,10 +3,10 @@
 A gear hash rolls over the bytes of a text: every byte shifts the hash and adds its own
 number, so a value depends on the last 16 bytes alone.  Low values end a chunk.  An
 insertion therefore moves chunk ends but changes none outside its neighbourhood, and
-equal passages hold equal chunks wherever they stand.  Pairs of neighbouring chunks are
-compared by digest.  Neighbouring equal pairs at the same distance are one run.  A run long
-enough by itself is a repeated passage; a shorter one is carried on, word by word, in
-both texts, as up to a chunk on each side is not covered.
+equal passages hold equal chunks wherever they stand.  Digests of pairs of neighbouring
+chunks are counted over all documents.  A stretch of words that holds a pair no other
+document has cannot be repeated itself; the stretches left are compared by digests of
+their own, among all documents that have them.
 """
 
 from __future__ import annotations
@@ -27,19 +27,18 @@ _AVERAGE = 20
 _LEAST = 8
 _MOST = 1024
 _WINDOW = 16
+# Bytes before the end of a chunk on which it depends.
+_LEAD = _WINDOW + _LEAST
 # One number per byte value, drawn from a hash.
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b])) & 0xFFFF for b in range(256)], dtype=np.uint16)
-_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
-def chunk_ends(data: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of a text's bytes, the last one at its end.
+def _marks(data: np.ndarray) -> np.ndarray:
+    """Ends of chunks that the bytes before them decide, ``_LEAD`` of them.
 
     Sums over 2, 4, 8 and 16 bytes are made by doubling.  A low value that follows
-    another within a few bytes does not count, and a stretch without any is cut at
-    fixed steps.
+    another within a few bytes does not count.
     """
-    n = len(data)
     rolled = _GEAR[data]
     step = 1
     while step < _WINDOW:
@@ -50,7 +49,15 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
     places = np.flatnonzero(low)
     if len(places):
         places = places[np.diff(places, prepend=-_MOST) > _LEAST]
-    ends = np.unique(np.concatenate([places + 1, [n]]))
+    return places + 1
+
+
+def chunk_ends(data: np.ndarray, marks: np.ndarray | None = None) -> np.ndarray:
+    """Ends of the chunks of a text's bytes, the last one at its end.
+
+    A stretch without any is cut at fixed steps.
+    """
+    ends = np.unique(np.concatenate([_marks(data) if marks is None else marks, [len(data)]]))
     gaps = np.diff(ends, prepend=0)
     if (gaps > _MOST).any():
         starts = ends - gaps
@@ -59,129 +66,127 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
     return ends
 
 
-def chunk_pairs(text: bytes) -> Iterator[tuple[int, int, int]]:
-    """Digest of every pair of neighbouring chunks with the range of its whole words.
-
-    A pair that occurs again in the same text is given once.
-    """
-    if not text:
-        return
-    data = np.frombuffer(text, dtype=np.uint8)
-    ends = chunk_ends(data)
-    blank = _BLANK[data]
-    first = np.concatenate([[True], blank[:-1]]) & ~blank
-    last = np.concatenate([blank[1:], [True]]) & ~blank
-    begun, done = np.concatenate([[0], np.cumsum(first)]), np.concatenate([[0], np.cumsum(last)])
-    starts = np.concatenate([[0], ends[:-2]]) if len(ends) > 1 else np.zeros(1, dtype=np.int64)
-    stops = ends[1:] if len(ends) > 1 else ends
-    seen: set[int] = set()
-    for a, b, x, y in zip(
-        starts.tolist(), stops.tolist(), begun[starts].tolist(), done[stops].tolist(), strict=True
-    ):
-        digest = xxhash.xxh3_64_intdigest(text[a:b])
-        if y > x and digest not in seen:
-            seen.add(digest)
-            yield digest, x, y
-
-
-def _all_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    source = docs.where(column(key).isNotNull()).select(
-        column(key).cast("long").alias("doc_id"), column(text).cast("binary").alias("text")
-    )
+class Line:
+    """The words of a text joined by one blank, so that equal words are equal bytes."""
+
+    def __init__(self, text: bytes):
+        self.text = b" ".join(text.split())
+        self.data = np.frombuffer(self.text, dtype=np.uint8)
+        blanks = np.flatnonzero(self.data == ord(" "))
+        some = [0] if len(self.data) else []
+        #: First byte of every word and the byte after its last.
+        self.starts = np.concatenate([some, blanks + 1]).astype(np.int64)
+        self.ends = np.concatenate([blanks, [len(self.data)] if some else []]).astype(np.int64)
+
+    def chunk_pairs(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Digests of pairs of neighbouring chunks, and the first and last stretch that decides each.
+
+        A stretch is ``least`` words from a word on.  It decides a pair if it covers the
+        pair and the bytes before it on which its first end depends: then every
+        text with the stretch has the pair.  Pairs that no stretch decides are left out.
+        """
+        none = np.zeros(0, dtype=np.int64)
+        stretches = len(self.starts) - least + 1
+        marks = _marks(self.data)
+        ends = chunk_ends(self.data, marks)[:-1]
+        if stretches < 1 or not len(marks):
+            return none.astype(np.uint64), none, none
+        ends = ends[ends >= marks[0]]
+        begun, done = ends[:-2], ends[2:]
+        origin = marks[np.searchsorted(marks, begun, side="right") - 1]
+        last = np.searchsorted(self.starts, origin - _LEAD, side="right") - 1
+        first = np.searchsorted(self.ends, done) - least + 1
+        first, last = np.maximum(first, 0), np.minimum(last, stretches - 1)
+        use = first <= last
+        digests = [xxhash.xxh3_64_intdigest(self.text[a:b]) for a, b in zip(begun[use].tolist(), done[use].tolist(), strict=True)]
+        return np.array(digests, dtype=np.uint64), first[use], last[use]
+
+    def stretches(self, least: int, shared: np.ndarray) -> tuple[list[int], list[int]]:
+        """First words and digests of all stretches without a pair that is not ``shared``."""
+        count = len(self.starts) - least + 1
+        if count < 1:
+            return [], []
+        digests, first, last = self.chunk_pairs(least)
+        alone = ~np.isin(digests, shared)
+        edges = np.zeros(count + 1, dtype=np.int64)
+        np.add.at(edges, first[alone], 1)
+        np.add.at(edges, last[alone] + 1, -1)
+        at = np.flatnonzero(np.cumsum(edges)[:-1] == 0)
+        begun, done = self.starts[at].tolist(), self.ends[at + least - 1].tolist()
+        return at.tolist(), [xxhash.xxh3_64_intdigest(self.text[a:b]) for a, b in zip(begun, done, strict=True)]
+
+
+def _signed(digests) -> pa.Array:
+    return pa.array(np.array(digests, dtype=np.uint64).view(np.int64))
+
+
+def _all_pairs(texts: DataFrame, least: int) -> DataFrame:
+    """``doc_id``, ``part`` (a text's own digest) and ``digest`` of the pairs of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, 1, 1 << 20):
-                ids, sizes, found = piece.column(0).to_numpy(), [], []
-                for raw in piece.column(1).to_pylist():
-                    rows = list(chunk_pairs(raw or b""))
-                    sizes.append(len(rows))
-                    found += rows
-                flat = np.array(found, dtype=np.uint64).reshape(-1, 3)
+            for piece in pieces(batch, 2):
+                found = [np.unique(Line(raw).chunk_pairs(least)[0]) for raw in piece.column(2).to_pylist()]
+                sizes = [len(x) for x in found]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat(ids, sizes).astype(np.int64)),
-                        pa.array(flat[:, 0].view(np.int64) if len(flat) else np.zeros(0, np.int64)),
-                        pa.array(flat[:, 1].astype(np.int32)),
-                        pa.array(flat[:, 2].astype(np.int32)),
+                        pa.array(np.repeat(piece.column(0).to_numpy(), sizes)),
+                        pa.array(np.repeat(piece.column(1).to_numpy(), sizes)),
+                        _signed(np.concatenate(found)),
                     ],
-                    names=["doc_id", "digest", "start", "end"],
+                    names=["doc_id", "part", "digest"],
                 )
 
-    return small_batches(source).mapInArrow(run, "doc_id long, digest long, start int, end int")
-
-
-def _joined(spans: DataFrame, *keys: str, gap: int = 0) -> DataFrame:
-    """Overlapping or nearly touching spans within ``keys`` as one, with all partners' extremes."""
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    new = F.coalesce(F.col("start") > F.max("end").over(before) + gap, F.lit(True)).cast("int")
-    return (
-        spans.withColumn("__new", new)
-        .withColumn("__run", F.sum("__new").over(upto))
-        .groupBy(*keys, "__run")
-        .agg(
-            F.min("start").alias("start"), F.max("end").alias("end"),
-            F.min("low").alias("low"), F.max("high").alias("high"),
-        )
-        .drop("__run")
-    )
-
+    return small_batches(texts).mapInArrow(run, "doc_id long, part long, digest long")
 
-def _carried_on(short: DataFrame, docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """Short runs as far as both texts agree, those of ``least`` words or more.
 
-    Every position at which the passage occurs in the document's own text is given.
-    """
-    texts = docs.select(column(key).cast("long").alias("id"), column(text).cast("binary").alias("text"))
-    asked = written(
-        short.select(F.explode(F.array("doc_id", "partner")).alias("id")).distinct(), "asked"
-    )
-    needed = written(texts.join(asked, "id"), "texts")
-    own = needed.select(F.col("id").alias("doc_id"), F.col("text").alias("own"))
-    other = needed.select(F.col("id").alias("partner"), F.col("text").alias("other"))
-    both = (
-        short.join(own, "doc_id").join(other, "partner")
-        .select("doc_id", "partner", "start", "end", "delta", "own", "other")
-    )
+def _all_stretches(texts: DataFrame, shared: DataFrame, least: int) -> DataFrame:
+    """``doc_id``, ``start`` and ``digest`` of every stretch that may be repeated."""
+    asked = texts.join(shared, ["doc_id", "part"], "left").select("doc_id", "digests", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, 5):
-                found = []
-                for doc, partner, start, end, delta, own, other in zip(
-                    *(c.to_pylist() for c in piece.columns), strict=True
+            for piece in pieces(batch, 2, 1 << 17):
+                ids, places, digests = [], [], []
+                for doc, known, raw in zip(
+                    piece.column(0).to_pylist(), piece.column(1), piece.column(2).to_pylist(), strict=True
                 ):
-                    a, b = own.split(), other.split()
-                    if a[start:end] != b[start + delta : end + delta]:
-                        continue
-                    while start > 0 and start + delta > 0 and a[start - 1] == b[start + delta - 1]:
-                        start -= 1
-                    while end < len(a) and end + delta < len(b) and a[end] == b[end + delta]:
-                        end += 1
-                    if end - start >= least:
-                        found += [(doc, partner, s, s + end - start) for s in _places(a, a[start:end])]
-                columns = list(zip(*found, strict=True)) or [[]] * 4
+                    known = known.values.to_numpy() if known.is_valid else np.zeros(0, np.int64)
+                    at, found = Line(raw).stretches(least, known.view(np.uint64))
+                    ids += [doc] * len(at)
+                    places += at
+                    digests += found
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 2, strict=True)],
-                    names=["doc_id", "partner", "start", "end"],
+                    [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), _signed(digests)],
+                    names=["doc_id", "start", "digest"],
                 )
 
-    return small_batches(both).mapInArrow(run, "doc_id long, partner long, start int, end int")
+    return small_batches(asked).mapInArrow(run, "doc_id long, start int, digest long")
 
 
-def _places(words: list[bytes], passage: list[bytes]) -> list[int]:
-    """Starts of all occurrences of a passage, by its first word and comparison."""
-    out, at, n = [], 0, len(passage)
-    while True:
-        try:
-            at = words.index(passage[0], at)
-        except ValueError:
-            return out
-        if words[at : at + n] == passage:
-            out.append(at)
-        at += 1
+def _held(df: DataFrame) -> DataFrame:
+    """Rows whose digest several documents have, with the ``first`` and ``last`` of these."""
+    same = Window.partitionBy("digest")
+    return (
+        df.withColumn("first", F.min("doc_id").over(same))
+        .withColumn("last", F.max("doc_id").over(same))
+        .where("first < last")
+    )
+
+
+def _joined(spans: DataFrame, *keys: str) -> DataFrame:
+    """Overlapping or touching spans within ``keys`` as one, with the smallest partner."""
+    order = Window.partitionBy(*keys).orderBy("start", "end")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    new = F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int")
+    return (
+        spans.withColumn("__new", new)
+        .withColumn("__run", F.sum("__new").over(upto))
+        .groupBy(*keys, "__run")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("low").alias("low"))
+        .drop("__run")
+    )
 
 
 def repeated_passages(
@@ -189,7 +194,6 @@ def repeated_passages(
     key: str = "doc_id",
     text: str = "text",
     least: int = MIN_WORDS,
-    least_seed: int = 15,
 ) -> DataFrame:
     """Passages of ``least`` words or more that occur in several documents, a row for each.
 
@@ -198,46 +202,31 @@ def repeated_passages(
     has it, so that it stays when repeats are removed.  Documents without a repeated
     passage have no row.
 
-    Chunk pairs are compared with their neighbours in the order of ids within one
-    digest, so a passage in a third of all documents costs a row per document and
-    never a pair of documents.  The ends of a run that is long enough by itself are ends
-    of chunks and lie within the passage, by a few words.  A passage of ``least`` words holds a run of
-    ``least_seed`` words except with a chance below one in a thousand.
+    A word is in a row if and only if it lies in ``least`` words that another document has as
+    well, whatever their blanks; words are compared by digests of 64 bits.  Every
+    document with a stretch of words meets its digest, so no partner is left out, and a
+    passage in a third of all documents costs a row per word and document and never a pair of
+    documents.  A stretch with no chunk pair of its own is compared like those
+    with shared ones, so chunks decide what is compared and never what is found.
 
-    A passage that a text holds twice is given at least once.  Rows without id or
+    All places of a passage in a text are given.  Rows without id or
     text, and empty texts, take no part.  Repeated ids count as one
     document.  Empty input gives no rows.  Other columns are not read.  Runs jobs;
     intermediate tables go to the shared folder.
     """
-    order = Window.partitionBy("digest").orderBy("doc_id", "start")
-    pairs = _all_pairs(docs, key, text)
-
-    def neighbour(offset: int):
-        shift = F.lag if offset < 0 else F.lead
-        return F.when(
-            shift("doc_id").over(order) != F.col("doc_id"),
-            F.struct(shift("doc_id").over(order).alias("doc_id"), shift("start").over(order).alias("start")),
-        )
-
-    met = (
-        pairs.withColumn("before", neighbour(-1))
-        .withColumn("after", neighbour(1))
-        .where("before IS NOT NULL OR after IS NOT NULL")
-        .select("doc_id", "start", "end", F.explode(F.array_compact(F.array("before", "after"))).alias("p"))
-        .select(
-            "doc_id", "start", "end", F.col("p.doc_id").alias("partner"),
-            (F.col("p.start") - F.col("start")).alias("delta"),
-            F.col("p.doc_id").alias("low"), F.col("p.doc_id").alias("high"),
-        )
+    texts = docs.where(column(key).isNotNull() & column(text).isNotNull()).select(
+        column(key).cast("long").alias("doc_id"), F.xxhash64(column(text)).alias("part"),
+        column(text).cast("binary").alias("text"),
+    )
+    shared = written(
+        _held(_all_pairs(texts, least)).groupBy("doc_id", "part").agg(F.collect_list("digest").alias("digests")),
+        "shared",
     )
-    runs = written(_joined(met, "doc_id", "partner", "delta", gap=1), "runs").drop("low", "high")
-    length = F.col("end") - F.col("start")
-    certain = runs.where(length >= least).select("doc_id", "partner", "start", "end")
-    short = runs.where((length < least) & (length >= least_seed))
-    found = certain.union(_carried_on(short, docs, key, text, least))
-    spans = _joined(
-        found.withColumn("low", F.col("partner")).withColumn("high", F.col("partner")), "doc_id"
+    found = _held(_all_stretches(texts, shared, least)).select(
+        "doc_id", "start", (F.col("start") + least).alias("end"),
+        F.when(F.col("first") < F.col("doc_id"), F.col("first")).otherwise(F.col("last")).alias("low"),
     )
+    spans = _joined(found, "doc_id")
     return spans.select(
         "doc_id",
         F.col("start").alias("start_word"),

@@ -68,3 +68,35 @@ def test_odd_rows(spark):
     assert found == {(3, True), (4, False), (6, False)}
     assert p.repeated_passages(docs.limit(0)).count() == 0
     assert p.without_repeats(docs).count() == 9
+
+
+def test_partner_beyond_the_neighbours_in_id_order(spark):
+    r = random.Random(12)
+    passage = prose(r, 60)
+    rows = [(i, prose(r, 40) + passage + prose(r, 40)) for i in (10, 20)]
+    rows += [(11 + k, prose(r, 40) + passage[5 * k : 5 * k + 20] + prose(r, 40)) for k in range(9)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = sorted((x.doc_id, x.start_word, x.end_word, x.other_doc_id, x.keeper) for x in p.repeated_passages(docs).collect())
+    assert found == [(10, 40, 100, 20, True), (20, 40, 100, 10, False)]
+
+
+def test_passages_of_any_chunks_by_brute_force(spark):
+    r = random.Random(21)
+    few = prose(r, 3)
+    shared = [prose(r, n) for n in (50, 55, 90)] + [[r.choice(few) for _ in range(70)], ["a"] * 50]
+    rows = []
+    for i in range(60):
+        words = prose(r, r.randrange(20, 90))
+        for part in r.sample(shared, r.randrange(3)):
+            at = r.randrange(len(words))
+            words[at:at] = part[: r.choice((49, 50, len(part)))]
+        rows.append((i, words))
+    holders = {}
+    for i, words in rows:
+        for k in range(len(words) - 49):
+            holders.setdefault(tuple(words[k : k + 50]), set()).add(i)
+    truth = {(i, k + j) for i, words in rows for k in range(len(words) - 49)
+             if len(holders[tuple(words[k : k + 50])]) > 1 for j in range(50)}
+    docs = spark.createDataFrame([(i, r.choice((" ", "\n", "  ")).join(w)) for i, w in rows], "doc_id long, text string")
+    found = p.repeated_passages(docs).collect()
+    assert {(x.doc_id, k) for x in found for k in range(x.start_word, x.end_word)} == truth
