@@ -174,20 +174,65 @@ def _held(df: DataFrame) -> DataFrame:
     )
 
 
-def _joined(spans: DataFrame, *keys: str) -> DataFrame:
-    """Overlapping or touching spans within ``keys`` as one, with the smallest partner."""
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+def _decided(doc: int, spans: list[dict]) -> list[tuple[int, int, int, bool]]:
+    """``start``, ``end``, other document and keeper of stretches of words that are decided alike.
+
+    A word goes if a smaller document has any of the spans around it, and names the smallest
+    of these; else it stays, and names one of the other documents.
+    """
+    spans = sorted(spans, key=lambda s: s["start"])
+    out: list[tuple[int, int, int, bool]] = []
+    k = 0
+    while k < len(spans):
+        start, end, stop = spans[k]["start"], spans[k]["end"], k + 1
+        while stop < len(spans) and spans[stop]["start"] <= end:
+            end = max(end, spans[stop]["end"])
+            stop += 1
+        # Smaller documents sort before larger ones, so the least number decides a word.
+        least = np.full(end - start, np.iinfo(np.int64).max)
+        for s in spans[k:stop]:
+            part = least[s["start"] - start : s["end"] - start]
+            np.minimum(part, s["low"], out=part)
+        cuts = [0, *(np.flatnonzero(np.diff(least)) + 1).tolist(), end - start]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            low = int(least[x])
+            out.append((start + x, start + y, low, low > doc))
+        k = stop
+    return out
+
+
+def _stretches_decided(found: DataFrame, least: int) -> DataFrame:
+    """Rows per document and stretch of words with one other document and one decision."""
+    order = Window.partitionBy("doc_id").orderBy("start")
+    new = F.coalesce(
+        (F.col("start") > F.lag("start").over(order) + 1) | (F.col("low") != F.lag("low").over(order)), F.lit(True)
+    )
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    new = F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int")
-    return (
-        spans.withColumn("__new", new)
+    spans = (
+        found.withColumn("__new", new.cast("int"))
         .withColumn("__run", F.sum("__new").over(upto))
-        .groupBy(*keys, "__run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("low").alias("low"))
-        .drop("__run")
+        .groupBy("doc_id", "__run")
+        .agg(F.min("start").alias("start"), (F.max("start") + least).alias("end"), F.min("low").alias("low"))
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct("start", "end", "low")).alias("spans"))
     )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                (doc, *row)
+                for doc, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for row in _decided(doc, spans)
+            ]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                names=["doc_id", "start", "end", "low", "keeper"],
+            )
+
+    return small_batches(spans).mapInArrow(run, "doc_id long, start int, end int, low long, keeper boolean")
+
 
 def repeated_passages(
     docs: DataFrame,
@@ -199,8 +244,10 @@ def repeated_passages(
 
     ``doc_id``, ``start_word`` and ``end_word`` (exclusive), ``n_words``, ``other_doc_id``
     (one other document with it) and ``keeper``: whether no document with a smaller id
-    has it, so that it stays when repeats are removed.  Documents without a repeated
-    passage have no row.
+    has it, so that it stays when repeats are removed.  Where the documents that have a
+    passage change within it, it is cut into several rows, which may be shorter than
+    ``least``; a word for which documents differ goes if any smaller one has ``least`` words
+    around it.  Documents without a repeated passage have no row.
 
     A word is in a row if and only if it lies in ``least`` words that another document has as
     well, whatever their blanks; words are compared by digests of 64 bits.  Every
@@ -223,17 +270,17 @@ def repeated_passages(
         "shared",
     )
     found = _held(_all_stretches(texts, shared, least)).select(
-        "doc_id", "start", (F.col("start") + least).alias("end"),
+        "doc_id", "start",
         F.when(F.col("first") < F.col("doc_id"), F.col("first")).otherwise(F.col("last")).alias("low"),
     )
-    spans = _joined(found, "doc_id")
+    spans = _stretches_decided(found, least)
     return spans.select(
         "doc_id",
         F.col("start").alias("start_word"),
         F.col("end").alias("end_word"),
         (F.col("end") - F.col("start")).alias("n_words"),
         F.col("low").alias("other_doc_id"),
-        (F.col("low") > F.col("doc_id")).alias("keeper"),
+        "keeper",
     )
 
 

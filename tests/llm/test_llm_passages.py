@@ -100,3 +100,15 @@ def test_passages_of_any_chunks_by_brute_force(spark):
     docs = spark.createDataFrame([(i, r.choice((" ", "\n", "  ")).join(w)) for i, w in rows], "doc_id long, text string")
     found = p.repeated_passages(docs).collect()
     assert {(x.doc_id, k) for x in found for k in range(x.start_word, x.end_word)} == truth
+
+
+def test_adjacent_passages_of_different_documents_are_decided_apart(spark):
+    r = random.Random(33)
+    x, y = prose(r, 70), prose(r, 80)
+    rows = [(5, prose(r, 20) + x + prose(r, 20)), (9, prose(r, 30) + x + y + prose(r, 10)), (12, y + prose(r, 40))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = sorted((z.doc_id, z.start_word, z.end_word, z.n_words, z.other_doc_id, z.keeper) for z in p.repeated_passages(docs).collect())
+    assert found == [(5, 20, 90, 70, 9, True), (9, 30, 100, 70, 5, False), (9, 100, 180, 80, 12, True), (12, 0, 80, 80, 9, False)]
+    left = {z.doc_id: z.text for z in p.without_repeats(docs).collect()}
+    assert " ".join(y) in left[9] and " ".join(x) in left[5]
+    assert " ".join(x) not in left[9] and left[12] == " ".join(rows[2][1][80:])
