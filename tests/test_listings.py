@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from placerank.constants import RAW_COLUMNS, SIMPLE_DEFAULTS
+from placerank.constants import AMENITY_LIMIT, RAW_COLUMNS, SIMPLE_DEFAULTS, TEXT_ITEM_LIMIT
 from placerank.operators import browsing, cleaning, coverage, nested, pricing, profiling, ranking, scoring
 from placerank.operators.ranking import Preferences
 
@@ -63,10 +63,10 @@ def test_pricing_of_odd_json(spark):
     assert got == [(2, 3.0), (None, None), (None, None)]
 
 
-def features(spark, amenities=None, items=None, details=None):
+def features(spark, amenities=None, items=None, details=None, **limits):
     text = [json.dumps(v) if isinstance(v, list) else v for v in (amenities, items, details)]
     df = spark.createDataFrame([tuple(text)], "amenities string, description_items string, details string")
-    return one(nested.extract_listing_features(df))
+    return one(nested.extract_listing_features(df, **limits))
 
 
 def test_rooms(spark):
@@ -99,9 +99,19 @@ def test_forty_amenities(spark):
     items = [{"name": f"item {i:02d}", "value": "true"} for i in range(39)]
     items += [{"name": "gone", "value": "SYSTEM_NO_X"}, {"name": "last", "value": ""}]
     late = [{"name": "late", "value": ""}, {"name": "late no", "value": "SYSTEM_NO_X"}]
-    got = features(spark, amenities=[{"group_name": "a", "items": items}, {"group_name": "not included", "items": late}])
+    groups = [{"group_name": "a", "items": items}, {"group_name": "not included", "items": late}]
+    got = features(spark, amenities=groups, amenity_limit=AMENITY_LIMIT, text_item_limit=TEXT_ITEM_LIMIT)
     assert got["amenities_no_text"] == "no_gone"
     assert len(got["amenities_has_text"].split(" | ")) == 40 and "late" not in got["amenities_text"]
+    got = features(spark, amenities=groups)
+    assert got["amenities_no_text"] == "no_gone | no_late | no_late_no"
+
+
+def test_no_limit_drops_nothing(spark):
+    amenities = [{"group_name": "a", "items": [{"name": f"item {i:03d}", "value": "1"} for i in range(300)]}]
+    got = features(spark, amenities=amenities, items=[f"word {i}" for i in range(50)], details=[f"more {i}" for i in range(30)])
+    assert len(got["amenities_has_text"].split(" | ")) == 300
+    assert "word 49" in got["custom_text_blob"] and got["custom_text_blob"].count("more") == 30
 
 
 # --- prices -----------------------------------------------------------------------------------
