@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from placerank.llm import (
+    clusters,
+    collocations,
     decontamination,
     jaccard_join,
     language,
@@ -15,6 +17,7 @@ from placerank.llm import (
     quality,
     sharding,
     tokens,
+    vector_forest,
     wrappers,
 )
 from placerank.llm.common import table, word_count
@@ -155,3 +158,81 @@ def op8_personal_data(spark, folder):
 def op7_article_text(spark, folder):
     pages = table(spark, folder, "pages")
     return wrappers.extract_articles(pages, keep=["page_id", "url"])
+
+
+@query("op11_nearest_vectors")
+def op11_nearest_vectors(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return vector_forest.nearest_vectors(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def _clustering_sql(k: int = 8, rounds: int = 10) -> str:
+    """Ten rounds as common tables: ``at<i>`` are centroids by dimension, ``to<i>`` the nearest ones."""
+    whole = "[CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding]"
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, {whole} AS w FROM embeddings
+WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+        "dims AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS d, unnest(w) AS v FROM kept)",
+        f"""at0 AS MATERIALIZED (SELECT c, unnest(range(1, 65)) AS d, unnest(w) AS v FROM (
+SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, w FROM kept
+ORDER BY sha256('3:' || vec_id) LIMIT {k}))""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""to{i} AS MATERIALIZED (SELECT r, c, distance FROM (
+SELECT r, c, sum((x.v - y.v) * (x.v - y.v)) AS distance FROM dims x JOIN at{i} y USING (d) GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, c) = 1)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""at{i + 1} AS MATERIALIZED (SELECT o.c, o.d, CAST(coalesce((s - ((s % n) + n) % n) // n, o.v) AS BIGINT) AS v
+FROM at{i} o LEFT JOIN (SELECT c, d, sum(v) AS s, count(*) AS n FROM to{i} JOIN dims USING (r) GROUP BY ALL) m
+ON m.c = o.c AND m.d = o.d)"""
+            )
+    last = rounds
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+  CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha AS centroid_sha256
+FROM to{last} JOIN kept USING (r)
+JOIN (SELECT c, sha256(string_agg(v, ',' ORDER BY d)) AS sha FROM at{last} GROUP BY c) USING (c)"""
+
+
+@query("op12_cluster_vectors", _clustering_sql())
+def op12_cluster_vectors(spark, folder):
+    found = clusters.cluster_vectors(table(spark, folder, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256")
+    )
+
+
+_PHRASE_WORD = r"[^\x20\x09]+"
+
+
+@query(
+    "op13_collocations",
+    f"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+  unnest(regexp_split_to_array({_LOWER.format("text")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+lines AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '{_PHRASE_WORD}') AS w FROM pieces),
+grams AS MATERIALIZED (SELECT lang, w, count(*) AS f FROM (
+  SELECT lang, unnest([w[i : i + k - 1] FOR i IN range(1, len(w) - k + 2)]) AS w
+  FROM lines, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lines GROUP BY 1),
+candidates AS (SELECT lang, w, f AS a FROM grams WHERE len(w) > 1 AND f >= 30),
+cuts AS (SELECT c.lang, c.w, a, k, x.f AS l, y.f AS r,
+  CAST((CAST(2000000 AS HUGEINT) * a) // (x.f + y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, len(w))) AS k FROM candidates) c
+  JOIN grams x ON x.lang = c.lang AND x.w = c.w[1 : k] JOIN grams y ON y.lang = c.lang AND y.w = c.w[k + 1 :]
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.w ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, w, max(a) AS around FROM (
+  SELECT lang, a, unnest([w[i : i + s - 1] FOR i IN range(1, len(w) - s + 2)]) AS w
+  FROM candidates, (SELECT unnest(range(2, 4)) AS s) WHERE len(w) > s) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank,
+  array_to_string(w, ' ') AS phrase, a, l, r, n, score
+FROM cuts LEFT JOIN inner_ USING (lang, w) JOIN totals USING (lang)
+WHERE around IS NULL OR 100 * around < 80 * a
+QUALIFY rank <= 2000""",
+)
+def op13_collocations(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))

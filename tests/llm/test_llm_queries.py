@@ -19,6 +19,6 @@ def test_agrees_with_sql(spark, name):
 
 def test_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
     assert len(corpus_pipeline.STAGES) == 5
