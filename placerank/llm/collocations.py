@@ -1,14 +1,16 @@
 """Phrases that hold together, found by counting word sequences in hash tries.
 
-Every task counts the sequences of its texts in a trie of word ids whose leaves are hash
-containers: a container that grows too large bursts into one container for each next word.
-When a trie holds too much, its largest subtrees leave it as sorted runs.  Runs are dealt
-out by the leading words of their phrases and merged there.
-
-A phrase of several words is no more frequent than any part of it.  So words are counted
-first, then pairs of frequent words, then longer sequences in which every pair is frequent.
-What is frequent is told to the tasks by filters of fixed size, which let some others pass
-and never hold one back; counts are exact and the least count is applied to those.
+Texts are cut into words once and stored as word ids.  Every task counts the sequences of
+its part in a trie of word ids whose leaves are hash containers: a container that grows too
+large bursts into one container for each next word.  When a trie holds too much, its
+largest subtrees leave it as sorted runs.  Runs are dealt out by the leading words of their
+phrases and merged there.
+
+A phrase is no more frequent than any part of it, and most sequences of a corpus are rare.
+So hashes of words and of pairs are counted first, then hashes of longer sequences in which
+every pair is frequent, and only sequences with a frequent hash enter a trie.  What is
+frequent is told to the tasks by filters of fixed size, which let some others pass and never
+hold one back; counts are exact and the least count is applied to those.
 """
 
 from __future__ import annotations
@@ -21,19 +23,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placerank.llm.common import column, pieces, small_batches
+from placerank.llm.common import column, small_batches
 from placerank.sources.scratch import written
 
 LONGEST = 4
-#: Entries of a container that bursts, of a trie that spills, and words a task names at once.
+#: Entries of a container that bursts, of a trie that spills, and of a run of hashes.
 BURST = 1 << 12
 SPILL = 1 << 20
-WORDS = 1 << 20
+HASHES = 1 << 22
+#: Sequences a task gathers before they enter its trie.
+GATHERED_ROWS = 1 << 20
 #: A filter has this many bits (8 MB), whatever the corpus holds.
 FILTER_BITS = 26
 _CHUNK = 1 << 14
-_PIECE = 4 << 20
 _MERGE_PARTS = 64
+#: Bytes of text of one language, and of all, that a task gathers before it cuts them.
+PIECE = 4 << 20
+_GATHERED = 32 << 20
 
 _BREAK = b"\x0a"
 _CUTS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -42,43 +48,103 @@ _UPPER = bytes(range(0x41, 0x5B))
 _PLAIN = bytes.maketrans(_UPPER + _CUTS + b"\x09", _UPPER.lower() + _BREAK * len(_CUTS) + b"\x20")
 
 
-# --- words of a text ----------------------------------------------------------------
-def words(text: bytes) -> list[bytes]:
-    """Words of a text, with ``_BREAK`` where a piece ends."""
-    return text.translate(_PLAIN).replace(_BREAK, b" \x0a ").split(b" ")
+# --- texts as word ids --------------------------------------------------------------
+def word_ids(texts: Sequence[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of ``texts`` and the texts as ids of these; 0 ends a piece."""
+    ids: dict[bytes, int] = {_BREAK: 0, b"": -1}
+    names, out = [_BREAK], []
+    known = ids.get
+    for word in _BREAK.join(texts).translate(_PLAIN).replace(_BREAK, b" \x0a ").split(b" "):
+        at = known(word)
+        if at is None:
+            at = ids[word] = len(names)
+            names.append(word)
+        out.append(at)
+    found = np.array(out, dtype=np.int32)
+    return names, found[found >= 0]
 
 
-class Names:
-    """Ids of words in the order they are met.  Breaks and empty words are 0.
+def _tokens(texts: DataFrame) -> DataFrame:
+    """Rows of ``lang``, ``words`` and ``ids``: many short texts together, or one long one."""
 
-    ``hashes`` are those of the language and the word.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[bytes]] = {}
+        sizes: dict[str, int] = {}
+
+        def cut(lang: str) -> pa.RecordBatch:
+            names, ids = word_ids(held.pop(lang))
+            sizes.pop(lang)
+            columns = [
+                pa.array([lang], pa.string()), pa.array([names], pa.list_(pa.binary())),
+                pa.array([ids.astype("<i4").tobytes()], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "words", "ids"])
 
-    def __init__(self, lang: bytes):
-        self.lang = xxhash.xxh64_intdigest(lang)
-        self.ids: dict[bytes, int] = {b"": -1, _BREAK: 0}
-        self.words: list[bytes] = [_BREAK]
-        self.hashes: list[int] = [0]
-
-    def of(self, text: bytes) -> np.ndarray:
-        ids, out = self.ids, []
-        for word in words(text):
-            at = ids.get(word)
-            if at is None:
-                at = ids[word] = len(self.words)
-                self.words.append(word)
-                self.hashes.append(xxhash.xxh64_intdigest(word, self.lang))
-            out.append(at)
-        found = np.array(out, dtype=np.int64)
-        return found[found >= 0]
-
-
-def _pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held.setdefault(lang, []).append(text.as_py())
+                sizes[lang] = sizes.get(lang, 0) + len(held[lang][-1])
+                if sizes[lang] >= PIECE:
+                    yield cut(lang)
+                elif len(sizes) > 1 and sum(sizes.values()) >= _GATHERED:
+                    yield cut(max(sizes, key=sizes.get))
+        while held:
+            yield cut(next(iter(held)))
+
+    return small_batches(texts).mapInArrow(run, "lang string, words array<binary>, ids binary")
+
+
+class Piece:
+    """Word ids of a row of tokens, and hashes of its sequences."""
+
+    def __init__(self, lang: str, words: list[bytes], ids: bytes):
+        self.lang, self.words = lang, words
+        self.ids = np.frombuffer(ids, dtype="<i4").astype(np.int64)
+        seed = xxhash.xxh64_intdigest(lang.encode())
+        hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype=np.uint64)
+        self.hashes = hashes[self.ids]
+
+    def sequences(
+        self, longest: int, filters: Sequence[np.ndarray | None] = ()
+    ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Length, starts and hashes of the sequences of 1, 2, ... words that are in one piece.
+
+        ``filters`` are for these lengths; sequences with a part that does not pass are left out.
+        """
+        starts = np.flatnonzero(self.ids)
+        hashes = self.hashes[starts]
+        follows = None
+        for size in range(1, longest + 1):
+            if size > 1:
+                last = np.minimum(starts + size - 1, len(self.ids) - 1)
+                inside = (self.ids[last] > 0) & (last == starts + size - 1)
+                if follows is not None:
+                    # All parts but the last pair have passed with the prefix.
+                    inside &= follows[last - 1]
+                starts, hashes, last = starts[inside], hashes[inside], last[inside]
+                hashes = _joined(hashes, self.hashes[last])
+            if size <= len(filters) and filters[size - 1] is not None:
+                passing = _passes(filters[size - 1], hashes)
+                starts, hashes = starts[passing], hashes[passing]
+                if size == 2:
+                    follows = np.zeros(len(self.ids), dtype=bool)
+                    follows[starts] = True
+            yield size, starts, hashes
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of a sequence from that of all its words but the last, and of the last."""
     mixed = left * np.uint64(0x9E3779B97F4A7C15) + right
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return mixed ^ (mixed >> np.uint64(32))
 
 
+def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield Piece(*(c[i].as_py() for c in batch.columns))
+
+
 # --- the trie -----------------------------------------------------------------------
 class HatTrie:
     """Counts of sequences of word ids: hash containers under a shallow trie.
@@ -145,7 +211,7 @@ class HatTrie:
             yield from self._walk(self.root[1].pop(head), (head,))
 
 
-# --- counting in tasks ----------------------------------------------------------------
+# --- hashes that may be frequent ------------------------------------------------------
 def _filter_places(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
@@ -155,145 +221,54 @@ def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _grams(ids: np.ndarray, fits: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sequences of ``n`` ids and their counts; ``fits[i]`` is whether i and i+1 may join."""
-    size = len(ids) - n + 1
-    if size <= 0:
-        return np.zeros((0, n), dtype=np.int64), np.zeros(0, dtype=np.int64)
-    good = np.ones(size, dtype=bool)
-    for i in range(n - 1):
-        good &= fits[i : i + size]
-    at = np.flatnonzero(good)
-    codes = np.zeros(len(at), dtype=np.int64)
-    for i in range(n):
-        # A code is the rank of a prefix, so it never needs more than 31 + 31 bits.
-        if i:
-            codes = np.unique(codes, return_inverse=True)[1]
-        codes = (codes.astype(np.int64) << 31) | ids[at + i]
-    _, first, counts = np.unique(codes, return_index=True, return_counts=True)
-    return ids[at[first][:, None] + np.arange(n)], counts
-
-
-class _Counter:
-    """Sequences of one task's texts of one language."""
-
-    def __init__(self, lang: bytes, lengths: Sequence[int], frequent, pairs):
-        self.lang, self.lengths, self.frequent, self.pairs = lang, lengths, frequent, pairs
-        self.renew()
-
-    def renew(self) -> None:
-        self.names = Names(self.lang)
-        self.trie = HatTrie()
-        self.counts = np.zeros(0, dtype=np.int64)
-
-    def add(self, texts: list[bytes]) -> None:
-        ids = self.names.of(_BREAK.join(texts))
-        if self.lengths == (1,):
-            found = np.bincount(ids, minlength=len(self.names.words))
-            found[: len(self.counts)] += self.counts
-            self.counts = found
-            return
-        hashes = np.array(self.names.hashes, dtype=np.uint64)
-        known = _passes(self.frequent, hashes) & (np.arange(len(hashes)) > 0)
-        usable = known[ids]
-        fits = usable[:-1] & usable[1:]
-        if self.pairs is not None:
-            at = np.flatnonzero(fits)
-            fits[at] = _passes(self.pairs, _pair_hashes(hashes[ids[at]], hashes[ids[at + 1]]))
-        for n in self.lengths:
-            sequences, counts = _grams(ids, fits, n)
-            for sequence, count in zip(map(tuple, sequences.tolist()), counts.tolist()):
-                self.trie.add(sequence, count)
-
-    def run(self, keep: int = 0) -> Iterator[tuple[bytes, int]]:
-        """A sorted run of phrases and counts: what has to leave so that ``keep`` entries stay."""
-        names = self.names.words
-        if self.lengths == (1,):
-            found = [(names[i], int(self.counts[i])) for i in range(1, len(self.counts))]
-        else:
-            found = [(b" ".join([names[i] for i in s]), n) for s, n in self.trie.spill(keep)]
-        return iter(sorted(found))
-
-    def overflow(self) -> Iterator[tuple[bytes, int]]:
-        if len(self.names.words) > WORDS:
-            yield from self.run()
-            self.renew()
-        elif self.trie.size > SPILL:
-            yield from self.run(SPILL // 2)
+def _added(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One sorted run of distinct hashes and counts from several."""
+    hashes, counts = (np.concatenate(part) for part in zip(*runs))
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], counts[order]
+    starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)])
+    return hashes[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
-_RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
-
-
-def _rows(lang: str, run: Iterator[tuple[bytes, int]]) -> Iterator[pa.RecordBatch]:
-    found = list(run)
-    for start in range(0, len(found), 50_000):
-        some = found[start : start + 50_000]
-        phrases = pa.array([p for p, _ in some], pa.binary()).cast(pa.string())
-        counts = pa.array([n for _, n in some], pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(some), pa.string()), phrases, counts], schema=_RUN
-        )
-
+def _frequent_hashes(tokens: DataFrame, lengths: Sequence[int], filters: Sequence, least: int) -> DataFrame:
+    """``words`` and ``hash`` of the sequences of these ``lengths`` found ``least`` times or more."""
 
-def _runs(texts: DataFrame, lengths: tuple[int, ...], frequent=None, pairs=None) -> DataFrame:
-    """Sorted runs of the phrases of these ``lengths`` with their counts in a part of a task."""
+    def out(size: int, runs: list) -> tuple[list[pa.RecordBatch], list]:
+        hashes, counts = _added(runs)
+        columns = [np.full(len(hashes), size, np.int8), hashes.view(np.int64), counts]
+        return [pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["words", "hash", "n"])], []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = [None if f is None else f.value for f in (frequent, pairs)]
-        counters: dict[str, _Counter] = {}
-        for batch in batches:
-            for piece in pieces(batch, 1, _PIECE):
-                grouped: dict[str, list[bytes]] = {}
-                for lang, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                    grouped.setdefault(lang, []).append(text)
-                for lang, some in grouped.items():
-                    if lang not in counters:
-                        counters[lang] = _Counter(lang.encode(), lengths, *filters)
-                    counters[lang].add(some)
-                    yield from _rows(lang, counters[lang].overflow())
-                # What all languages of a task hold together is bounded too.
-                held = sum(len(c.names.words) + c.trie.size for c in counters.values())
-                if held > 2 * (WORDS + SPILL):
-                    for lang, counter in counters.items():
-                        yield from _rows(lang, counter.run())
-                    counters = {}
-        for lang, counter in counters.items():
-            yield from _rows(lang, counter.run())
-
-    return small_batches(texts).mapInArrow(run, "lang string, phrase string, n long")
-
-
-def _merged(runs: DataFrame, leading: int) -> DataFrame:
-    """Runs dealt out by their language and first ``leading`` words, and added up there.
-
-    A phrase comes once from each run, and few of its kind share all words but the last, so
-    no part is much larger than others.
-    """
-    prefix = F.xxhash64("lang", F.substring_index("phrase", " ", leading))
+        bits = [f.value for f in filters]
+        runs: dict[int, list] = {size: [] for size in lengths}
+        for piece in _piece_rows(batches):
+            for size, _, hashes in piece.sequences(max(lengths), bits):
+                if size not in runs:
+                    continue
+                runs[size].append(np.unique(hashes, return_counts=True))
+                if sum(len(h) for h, _ in runs[size]) > HASHES:
+                    runs[size] = [_added(runs[size])]
+                    if len(runs[size][0][0]) > HASHES // 2:
+                        found, runs[size] = out(size, runs[size])
+                        yield from found
+        for size, some in runs.items():
+            if some:
+                yield from out(size, some)[0]
+
+    counted = tokens.mapInArrow(run, "words byte, hash long, n long")
     return (
-        runs.withColumn("prefix", prefix)
-        .repartition("prefix")
-        .groupBy("prefix", "lang", "phrase")
-        .agg(F.sum("n").alias("n"))
-        .drop("prefix")
+        counted.groupBy("words", "hash").agg(F.sum("n").alias("n"))
+        .where(F.col("n") >= least).select("words", "hash")
     )
 
 
-def _bit_filter(frequent: DataFrame, n: int):
-    """A broadcast filter of ``2 ** FILTER_BITS`` bits with the places of frequent phrases."""
-    spark = frequent.sparkSession
+def _bit_filter(hashes: DataFrame):
+    """A broadcast filter of ``2 ** FILTER_BITS`` bits with the places of ``hash``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << FILTER_BITS, dtype=bool)
         for batch in batches:
-            langs = [xxhash.xxh64_intdigest(x) for x in batch.column(0).to_pylist()]
-            parts = [p.split(b" ") for p in batch.column(1).to_pylist()]
-            each = [
-                np.array([xxhash.xxh64_intdigest(p[i], x) for p, x in zip(parts, langs)], np.uint64)
-                for i in range(n)
-            ]
-            held[_filter_places(each[0] if n == 1 else _pair_hashes(*each))] = True
+            held[_filter_places(batch.column(0).to_numpy().view(np.uint64))] = True
         chunks = np.packbits(held).reshape(-1, _CHUNK)
         full = np.flatnonzero(chunks.any(axis=1))
         yield pa.RecordBatch.from_arrays(
@@ -309,12 +284,139 @@ def _bit_filter(frequent: DataFrame, n: int):
         return pa.table({"chunk": found.column("chunk").slice(0, 1), "bits": bits})
 
     schema = "chunk int, bits binary"
-    texts = frequent.select(F.col("lang").cast("binary"), F.col("phrase").cast("binary"))
-    found = texts.mapInArrow(run, schema).groupBy("chunk").applyInArrow(either, schema)
+    found = hashes.select("hash").mapInArrow(run, schema).groupBy("chunk").applyInArrow(either, schema)
     bits = np.zeros(((1 << FILTER_BITS) // 8 // _CHUNK, _CHUNK), dtype=np.uint8)
     for row in found.toLocalIterator():
         bits[row["chunk"]] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
-    return spark.sparkContext.broadcast(bits.reshape(-1))
+    return hashes.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+
+# --- counting -------------------------------------------------------------------------
+def _distinct(sequences: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sequences and their counts."""
+    order = np.argsort(hashes)
+    found = sequences[order]
+    # Equal sequences have equal hashes and so stand together.  Unlike ones may too, which
+    # only cuts their counts into several.
+    fresh = np.ones(len(found), dtype=bool)
+    fresh[1:] = (found[1:] != found[:-1]).any(axis=1)
+    at = np.flatnonzero(fresh)
+    return found[at], np.diff(np.r_[at, len(found)])
+
+
+class Counter:
+    """Sequences of one task's texts of one language.
+
+    They are gathered up to a bounded number, so that a trie is asked once for all equal ones.
+    """
+
+    def __init__(self, burst: int = BURST):
+        self.burst = burst
+        self.renew()
+
+    def renew(self) -> None:
+        self.ids: dict[bytes, int] = {}
+        self.names: list[bytes] = []
+        self.trie = HatTrie(self.burst)
+        self.held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.rows = 0
+
+    def add(self, piece: Piece, longest: int, filters: Sequence) -> None:
+        place = np.full(len(piece.words), -1, dtype=np.int64)
+        for size, starts, hashes in piece.sequences(longest, filters):
+            local = piece.ids[starts[:, None] + np.arange(size)]
+            if size == 1:
+                for at in np.unique(local).tolist():
+                    word = piece.words[at]
+                    place[at] = self.ids.setdefault(word, len(self.names))
+                    if place[at] == len(self.names):
+                        self.names.append(word)
+            self.held.setdefault(size, []).append((place[local], hashes))
+            self.rows += len(local)
+        if self.rows > GATHERED_ROWS:
+            self.settle()
+
+    def settle(self) -> None:
+        """What is gathered goes into the trie."""
+        for parts in self.held.values():
+            sequences, counts = _distinct(*(np.concatenate(p) for p in zip(*parts)))
+            for sequence, count in zip(sequences.tolist(), counts.tolist()):
+                self.trie.add(tuple(sequence), count)
+        self.held, self.rows = {}, 0
+
+    def run(self, keep: int = 0) -> list[tuple[bytes, int]]:
+        """A sorted run of phrases and counts: what has to leave so that ``keep`` entries stay."""
+        self.settle()
+        names = self.names
+        return sorted((b" ".join([names[i] for i in s]), n) for s, n in self.trie.spill(keep))
+
+    def overflow(self) -> list[tuple[bytes, int]]:
+        if len(self.names) > SPILL:
+            found = self.run()
+            self.renew()
+            return found
+        return self.run(SPILL // 2) if self.trie.size > SPILL else []
+
+
+def _runs(tokens: DataFrame, longest: int, filters: Sequence) -> DataFrame:
+    """Sorted runs of phrases with their counts in a part of a task."""
+
+    def rows(lang: str, found: list) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(found), 50_000):
+            some = found[start : start + 50_000]
+            phrases = pa.array([p for p, _ in some], pa.binary()).cast(pa.string())
+            counts = pa.array([n for _, n in some], pa.int64())
+            langs = pa.array([lang] * len(some), pa.string())
+            yield pa.RecordBatch.from_arrays([langs, phrases, counts], names=["lang", "phrase", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = [f.value for f in filters]
+        counters: dict[str, Counter] = {}
+        for piece in _piece_rows(batches):
+            counter = counters.setdefault(piece.lang, Counter())
+            counter.add(piece, longest, bits)
+            yield from rows(piece.lang, counter.overflow())
+            # What all languages of a task hold together is bounded too.
+            if sum(len(c.names) + c.trie.size + c.rows for c in counters.values()) > 6 * SPILL:
+                for lang, counter in counters.items():
+                    yield from rows(lang, counter.run())
+                counters = {}
+        for lang, counter in counters.items():
+            yield from rows(lang, counter.run())
+
+    return tokens.mapInArrow(run, "lang string, phrase string, n long")
+
+
+def _merged(runs: DataFrame) -> DataFrame:
+    """Runs dealt out by their language and leading words, and added up there.
+
+    A phrase comes once from each run, and its prefix is it itself up to two words and all
+    its words but the last beyond, so that no part is much larger than others.
+    """
+    words = F.size(F.split("phrase", " "))
+    leading = F.greatest(words - 1, F.lit(2))
+    prefix = F.xxhash64("lang", F.array_join(F.slice(F.split("phrase", " "), F.lit(1), leading), " "))
+    return (
+        runs.withColumn("prefix", prefix)
+        .repartition("prefix")
+        .groupBy("prefix", "lang", "phrase")
+        .agg(F.sum("n").alias("n"))
+        .select("lang", "phrase", words.alias("words"), "n")
+    )
+
+
+def _word_totals(tokens: DataFrame) -> DataFrame:
+    """``n``, all occurrences of all words, by ``lang``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.count_nonzero(np.frombuffer(i.as_py(), "<i4")) for i in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64())], names=["lang", "n"]
+            )
+
+    found = tokens.select("lang", "ids").mapInArrow(run, "lang string, n long")
+    return found.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def count_phrases(
@@ -331,24 +433,18 @@ def count_phrases(
         F.coalesce(column(lang).cast("string"), F.lit("und")).alias("lang"),
         column(text).cast("binary").alias("text"),
     )
-    single = written(_merged(_runs(texts, (1,)), 1), "words")
-    totals = written(single.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    frequent = F.col("n") >= least
-    found = [single.where(frequent)]
-    words_filter = _bit_filter(found[0], 1)
-    pairs = written(_merged(_runs(texts, (2,), words_filter), 2).where(frequent), "pairs")
-    found.append(pairs)
+    tokens = written(_tokens(texts), "tokens")
+    totals = written(_word_totals(tokens), "totals")
+
+    def filters_of(lengths: Sequence[int], filters: Sequence) -> list:
+        hashes = written(_frequent_hashes(tokens, lengths, filters, least), "hashes")
+        return [_bit_filter(hashes.where(F.col("words") == size)) for size in lengths]
+
+    filters = filters_of([1, 2], [])
     if longest > 2:
-        pair_filter = _bit_filter(pairs, 2)
-        longer = _runs(texts, tuple(range(3, longest + 1)), words_filter, pair_filter)
-        found.append(_merged(longer, 3).where(frequent))
-    counted = [
-        part.withColumn("words", F.size(F.split("phrase", " "))) for part in found
-    ]
-    every = counted[0]
-    for part in counted[1:]:
-        every = every.unionByName(part)
-    return written(every, "phrases"), totals
+        filters += filters_of(list(range(3, longest + 1)), filters)
+    runs = _runs(tokens, longest, filters)
+    return written(_merged(runs).where(F.col("n") >= least), "phrases"), totals
 
 
 # --- scores ---------------------------------------------------------------------------

@@ -63,33 +63,51 @@ def test_equals_plain_count(spark):
     assert ours(spark, rows, least=4, longest=2) == plain(rows, 4, 2000, longest=2)
 
 
-def test_when_tries_burst_and_spill(spark, monkeypatch):
+def test_when_tries_burst_and_spill(monkeypatch):
     rows = made(300, 4)
-    texts = [(text or "").encode() for text, _ in rows]
-    whole = Counter()
-    for lengths in ((1,), (2,), (3, 4)):
-        monkeypatch.setattr(c, "SPILL", 40)
-        monkeypatch.setattr(c, "WORDS", 12)
-        bits = c.np.full((1 << c.FILTER_BITS) // 8, 255, dtype=c.np.uint8)
-        counter = c._Counter(b"en", lengths, bits, bits if lengths == (3, 4) else None)
-        counter.trie = c.HatTrie(burst=3)
-        runs = 0
-        for text in texts:
-            counter.add([text])
-            before = len(whole)
-            for phrase, n in counter.overflow():
-                whole[phrase.decode()] += n
-            runs += len(whole) > before
-        for phrase, n in counter.run():
+    monkeypatch.setattr(c, "SPILL", 40)
+    monkeypatch.setattr(c, "GATHERED_ROWS", 50)
+    whole, runs = Counter(), 0
+    counter = c.Counter(burst=3)
+    for text, _ in rows:
+        words, ids = c.word_ids([(text or "").encode()])
+        counter.add(c.Piece("en", words, ids.tobytes()), 4, [])
+        left = counter.overflow()
+        runs += bool(left)
+        for phrase, n in left:
             whole[phrase.decode()] += n
-        assert runs > 1
+    for phrase, n in counter.run():
+        whole[phrase.decode()] += n
     expected = Counter()
     for text, _ in rows:
         for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(LOWER)):
             words = re.findall("[^\x20\x09]+", piece)
             for k in range(1, 5):
                 expected.update(" ".join(words[i : i + k]) for i in range(len(words) - k + 1))
-    assert whole == expected
+    assert runs > 1 and whole == expected
+
+
+def test_filters_hold_no_frequent_sequence_back():
+    words, ids = c.word_ids([b"a b c d. a b c d a b. b c"])
+    piece = c.Piece("en", words, ids.tobytes())
+    full = {size: hashes for size, _, hashes in piece.sequences(4)}
+    assert [len(full[size]) for size in (1, 2, 3, 4)] == [12, 9, 6, 4]
+    filters = []
+    for size in (1, 2):  # those found twice or more
+        bits = c.np.zeros(1 << c.FILTER_BITS, dtype=bool)
+        found, counts = c.np.unique(full[size], return_counts=True)
+        bits[c._filter_places(found[counts > 1])] = True
+        filters.append(c.np.packbits(bits))
+    kept = {size: starts for size, starts, _ in piece.sequences(4, filters)}
+    assert len(kept[1]) == 12 and len(kept[2]) == 8  # all but "d a"
+    assert len(kept[3]) == 4 and len(kept[4]) == 2
+
+
+def test_small_pieces_and_runs(spark, monkeypatch):
+    rows = made(200, 5)
+    monkeypatch.setattr(c, "HASHES", 30)
+    monkeypatch.setattr(c, "PIECE", 100)
+    assert ours(spark, rows, least=5) == plain(rows, 5, 2000)
 
 
 def test_trie_spills_whole_subtrees_in_order():
