@@ -30,13 +30,15 @@ LONGEST = 4
 #: Entries of a container that bursts, of a trie that spills, and of a run of hashes.
 BURST = 1 << 12
 SPILL = 1 << 20
-HASHES = 1 << 22
+HASHES = 1 << 21
 #: Sequences a task gathers before they enter its trie.
 GATHERED_ROWS = 1 << 20
 #: A filter has this many bits (8 MB), whatever the corpus holds.
 FILTER_BITS = 26
 _CHUNK = 1 << 14
 _MERGE_PARTS = 64
+#: Rows that leave a task at a time.
+_ROWS = 1 << 16
 #: Bytes of text of one language, and of all, that a task gathers before it cuts them.
 PIECE = 4 << 20
 _GATHERED = 32 << 20
@@ -233,10 +235,12 @@ def _added(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 def _frequent_hashes(tokens: DataFrame, lengths: Sequence[int], filters: Sequence, least: int) -> DataFrame:
     """``words`` and ``hash`` of the sequences of these ``lengths`` found ``least`` times or more."""
 
-    def out(size: int, runs: list) -> tuple[list[pa.RecordBatch], list]:
-        hashes, counts = _added(runs)
-        columns = [np.full(len(hashes), size, np.int8), hashes.view(np.int64), counts]
-        return [pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["words", "hash", "n"])], []
+    def out(size: int, hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(hashes), _ROWS):
+            some = slice(start, start + _ROWS)
+            columns = [hashes[some].view(np.int64), counts[some]]
+            words = pa.array(np.full(len(columns[0]), size, np.int8))
+            yield pa.RecordBatch.from_arrays([words, *map(pa.array, columns)], names=["words", "hash", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [f.value for f in filters]
@@ -249,11 +253,10 @@ def _frequent_hashes(tokens: DataFrame, lengths: Sequence[int], filters: Sequenc
                 if sum(len(h) for h, _ in runs[size]) > HASHES:
                     runs[size] = [_added(runs[size])]
                     if len(runs[size][0][0]) > HASHES // 2:
-                        found, runs[size] = out(size, runs[size])
-                        yield from found
+                        yield from out(size, *runs[size].pop())
         for size, some in runs.items():
             if some:
-                yield from out(size, some)[0]
+                yield from out(size, *_added(some))
 
     counted = tokens.mapInArrow(run, "words byte, hash long, n long")
     return (
@@ -362,8 +365,8 @@ def _runs(tokens: DataFrame, longest: int, filters: Sequence) -> DataFrame:
     """Sorted runs of phrases with their counts in a part of a task."""
 
     def rows(lang: str, found: list) -> Iterator[pa.RecordBatch]:
-        for start in range(0, len(found), 50_000):
-            some = found[start : start + 50_000]
+        for start in range(0, len(found), _ROWS):
+            some = found[start : start + _ROWS]
             phrases = pa.array([p for p, _ in some], pa.binary()).cast(pa.string())
             counts = pa.array([n for _, n in some], pa.int64())
             langs = pa.array([lang] * len(some), pa.string())
