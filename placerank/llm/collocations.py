@@ -40,8 +40,8 @@ _MERGE_PARTS = 64
 #: Rows that leave a task at a time.
 _ROWS = 1 << 16
 #: Bytes of text of one language, and of all, that a task gathers before it cuts them.
-PIECE = 4 << 20
-_GATHERED = 32 << 20
+PIECE = 1 << 19
+_GATHERED = 16 << 20
 
 _BREAK = b"\x0a"
 _CUTS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -259,8 +259,9 @@ def _frequent_hashes(tokens: DataFrame, lengths: Sequence[int], filters: Sequenc
                 yield from out(size, *_added(some))
 
     counted = tokens.mapInArrow(run, "words byte, hash long, n long")
+    # Runs hold no hash twice, so they are dealt out as they are.
     return (
-        counted.groupBy("words", "hash").agg(F.sum("n").alias("n"))
+        counted.repartition("hash").groupBy("words", "hash").agg(F.sum("n").alias("n"))
         .where(F.col("n") >= least).select("words", "hash")
     )
 
