@@ -7,8 +7,9 @@ largest subtrees leave it as sorted runs.  Runs are dealt out by the leading wor
 phrases and merged there.
 
 A phrase is no more frequent than any part of it, and most sequences of a corpus are rare.
-So hashes of words and of pairs are counted first, then hashes of longer sequences in which
-every pair is frequent, and only sequences with a frequent hash enter a trie.  What is
+So hashes of words are counted first, then those of pairs of frequent words, then those of
+longer sequences in which every pair is frequent, and only sequences with a frequent hash
+enter a trie.  What is
 frequent is told to the tasks by filters of fixed size, which let some others pass and never
 hold one back; counts are exact and the least count is applied to those.
 """
@@ -233,7 +234,10 @@ def _added(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 def _frequent_hashes(tokens: DataFrame, lengths: Sequence[int], filters: Sequence, least: int) -> DataFrame:
-    """``words`` and ``hash`` of the sequences of these ``lengths`` found ``least`` times or more."""
+    """``words`` and ``hash`` of the sequences of these ``lengths`` found ``least`` times or more.
+
+    Length 0 stands for the words of pairs that pass the filters, whatever their number.
+    """
 
     def out(size: int, hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         for start in range(0, len(hashes), _ROWS):
@@ -245,11 +249,14 @@ def _frequent_hashes(tokens: DataFrame, lengths: Sequence[int], filters: Sequenc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [f.value for f in filters]
         runs: dict[int, list] = {size: [] for size in lengths}
+        longest = max(size or 2 for size in lengths)
         for piece in _piece_rows(batches):
-            for size, _, hashes in piece.sequences(max(lengths), bits):
-                if size not in runs:
-                    continue
-                runs[size].append(np.unique(hashes, return_counts=True))
+            for size, starts, hashes in piece.sequences(longest, bits):
+                if size == 2 and 0 in runs:
+                    runs[0].append(np.unique(piece.hashes[np.r_[starts, starts + 1]], return_counts=True))
+                if size in runs:
+                    runs[size].append(np.unique(hashes, return_counts=True))
+            for size in lengths:
                 if sum(len(h) for h, _ in runs[size]) > HASHES:
                     runs[size] = [_added(runs[size])]
                     if len(runs[size][0][0]) > HASHES // 2:
@@ -262,7 +269,7 @@ def _frequent_hashes(tokens: DataFrame, lengths: Sequence[int], filters: Sequenc
     # Runs hold no hash twice, so they are dealt out as they are.
     return (
         counted.repartition("hash").groupBy("words", "hash").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= least).select("words", "hash")
+        .where((F.col("n") >= least) | (F.col("words") == 0)).select("words", "hash")
     )
 
 
@@ -426,9 +433,9 @@ def _word_totals(tokens: DataFrame) -> DataFrame:
 def count_phrases(
     df: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, longest: int = LONGEST
 ) -> tuple[DataFrame, DataFrame]:
-    """Phrases of 1 to ``longest`` words found ``least`` times or more, and words by language.
+    """Phrases found ``least`` times or more, and words by language.
 
-    The first is ``lang``, ``phrase`` (words joined by blanks), ``words`` and ``n``; the
+    Phrases have 2 to ``longest`` words; the words of such phrases are there too.  The first is ``lang``, ``phrase`` (words joined by blanks), ``words`` and ``n``; the
     second ``lang`` and ``n``, all occurrences of all words.  Both are written tables.
     """
     if not 2 <= longest <= LONGEST:
@@ -444,9 +451,11 @@ def count_phrases(
         hashes = written(_frequent_hashes(tokens, lengths, filters, least), "hashes")
         return [_bit_filter(hashes.where(F.col("words") == size)) for size in lengths]
 
-    filters = filters_of([1, 2], [])
-    if longest > 2:
-        filters += filters_of(list(range(3, longest + 1)), filters)
+    filters = filters_of([1], [])
+    filters += filters_of([2], filters)
+    # Words that no frequent pair has are part of no phrase.
+    filters[0], *longer = filters_of([0, *range(3, longest + 1)], filters)
+    filters += longer
     runs = _runs(tokens, longest, filters)
     return written(_merged(runs).where(F.col("n") >= least), "phrases"), totals
 
