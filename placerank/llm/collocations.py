@@ -53,7 +53,10 @@ _PLAIN = bytes.maketrans(_UPPER + _CUTS + b"\x09", _UPPER.lower() + _BREAK * len
 
 # --- texts as word ids --------------------------------------------------------------
 def word_ids(texts: Sequence[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The distinct words of ``texts`` and the texts as ids of these; 0 ends a piece."""
+    """The distinct words of ``texts`` and the texts as ids of these; 0 ends a piece.
+
+    Ids have two bytes if that suffices, else four.
+    """
     ids: dict[bytes, int] = {_BREAK: 0, b"": -1}
     names, out = [_BREAK], []
     known = ids.get
@@ -64,7 +67,11 @@ def word_ids(texts: Sequence[bytes]) -> tuple[list[bytes], np.ndarray]:
             names.append(word)
         out.append(at)
     found = np.array(out, dtype=np.int32)
-    return names, found[found >= 0]
+    return names, found[found >= 0].astype("<u2" if len(names) <= 1 << 16 else "<u4")
+
+
+def _ids(raw: bytes, words: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if words <= 1 << 16 else "<u4")
 
 
 def _tokens(texts: DataFrame) -> DataFrame:
@@ -79,7 +86,7 @@ def _tokens(texts: DataFrame) -> DataFrame:
             sizes.pop(lang)
             columns = [
                 pa.array([lang], pa.string()), pa.array([names], pa.list_(pa.binary())),
-                pa.array([ids.astype("<i4").tobytes()], pa.binary()),
+                pa.array([ids.tobytes()], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(columns, names=["lang", "words", "ids"])
 
@@ -102,7 +109,7 @@ class Piece:
 
     def __init__(self, lang: str, words: list[bytes], ids: bytes):
         self.lang, self.words = lang, words
-        self.ids = np.frombuffer(ids, dtype="<i4").astype(np.int64)
+        self.ids = _ids(ids, len(words)).astype(np.int64)
         seed = xxhash.xxh64_intdigest(lang.encode())
         hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype=np.uint64)
         self.hashes = hashes[self.ids]
@@ -421,12 +428,13 @@ def _word_totals(tokens: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [np.count_nonzero(np.frombuffer(i.as_py(), "<i4")) for i in batch.column(1)]
+            sizes, raw = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            counts = [np.count_nonzero(_ids(i, n)) for i, n in zip(raw, sizes)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64())], names=["lang", "n"]
             )
 
-    found = tokens.select("lang", "ids").mapInArrow(run, "lang string, n long")
+    found = tokens.select("lang", F.size("words"), "ids").mapInArrow(run, "lang string, n long")
     return found.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
