@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placerank.llm.common import column, small_batches
+from placerank.llm.common import batch_iterator, column, small_batches
 from placerank.sources.scratch import written
 
 LONGEST = 4
@@ -38,6 +38,8 @@ GATHERED_ROWS = 1 << 20
 FILTER_BITS = 26
 _CHUNK = 1 << 14
 _MERGE_PARTS = 64
+#: Phrases of a prefix partition, about.
+PART_PHRASES = 20_000
 #: Rows that leave a task at a time.
 _ROWS = 1 << 16
 #: Bytes of text of one language, and of all, that a task gathers before it cuts them.
@@ -376,16 +378,28 @@ class Counter:
         return self.run(SPILL // 2) if self.trie.size > SPILL else []
 
 
-def _runs(tokens: DataFrame, longest: int, filters: Sequence) -> DataFrame:
-    """Sorted runs of phrases with their counts in a part of a task."""
+def _prefix(phrase: bytes) -> bytes:
+    """A phrase of one or two words itself, all words but the last of a longer one."""
+    return phrase[: phrase.rfind(b" ")] if phrase.count(b" ") > 1 else phrase
+
+
+def _runs(tokens: DataFrame, longest: int, filters: Sequence, parts: int) -> DataFrame:
+    """Sorted runs of phrases with their counts in a piece of a task, cut in prefix partitions.
+
+    A row is what a run has of one of ``parts`` partitions.
+    """
 
     def rows(lang: str, found: list) -> Iterator[pa.RecordBatch]:
-        for start in range(0, len(found), _ROWS):
-            some = found[start : start + _ROWS]
-            phrases = pa.array([p for p, _ in some], pa.binary()).cast(pa.string())
-            counts = pa.array([n for _, n in some], pa.int64())
-            langs = pa.array([lang] * len(some), pa.string())
-            yield pa.RecordBatch.from_arrays([langs, phrases, counts], names=["lang", "phrase", "n"])
+        runs: dict[int, list] = {}
+        for entry in found:
+            runs.setdefault(xxhash.xxh64_intdigest(_prefix(entry[0])) % parts, []).append(entry)
+        for part, run in runs.items():
+            phrases, counts = zip(*run)
+            columns = [
+                pa.array([lang], pa.string()), pa.array([part], pa.int64()),
+                pa.array([phrases], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "part", "phrases", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [f.value for f in filters]
@@ -402,25 +416,35 @@ def _runs(tokens: DataFrame, longest: int, filters: Sequence) -> DataFrame:
         for lang, counter in counters.items():
             yield from rows(lang, counter.run())
 
-    return tokens.mapInArrow(run, "lang string, phrase string, n long")
+    return tokens.mapInArrow(run, "lang string, part long, phrases array<binary>, counts array<long>")
 
 
-def _merged(runs: DataFrame) -> DataFrame:
-    """Runs dealt out by their language and leading words, and added up there.
+def _merged(runs: DataFrame, least: int) -> DataFrame:
+    """Runs of each prefix partition added up; phrases found ``least`` times or more stay.
 
-    A phrase comes once from each run, and its prefix is it itself up to two words and all
-    its words but the last beyond, so that no part is much larger than others.
+    Few phrases share all words but the last, so no partition is much larger than others.
+    Runs stream by: a partition holds one number for each of its phrases.
     """
-    words = F.size(F.split("phrase", " "))
-    leading = F.greatest(words - 1, F.lit(2))
-    prefix = F.xxhash64("lang", F.array_join(F.slice(F.split("phrase", " "), F.lit(1), leading), " "))
-    return (
-        runs.withColumn("prefix", prefix)
-        .repartition("prefix")
-        .groupBy("prefix", "lang", "phrase")
-        .agg(F.sum("n").alias("n"))
-        .select("lang", "phrase", words.alias("words"), "n")
-    )
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[bytes, int] = {}
+        lang = None
+        for batch in batches:
+            lang = batch.column(0)[0].as_py()
+            for phrases, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                for phrase, n in zip(phrases, counts):
+                    total[phrase] = total.get(phrase, 0) + n
+        found = sorted((phrase, n) for phrase, n in total.items() if n >= least)
+        columns = [
+            pa.array([lang] * len(found), pa.string()),
+            pa.array([p for p, _ in found], pa.binary()).cast(pa.string()),
+            pa.array([p.count(b" ") + 1 for p, _ in found], pa.int32()),
+            pa.array([n for _, n in found], pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "n"])
+
+    schema = "lang string, phrase string, words int, n long"
+    return runs.groupBy("lang", "part").applyInArrow(batch_iterator(merge), schema)
 
 
 def _word_totals(tokens: DataFrame) -> DataFrame:
@@ -455,8 +479,11 @@ def count_phrases(
     tokens = written(_tokens(texts), "tokens")
     totals = written(_word_totals(tokens), "totals")
 
+    passing: list[int] = []
+
     def filters_of(lengths: Sequence[int], filters: Sequence) -> list:
         hashes = written(_frequent_hashes(tokens, lengths, filters, least), "hashes")
+        passing.append(hashes.count())
         return [_bit_filter(hashes.where(F.col("words") == size)) for size in lengths]
 
     filters = filters_of([1], [])
@@ -464,8 +491,9 @@ def count_phrases(
     # Words that no frequent pair has are part of no phrase.
     filters[0], *longer = filters_of([0, *range(3, longest + 1)], filters)
     filters += longer
-    runs = _runs(tokens, longest, filters)
-    return written(_merged(runs).where(F.col("n") >= least), "phrases"), totals
+    parts = -(-sum(passing) // PART_PHRASES) or 1
+    runs = _runs(tokens, longest, filters, parts)
+    return written(_merged(runs, least), "phrases"), totals
 
 
 # --- scores ---------------------------------------------------------------------------

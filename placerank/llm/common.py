@@ -104,3 +104,13 @@ def map_texts(
                 yield out if mask is None else out.filter(pa.array(mask))
 
     return small_batches(source).mapInArrow(run, schema)
+
+
+def batch_iterator(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` with the annotations by which ``applyInArrow`` hands it a group batch by batch."""
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+
+    call.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return call

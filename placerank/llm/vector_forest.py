@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placerank.llm.common import column, uniform
+from placerank.llm.common import batch_iterator, column, uniform
 from placerank.sources.scratch import written
 
 #: Rows the trees are fitted on, and queries the budget is measured with.
@@ -389,20 +389,10 @@ def search(index: Index, queries: DataFrame, k: int, enough: float) -> DataFrame
     every = every.unionByName(queries.select("key", "values").mapInArrow(asking, schema))
     # Rows of a bin come before the queries that ask it.
     dealt = every.repartition("bin").sortWithinPartitions("bin", "asks")
-    found = dealt.groupBy("bin").applyInArrow(_typed(rerank), _FOUND)
+    found = dealt.groupBy("bin").applyInArrow(batch_iterator(rerank), _FOUND)
     return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
 
 
-def _typed(run):
-    """``run`` as a function that Spark sees to take and give iterators of batches."""
-
-    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-
-    call.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return call
-
-
 class _Bin:
     """Rows of some leaves, kept while queries come by."""
 
