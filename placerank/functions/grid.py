@@ -82,3 +82,75 @@ class Grid:
             f"flatten(transform({bands}, x -> transform(sequence({first}, {last}), "
             f"c -> {_number('x.b', 'pmod(c, x.n)')})))"
         )
+
+
+@dataclass(frozen=True)
+class TileGrid:
+    """Tiles of a plane of coordinates on several levels; a tile has four quarters one level down.
+
+    Level 0 are cells as in ``Grid``, with longitudes taken as they are, so that a tile is one
+    range of latitudes and one of longitudes.  Doubling a number is exact, so tiles nest
+    without exception.  Numbers hold level, row and column.
+    """
+
+    step: float
+
+    #: Keeps columns of longitudes below -180 positive.
+    _SHIFT = 1 << 22
+
+    def _pack(self, level: int, row: str, column: str) -> str:
+        return on_level(level, _number(row, f"({column} + {self._SHIFT}L)"))
+
+    def tile(self, lat: str, lon: str, level: int) -> str:
+        """The tile a point lies in."""
+        cells, fold = Grid(self.step), f"{float(1 << level)!r}D"
+        columns = cells.band_columns(cells.band(lat))
+        row = f"floor(({lat} + 90D) / {self.step!r}D * {fold})"
+        return self._pack(level, row, f"floor(({lon} + 180D) / 360D * {columns} * {fold})")
+
+    def cells(self, lat: str, lon: str, dlat: str, dlon: str) -> str:
+        """Array of the tiles of level 0 that the box ``lat±dlat, lon±dlon`` touches.
+
+        Longitudes more than a full turn away are none of them.
+        """
+        grid = Grid(self.step)
+        bands = (
+            f"transform(sequence({grid.band(f'{lat} - {dlat}')}, {grid.band(f'{lat} + {dlat}')}), "
+            f"b -> named_struct('b', b, 'n', {grid.band_columns('b')}))"
+        )
+        first = f"floor(({lon} - least({dlon}, 360D) + 180D) / 360D * x.n)"
+        last = f"floor(({lon} + least({dlon}, 360D) + 180D) / 360D * x.n)"
+        return (
+            f"flatten(transform({bands}, x -> transform(sequence({first}, {last}), "
+            f"c -> {self._pack(0, 'x.b', 'c')})))"
+        )
+
+    def quarters(self, tile: str, level: int) -> str:
+        """Array of the four tiles of the next level in a tile of ``level``."""
+        row, column = self._row(tile), self._column(tile)
+        each = [
+            self._pack(level + 1, f"({row} * 2 + {i})", f"({column} * 2 + {j})")
+            for i in (0, 1) for j in (0, 1)
+        ]
+        return f"array({', '.join(each)})"
+
+    def _row(self, tile: str) -> str:
+        return f"(shiftright({tile}, 24) & {(1 << 28) - 1}L)"
+
+    def _column(self, tile: str) -> str:
+        return f"(({tile} & {(1 << 24) - 1}L) - {self._SHIFT}L)"
+
+    def width(self, tile: str, level: int) -> str:
+        """Degrees of longitude from one side of a tile to the other."""
+        columns = Grid(self.step).band_columns(f"shiftright({self._row(tile)}, {level})")
+        return f"(360D / ({columns} * {float(1 << level)!r}D))"
+
+    def bounds(self, tile: str, width: str, level: int, slack: float) -> dict[str, str]:
+        """``lat_lo``, ``lat_hi``, ``lon_lo``, ``lon_hi`` of a tile, wider by ``slack`` degrees."""
+        row, column, height = self._row(tile), self._column(tile), f"{self.step / (1 << level)!r}D"
+        return {
+            "lat_lo": f"({row} * {height} - 90D - {slack!r}D)",
+            "lat_hi": f"(({row} + 1) * {height} - 90D + {slack!r}D)",
+            "lon_lo": f"({column} * {width} - 180D - {slack!r}D)",
+            "lon_hi": f"(({column} + 1) * {width} - 180D + {slack!r}D)",
+        }

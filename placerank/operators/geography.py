@@ -19,13 +19,14 @@ from placerank.constants import (
     SAMPLE_STEP,
 )
 from placerank.functions.expressions import column_safe
-from placerank.functions.grid import Grid, haversine_sql, level_of, on_level
+from placerank.functions.grid import Grid, TileGrid, haversine_sql, level_of, on_level
 from placerank.sources.scratch import written
 
-# Cells of the radius join are about as large as the radius; each is cut in
-# REFINE x REFINE tiles whose totals stand in for their points.
-_STEP = 0.01
-_REFINE = 16
+# Cells of the radius join have about half the radius; their sides are halved twice.
+_STEP = 0.005
+_FINEST = 2
+# Single points are kept beside the tiles, one level further down.
+_SINGLE = _FINEST + 1
 _SLACK = 1e-9
 
 
@@ -44,59 +45,65 @@ def clean_poi_groups(pois: DataFrame) -> DataFrame:
     )
 
 
-def _points(pois: DataFrame, groups: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """One row per coordinate with a count per group: copies of a point collapse here."""
-    counts = [f"count_if(poi_group = '{g}') as `{column_safe(g)}`" for g in groups]
-    return (
+def _radius_grid(radius_m: float) -> TileGrid:
+    """Cells between a half and the whole of the radius, and those of 0.005 degrees at least."""
+    doublings = math.ceil(math.log2(max(radius_m / (2 * METRES_PER_DEGREE * _STEP), 1.0)))
+    return TileGrid(_STEP * 2**doublings)
+
+
+def _pyramid(
+    pois: DataFrame, groups: Sequence[str], keys: Sequence[str], grid: TileGrid
+) -> DataFrame:
+    """Counts per group of every tile that holds points, of all levels, and of every single point.
+
+    Points at one coordinate are one row, so copies collapse; only these rows have ``p_lat``
+    and ``p_lon``.  Tiles are summed before they are dealt out.
+    """
+    names = [column_safe(g) for g in groups]
+    counts = [f"count_if(poi_group = '{g}') as `{n}`" for g, n in zip(groups, names)]
+    points = written(
         clean_poi_groups(pois)
         .where(F.col("poi_group").isin(list(groups)))
         .groupBy(*keys, "p_lat", "p_lon")
-        .agg(*map(F.expr, counts))
-        .selectExpr(
-            "*",
-            f"{Grid(_STEP).cell('p_lat', 'p_lon')} as cell",
-            f"{Grid(_STEP / _REFINE).cell('p_lat', 'p_lon')} as tile",
-        )
+        .agg(*map(F.expr, counts)),
+        "points",
     )
+    tiles = ", ".join(grid.tile("p_lat", "p_lon", level) for level in range(_FINEST + 1))
+    totals = (
+        points.selectExpr(*keys, f"explode(array({tiles})) as at", *[f"`{n}`" for n in names])
+        .groupBy(*keys, "at")
+        .agg(*[F.sum(n).alias(n) for n in names])
+        .withColumns({"p_lat": F.lit(None).cast("double"), "p_lon": F.lit(None).cast("double")})
+    )
+    single = points.withColumn("at", F.expr(_single(grid.tile("p_lat", "p_lon", _FINEST))))
+    return totals.unionByName(single)
 
 
-def _tiles(points: DataFrame, groups: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Totals and true bounds of the points of each tile within a cell."""
-    totals = [f"sum(`{column_safe(g)}`) as `{column_safe(g)}`" for g in groups]
-    bounds = [
-        f"{how}(p_{axis}) as {axis}_{end}"
-        for axis in ("lat", "lon")
-        for how, end in (("min", "lo"), ("max", "hi"))
-    ]
-    return points.groupBy(*keys, "cell", "tile").agg(*map(F.expr, [*bounds, *totals]))
-
-
-def _chord(dlat: str, dlon: str, cos_other: str) -> str:
-    return (
-        f"(power(sin(radians({dlat}) / 2), 2)"
-        f" + cos(radians(lat)) * {cos_other} * power(sin(radians({dlon}) / 2), 2))"
-    )
+def _single(tile: str) -> str:
+    """The key of the points of a finest tile, from that of the tile."""
+    return f"({tile} + shiftleft(1L, 52))"
 
 
-def _placement(radius_m: float) -> str:
-    """``inside``, ``outside`` or ``edge``: a tile's bounds against box and circle.
+def _placed(radius_m: float, inside: str, edge: str) -> str:
+    """``inside`` or ``edge`` by a tile's bounds against box and circle; an empty array outside.
 
-    A tile of one coordinate is settled by the exact tests.  For others both
-    verdicts are conservative by a relative 1e-9, and ``edge`` tiles are settled
-    point by point.
+    Both verdicts are conservative by a relative 1e-9, so points need no further test.  Half a
+    turn away is farthest, so beyond it a tile's bounds say nothing.
     """
     limit = math.sin(radius_m / (2 * EARTH_RADIUS_M)) ** 2
-    most = _chord(
-        "greatest(abs(lat_lo - lat), abs(lat_hi - lat))",
-        "greatest(abs(lon_lo - lon), abs(lon_hi - lon))",
-        "cos(radians(greatest(0D, lat_lo, -lat_hi)))",
+    far_lon = "greatest(lon_hi - lon, lon - lon_lo)"
+
+    def chord(dlat: str, dlon: str, beyond: str, cos_other: str) -> str:
+        turn = f"if({far_lon} > 180D, {beyond}, power(sin(radians({dlon}) / 2), 2))"
+        return f"(power(sin(radians({dlat}) / 2), 2) + cos_lat * cos(radians({cos_other})) * {turn})"
+
+    least = chord(
+        "greatest(0D, lat_lo - lat, lat - lat_hi)", "greatest(0D, lon_lo - lon, lon - lon_hi)",
+        "0D", "least(90D, greatest(lat_hi, -lat_lo))",
     )
-    least = _chord(
-        "greatest(0D, lat_lo - lat, lat - lat_hi)",
-        "greatest(0D, lon_lo - lon, lon - lon_hi)",
-        "cos(radians(greatest(abs(lat_lo), abs(lat_hi))))",
+    most = chord(
+        "greatest(lat_hi - lat, lat - lat_lo)", far_lon, "1D", "greatest(0D, lat_lo, -lat_hi)"
     )
-    exact = haversine_sql("lat", "lon", "lat_lo", "lon_lo", EARTH_RADIUS_M)
     missed = (
         "lat_hi < lat - dlat or lat_lo > lat + dlat or lon_hi < lon - dlon or lon_lo > lon + dlon"
     )
@@ -105,15 +112,38 @@ def _placement(radius_m: float) -> str:
         " and lon_lo >= lon - dlon and lon_hi <= lon + dlon"
     )
     return (
-        f"case when {missed} then 'outside'"
-        f" when lat_lo = lat_hi and lon_lo = lon_hi"
-        f" then if({exact} <= {radius_m}D, 'inside', 'outside')"
-        f" when {least} > {limit * (1 + _SLACK)!r}D then 'outside'"
-        f" when {boxed} and {most} <= {limit * (1 - _SLACK)!r}D then 'inside'"
-        f" else 'edge' end"
+        f"case when {missed} then array()"
+        f" when {least} > {limit * (1 + _SLACK)!r}D then array()"
+        f" when {boxed} and {most} <= {limit * (1 - _SLACK)!r}D then {inside}"
+        f" else {edge} end"
     )
 
 
+def _cover(places: DataFrame, radius_m: float, grid: TileGrid) -> DataFrame:
+    """Tiles that make up the circle around every place, large ones first, as rows of ``at``.
+
+    Only tiles on the rim are cut in quarters.  What is still on the rim at the finest level
+    stands for its single points.  Nothing is shuffled and no data looked at.
+    """
+    names = places.columns
+
+    def listed(tiles: str, whole: str) -> str:
+        return f"transform({tiles}, t -> named_struct('at', t, 'whole', {whole}))"
+
+    cells = grid.cells("lat", "lon", "dlat", "dlon")
+    rows = places.selectExpr("*", "cos(radians(lat)) as cos_lat", f"{listed(cells, 'false')} as tiles")
+    for level in range(_FINEST + 1):
+        rows = rows.selectExpr(*names, "cos_lat", "explode(tiles) as tile")
+        rows = rows.selectExpr(*names, "cos_lat", "tile.at", "tile.whole", f"{grid.width('tile.at', level)} as width")
+        bounds = [f"{sql} as {name}" for name, sql in grid.bounds("at", "width", level, _SLACK).items()]
+        cut = _single("at") if level == _FINEST else grid.quarters("at", level)
+        itself = "array(named_struct('at', at, 'whole', true))"
+        edge = listed(f"array({cut})" if level == _FINEST else cut, "false")
+        placed = f"if(whole, {itself}, {_placed(radius_m, itself, edge)})"
+        rows = rows.selectExpr("*", *bounds).selectExpr(*names, "cos_lat", f"{placed} as tiles")
+    return rows.selectExpr(*names, "explode(tiles) as tile").selectExpr(*names, "tile.at")
+
+
 def count_nearby(
     listings: DataFrame,
     pois: DataFrame,
@@ -123,17 +153,20 @@ def count_nearby(
 ) -> DataFrame:
     """``env_<group>`` counts per distinct place: (``addr_cc``, ``lat``, ``lon``).
 
-    Listings at one coordinate are one place and points at one coordinate are
-    one row with counts, so copies on either side are never paired.  Places meet
-    tiles, not points: a tile that lies wholly inside the radius adds its totals,
-    and only the points of tiles on the edge are measured one by one.  Both joins
-    are equi-joins on grid cells; adaptive execution splits the dense ones.  Points,
-    tiles and the tiles met are written once each, so it runs jobs when called.
-    Only the named groups are counted; a point of another group has no column.
+    Listings at one coordinate are one place and points at one coordinate are one row with
+    counts, so copies on either side are never paired.  Points are summed up in a pyramid of
+    tiles.  A place's circle is made up of tiles as large as fit: a tile wholly inside adds its
+    total at its own level, and only the points of the finest tiles on the rim are measured one
+    by one.  So a place meets about sixty tiles and the points of as many, however many are
+    near.  Tiles and points are one table and places meet it in one equi-join, which adaptive
+    execution splits where it is dense; sums are begun before they are dealt out by place.
+    Points and their pyramid are written once each, so it runs jobs when called; what places
+    meet is not written.  Only the named groups are counted; a point of another group has no
+    column.
     """
     keys = [] if cross_border else ["addr_cc"]
-    points = written(_points(pois, groups, keys), "points")
-    tiles = written(_tiles(points, groups, keys), "tiles")
+    grid = _radius_grid(radius_m)
+    pyramid = written(_pyramid(pois, groups, keys, grid), "pyramid")
     names = [column_safe(g) for g in groups]
     place = ["addr_cc", "lat", "lon"]
 
@@ -141,33 +174,24 @@ def count_nearby(
         listings.selectExpr("addr_cc", "cast(lat as double) as lat", "cast(long as double) as lon")
         .dropna(subset=["lat", "lon", *keys])
         .distinct()
+        # A place becomes a hundred rows, so few places are many tasks' work.
+        .repartition(int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lat", "lon")
         .selectExpr(
             "*",
             f"{radius_m / METRES_PER_DEGREE!r}D as dlat",
             f"{radius_m}D / ({METRES_PER_DEGREE}D * cos(radians(lat))) as dlon",
         )
-        .selectExpr("*", f"explode({Grid(_STEP).touching('lat', 'lon', 'dlat', 'dlon')}) as cell")
-    )
-    met = written(
-        places.hint("merge").join(tiles, ["cell", *keys])
-        .selectExpr("*", f"{_placement(radius_m)} as placement")
-        .where("placement <> 'outside'")
-        .select(*place, "dlat", "dlon", "cell", "tile", "placement", *names),
-        "met",
-    )
-    inside = met.where("placement = 'inside'").select(*place, *names)
-    # Tiles of one coordinate are never on the edge, so where points are sparse
-    # this side is all but empty.  A tile can cross a cell's border, so the join
-    # with the points names the cell too.
-    edge = (
-        met.where("placement = 'edge'").select(*place, "dlat", "dlon", "cell", "tile")
-        .join(points, ["tile", "cell", *keys])
-        .where("p_lat between lat - dlat and lat + dlat and p_lon between lon - dlon and lon + dlon")
-        .where(f"{haversine_sql('lat', 'lon', 'p_lat', 'p_lon', EARTH_RADIUS_M)} <= {radius_m}D")
-        .select(*place, *names)
     )
+    boxed = "p_lat between lat - dlat and lat + dlat and p_lon between lon - dlon and lon + dlon"
+    close = f"{haversine_sql('lat', 'lon', 'p_lat', 'p_lon', EARTH_RADIUS_M)} <= {radius_m}D"
     totals = [f"cast(sum(`{n}`) as int) as `env_{n}`" for n in names]
-    return inside.unionByName(edge).groupBy(*place).agg(*map(F.expr, totals))
+    return (
+        _cover(places, radius_m, grid).hint("merge")
+        .join(pyramid, ["at", *keys])
+        .where(f"p_lat is null or ({boxed} and {close})")
+        .groupBy(*place)
+        .agg(*map(F.expr, totals))
+    )
 
 
 def count_nearby_long(

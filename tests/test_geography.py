@@ -147,3 +147,52 @@ def test_city_join_adds_no_rows(spark):
     assert got.count() == 3
     assert {r["property_id"]: r["budget_level"] for r in got.collect()} == {1: "Budget", 2: None, 3: None}
     assert "city_addr_admin1" in got.columns
+
+
+@pytest.mark.parametrize("base", [(0.0, 0.0), (52.3, 4.9), (89.99, 10.0), (-60.0, -179.999)])
+def test_cover_is_the_circle(spark, base):
+    """Tiles of a cover are inside, rim tiles hold the rest, and no point lies in two of them."""
+    grid = geography._radius_grid(R)
+    rng = random.Random(5)
+    lat0, lon0 = base
+    dlon = R / (111000.0 * math.cos(math.radians(lat0)))
+    points = [(lat0 + rng.uniform(-0.012, 0.012), lon0 + rng.uniform(-1.3, 1.3) * min(dlon, 200)) for _ in range(2000)]
+    points = [p for p in points if -90 <= p[0] <= 90]
+    places = spark.createDataFrame([(lat0, lon0, R / 111000.0, dlon)], "lat double, lon double, dlat double, dlon double")
+    cover = [r["at"] for r in geography._cover(places, R, grid).select("at").collect()]
+    assert len(cover) == len(set(cover))
+    whole = {at for at in cover if at >> 52 < geography._SINGLE}
+    rim = set(cover) - whole
+    if abs(lat0) < 70:
+        assert 30 < len(whole) < 90 and 40 < len(rim) < 110
+    tiles = [grid.tile("lat", "lon", level) for level in range(geography._FINEST + 1)]
+    df = spark.createDataFrame(points, "lat double, lon double")
+    rows = df.selectExpr("lat", "lon", f"array({', '.join(tiles)}) as tiles", f"{geography._single(tiles[-1])} as single").collect()
+    for r in rows:
+        inside = sum(at in whole for at in r["tiles"])
+        assert inside + (r["single"] in rim) <= 1
+        hit = near((0, "", lat0, lon0), ("", r["lat"], r["lon"]))
+        assert inside <= hit and (not hit or inside or r["single"] in rim)
+
+
+def test_one_join_and_nothing_written_of_what_places_meet(spark):
+    listings = spark.createDataFrame([(1, "FR", 48.0, 2.0)], "property_id int, addr_cc string, lat double, long double")
+    pois = spark.createDataFrame([("FR", 48.0, 2.0, "food")], "addr_cc string, lat double, lon double, poi_group string")
+    plan = geography.count_nearby(listings, pois)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Generate ") == 4
+
+
+@pytest.mark.parametrize("radius", [50.0, 1000.0, 25_000.0])
+def test_other_radii(spark, radius):
+    rng = random.Random(6)
+    spread = radius / 111000 * 1.5
+    pois = [("FR", 45 + rng.uniform(-spread, spread), 3 + rng.uniform(-spread, spread), "food") for _ in range(400)]
+    found = geography.count_nearby(
+        spark.createDataFrame([(1, "FR", 45.0, 3.0)], "property_id int, addr_cc string, lat double, long double"),
+        spark.createDataFrame(pois, "addr_cc string, lat double, lon double, poi_group string"), radius_m=radius,
+    ).first()
+    reach = radius / (111000 * math.cos(math.radians(45)))
+    expected = sum(
+        abs(p[1] - 45) <= radius / 111000 and abs(p[2] - 3) <= reach and metres(45, 3, p[1], p[2]) <= radius for p in pois
+    )
+    assert found["env_food"] == expected > 0
