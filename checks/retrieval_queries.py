@@ -9,7 +9,7 @@ from checks.score_queries import SCORE_STEPS, SCORE_VIEWS, score_sql, scored
 from checks.views import view
 from placerank.constants import ENGLISH_STOP_WORDS, TARGET_COUNTRIES
 from placerank.functions.expressions import cosine_from_l2
-from placerank.operators import browsing, embedding, neighbours, ranking
+from placerank.operators import browsing, embedding, neighbours, probing, ranking
 from placerank.operators.nested import neighbour_lists
 from placerank.operators.ranking import Preferences
 from placerank.plans.offline import precompute_neighbours
@@ -111,6 +111,41 @@ def lsh_neighbours_wide(spark, folder):
     return neighbours.nearest_neighbours(hashed, requests, 50, shared_buckets=True)
 
 
+_POSSIBLE = f"SELECT count(*) FROM sampled s JOIN vectors c ON s.property_id <> c.property_id WHERE c.addr_cc IN ({_COUNTRY_LIST})"
+
+
+@query(
+    "lsh_recall", ["vectors"],
+    f"""SELECT count(*) AS n_true, ({_POSSIBLE}) AS n_possible, true AS recall_reached, true AS pruned
+FROM (SELECT * FROM paired QUALIFY row_number() OVER
+  (PARTITION BY src_property_id, target_cc ORDER BY l2_dist, neighbor_property_id) <= 10)""",
+    {k: NEIGHBOUR_STEPS[k] for k in ("sampled", "paired")},
+)
+def lsh_recall(spark, folder):
+    """Multi-probe search against the exact one: nine tenths of it, from fewer pairs than there are."""
+    vectors = view(spark, folder, "vectors")
+    requests = neighbours.every_country(sample(spark, folder), TARGET_COUNTRIES)
+    index = probing.build_probe_index(vectors, width=1.5, tables=4, functions=4)
+    looked_at = probing.measured_probes(index, requests, 10, 0.95)
+    pairs = written(probing.probed_pairs(index, requests, looked_at), "pairs")
+    found = neighbours.nearest_of_pairs(index.vectors, pairs, 10)
+    ids = ["src_property_id", "neighbor_property_id", "target_cc"]
+    true = neighbours.nearest_neighbours(vectors, requests, 10).select(*ids)
+    met = true.join(found.select(*ids, F.lit(1).alias("met")), ids, "left")
+    possible = requests.join(
+        vectors.select(F.col("property_id").alias("other_id"), F.col("addr_cc").alias("target_cc")), "target_cc"
+    ).where("property_id <> other_id").agg(F.count("*")).scalar()
+    measured = pairs.agg(F.count("*")).scalar()
+    return (
+        met.agg(F.count("*").alias("n_true"), F.count("met").alias("n_met"))
+        .withColumns({"n_possible": possible, "n_measured": measured})
+        .select(
+            "n_true", "n_possible", (F.col("n_met") >= 0.9 * F.col("n_true")).alias("recall_reached"),
+            (F.col("n_measured") < 0.95 * F.col("n_possible")).alias("pruned"),
+        )
+    )
+
+
 @query("lsh_single")
 def lsh_single(spark, folder):
     """The index's own approximate search for one listing."""

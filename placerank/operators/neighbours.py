@@ -218,41 +218,54 @@ def _nearest_in_buckets(
     )
     if drop_self:
         met = met.where("src_property_id <> neighbor_property_id")
-    pairs = met.select("src_property_id", "neighbor_property_id", "target_cc").distinct()
+    return nearest_of_pairs(
+        prepared, met.select("src_property_id", "neighbor_property_id", "target_cc").distinct(), n
+    )
+
+
+def as_vectors(embedded: DataFrame, vector: str = "features_norm") -> DataFrame:
+    """``property_id``, ``addr_cc``, ``values`` and, if vectors are sparse, ``indices``."""
+    return _as_vectors(embedded, vector, False)[0]
+
+
+def nearest_of_pairs(vectors: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """The ``n`` nearest among ``pairs`` of ids, from plain vectors as ``as_vectors`` gives them.
+
+    Norms are computed once for each vector, before vectors meet the pairs.
+    """
 
-    def side(df: DataFrame, name: str, prefix: str) -> DataFrame:
+    def side(name: str, prefix: str) -> DataFrame:
         values = F.col("values")
-        places = F.col("indices") if "indices" in df.columns else F.sequence(
-            F.lit(0), F.size(values) - 1
-        )
-        return df.select(
-            F.col("property_id").alias(name), places.alias(f"{prefix}_places"), values.alias(prefix)
+        places = F.col("indices") if "indices" in vectors.columns else F.lit(None).cast("array<bigint>")
+        squares = F.aggregate(values, F.lit(0.0), lambda s, v: s + v * v)
+        return vectors.select(
+            F.col("property_id").alias(name), places.alias(f"{prefix}_places"),
+            values.alias(prefix), squares.alias(f"{prefix}_squares"),
         ).dropDuplicates([name])
 
-    both = pairs.join(side(prepared, "src_property_id", "a"), "src_property_id").join(
-        side(prepared, "neighbor_property_id", "b"), "neighbor_property_id"
-    )
-    return _nearest_n(
-        both.select(*pairs.columns, _distance("a_places", "a", "b_places", "b").alias("l2_dist")), n
+    both = pairs.join(side("src_property_id", "a"), "src_property_id").join(
+        side("neighbor_property_id", "b"), "neighbor_property_id"
     )
+    return _nearest_n(both.select(*pairs.columns, _distance("a", "b").alias("l2_dist")), n)
 
 
-def _distance(a_places: str, a: str, b_places: str, b: str) -> Column:
-    """Euclidean distance of two vectors of places and values, rounded."""
+def _distance(a: str, b: str) -> Column:
+    """Euclidean distance of two vectors of places, values and squared norms, rounded."""
 
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
-    def squares(name: str) -> Column:
-        return total(F.transform(name, lambda v: v * v))
-
     same = total(F.zip_with(a, b, lambda x, y: x * y))
-    known = F.map_from_arrays(a_places, a)
+    known = F.map_from_arrays(f"{a}_places", a)
     sparse = total(
-        F.zip_with(b_places, b, lambda i, y: y * F.coalesce(F.try_element_at(known, i), F.lit(0.0)))
+        F.zip_with(
+            f"{b}_places", b, lambda i, y: y * F.coalesce(F.try_element_at(known, i), F.lit(0.0))
+        )
     )
-    dot = F.when(F.col(a_places) == F.col(b_places), same).otherwise(sparse)
-    return F.round(F.sqrt(F.greatest(F.lit(0.0), squares(a) + squares(b) - 2 * dot)), DIGITS)
+    alike = F.col(f"{a}_places").eqNullSafe(F.col(f"{b}_places"))
+    dot = F.when(alike, same).otherwise(sparse)
+    squared = F.col(f"{a}_squares") + F.col(f"{b}_squares") - 2 * dot
+    return F.round(F.sqrt(F.greatest(F.lit(0.0), squared)), DIGITS)
 
 
 def retrieve(
