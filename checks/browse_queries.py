@@ -155,6 +155,16 @@ def distribution_report(spark, folder):
     return profiling.distribution_report(view(spark, folder, "listings"))
 
 
+@query(
+    "distribution_exact", ["listings"],
+    f"""SELECT feature, non_null, {', '.join(f'round({c}, 2) AS {c}' for c in _SHOWN)}, outliers
+FROM fences JOIN outside USING (feature)""",
+    PROFILE_STEPS,
+)
+def distribution_exact(spark, folder):
+    return profiling.distribution_report(view(spark, folder, "listings"), exact=True)
+
+
 @query("outlier_counts", ["listings"], "SELECT feature, outliers FROM outside", PROFILE_STEPS)
 def outlier_counts(spark, folder):
     report = profiling.distribution_report(view(spark, folder, "listings"))

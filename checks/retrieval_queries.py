@@ -9,7 +9,7 @@ from checks.score_queries import SCORE_STEPS, SCORE_VIEWS, score_sql, scored
 from checks.views import view
 from placerank.constants import ENGLISH_STOP_WORDS, TARGET_COUNTRIES
 from placerank.functions.expressions import cosine_from_l2
-from placerank.operators import browsing, embedding, neighbours, probing, ranking
+from placerank.operators import browsing, embedding, neighbours, pivots, probing, ranking
 from placerank.operators.nested import neighbour_lists
 from placerank.operators.ranking import Preferences
 from placerank.plans.offline import precompute_neighbours
@@ -81,6 +81,13 @@ def knn_top_pairs(spark, folder):
     return neighbours.top_neighbours(wide, 50)
 
 
+@query("knn_pivots", ["vectors"], "SELECT * FROM nearest", NEIGHBOUR_STEPS)
+def knn_pivots(spark, folder):
+    """The exact search by pivots and bounds."""
+    requests = neighbours.every_country(sample(spark, folder), TARGET_COUNTRIES)
+    return pivots.pivot_neighbours(view(spark, folder, "vectors"), requests, 50, pivots=8)
+
+
 # --- hashed index ----------------------------------------------------------------
 def _indexed(spark, folder):
     from pyspark.ml.functions import array_to_vector

@@ -15,6 +15,7 @@ from placerank.operators.neighbours import (
     pick_rows,
     with_cosine,
 )
+from placerank.operators.selection import exact_quantiles
 from placerank.sources.scratch import written
 
 
@@ -143,7 +144,7 @@ def median_table(
     """Median similarity per target and country, with medians of both margins.
 
     The last row holds each country's median over targets and, in the last
-    column, the median of all cells.  Cells, one per target and country, are written
+    column, the median of all cells; these are found by selection when this is called.  Cells, one per target and country, are written
     once, as the rows and the last row read them.
     """
     cells = written(
@@ -163,10 +164,13 @@ def median_table(
         .withColumn("target_id", F.col("target_id").cast("string"))
     )
     names = titles.select(F.col("property_id").cast("string").alias("target_id"), "listing_title")
-    summary = cells.agg(*medians, margin).select(
+    # Columns over all targets are as long as there are targets; no task holds one of them.
+    wide = cells.select(*[of(c).alias(c) for c in countries], listed.alias("target_property_median"))
+    whole = exact_quantiles(wide, wide.columns, [0.5])
+    summary = cells.sparkSession.range(1).select(
         F.lit("country_median").alias("target_id"),
         F.lit("Country Median").alias("listing_title"),
-        "*",
+        *[F.lit(whole[c][0]).cast("double").alias(c) for c in wide.columns],
     )
     rows = per_target.join(names, "target_id", "left").unionByName(summary)
     last = F.col("target_id") == "country_median"

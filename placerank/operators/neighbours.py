@@ -83,10 +83,10 @@ def _result_types(id_type: T.DataType) -> tuple[T.StructType, pa.Schema]:
 
 def top_neighbours(pairs: DataFrame, n: int) -> DataFrame:
     """The ``n`` nearest per source and target country, ties by id, self left out."""
-    return _nearest_n(pairs.where("src_property_id <> neighbor_property_id"), n)
+    return nearest_of_found(pairs.where("src_property_id <> neighbor_property_id"), n)
 
 
-def _nearest_n(found: DataFrame, n: int) -> DataFrame:
+def nearest_of_found(found: DataFrame, n: int) -> DataFrame:
     """The best ``n`` of every hashed part of a source's candidates, then of those.
 
     So no task sorts all candidates of a source.
@@ -179,10 +179,23 @@ def _nearest_by_blocks(
         .withColumn("c", block("c_blocks")).withColumn("s", every("s_blocks"))
         .drop("s_blocks", "c_blocks")
     )
-    spark_schema, arrow_schema = _result_types(prepared.schema["property_id"].dataType)
+    found = search_blocks(left, right, names, ["s", "c"], n, drop_self)
+    return nearest_of_found(found, n)
+
+
+def search_blocks(
+    left: DataFrame, right: DataFrame, names: Sequence[str], blocks: Sequence[str], n: int, drop_self: bool
+) -> DataFrame:
+    """The ``n`` nearest candidates of every source within each pair of blocks.
+
+    Both sides have ``country`` and ``blocks``; columns of ``left`` are called ``source_`` and
+    their name of ``names``.
+    """
+    spark_schema, arrow_schema = _result_types(right.schema["property_id"].dataType)
+    sparse = "indices" in right.columns
 
     def search(some: pa.Table, rows: pa.Table) -> pa.Table:
-        source_rows = some.rename_columns(names).to_pylist()
+        source_rows = some.rename_columns(list(names)).to_pylist()
         out = []
         if source_rows and rows.num_rows:
             block_ = _sources_from(source_rows, sparse)
@@ -191,12 +204,12 @@ def _nearest_by_blocks(
                 out.append(_found(country, block_.ids, found, arrow_schema))
         return pa.Table.from_batches(out, schema=arrow_schema)
 
-    found = (
-        left.groupBy("source_country", "source_s", "source_c")
-        .cogroup(right.groupBy("country", "s", "c"))
+    keys = ["country", *blocks]
+    return (
+        left.groupBy(*[f"source_{k}" for k in keys])
+        .cogroup(right.groupBy(*keys))
         .applyInArrow(search, spark_schema)
     )
-    return _nearest_n(found, n)
 
 
 def _nearest_in_buckets(
@@ -246,7 +259,7 @@ def nearest_of_pairs(vectors: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     both = pairs.join(side("src_property_id", "a"), "src_property_id").join(
         side("neighbor_property_id", "b"), "neighbor_property_id"
     )
-    return _nearest_n(both.select(*pairs.columns, _distance("a", "b").alias("l2_dist")), n)
+    return nearest_of_found(both.select(*pairs.columns, _distance("a", "b").alias("l2_dist")), n)
 
 
 def _distance(a: str, b: str) -> Column:
@@ -296,7 +309,7 @@ def retrieve(
             yield _found(country, block.ids, best, arrow_schema)
 
     candidates = prepared.where(F.col("addr_cc") == country)
-    return _nearest_n(candidates.mapInArrow(search, spark_schema), n).select(
+    return nearest_of_found(candidates.mapInArrow(search, spark_schema), n).select(
         F.col("neighbor_property_id").alias("property_id"),
         F.col("target_cc").alias("addr_cc"),
         "l2_dist",

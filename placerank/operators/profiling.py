@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placerank.functions.expressions import seeded_share
+from placerank.operators.selection import exact_quantiles
 from placerank.sources.scratch import written
 
 _NUMERIC = (T.DoubleType, T.IntegerType, T.FloatType, T.LongType)
@@ -78,14 +79,22 @@ def _profiled(
     return df.select(*numbers, *[F.length(c).alias(f"len_{c}") for c in texts])
 
 
-def quartile_fences(df: DataFrame, columns: Sequence[str], iqr_multiplier: float) -> DataFrame:
-    """Statistics and outlier fences per column, in long form, from one pass.
+def quartile_fences(
+    df: DataFrame, columns: Sequence[str], iqr_multiplier: float, exact: bool = False
+) -> DataFrame:
+    """Statistics and outlier fences per column, in long form.
 
-    Quartiles come from mergeable sketches, so no task ever holds a column.
+    Quartiles come from mergeable sketches in one pass, or are ``exact`` ones that take some
+    passes more; no task ever holds a column either way.
     """
+    shares = [0.25, 0.5, 0.75]
+    known = exact_quantiles(df, columns, shares, interpolated=False) if exact else {}
     aggregates = []
     for c in columns:
-        quartiles = F.percentile_approx(c, [0.25, 0.5, 0.75], _ACCURACY)
+        if exact:
+            quartiles = F.array(*[F.lit(v).cast("double") for v in known[c]])
+        else:
+            quartiles = F.percentile_approx(c, shares, _ACCURACY)
         aggregates += [
             F.count(c).alias(f"{c}__non_null"),
             F.min(c).cast("double").alias(f"{c}__min"),
@@ -141,15 +150,18 @@ def distribution_report(
     texts: Sequence[str] | None = None,
     iqr_multiplier: float = 1.5,
     skip_all_null: bool = True,
+    exact: bool = False,
 ) -> DataFrame:
     """Distribution and outliers of numeric columns and of text lengths.
 
+    Quartiles are sketches, or ``exact`` at the price of further passes.
+
     The fences are a few rows; they are written once and read by both the second
     pass and the report.
     """
     checked = _profiled(df, numbers, texts)
     columns = checked.columns
-    fences = written(quartile_fences(checked, columns, iqr_multiplier), "fences")
+    fences = written(quartile_fences(checked, columns, iqr_multiplier, exact), "fences")
     outside = outlier_counts(checked, fences, columns)
     report = fences.join(outside, "feature")
     if skip_all_null:
