@@ -14,7 +14,8 @@ from placerank.constants import (
     PICKER_COLUMNS,
 )
 from placerank.functions.expressions import truncated
-from placerank.operators import browsing, coverage, profiling
+from placerank.operators import browsing, coverage, profile_state, profiling
+from placerank.sources.scratch import scratch_path
 
 _PICKER = ", ".join(PICKER_COLUMNS)
 
@@ -165,6 +166,30 @@ def distribution_exact(spark, folder):
     return profiling.distribution_report(view(spark, folder, "listings"), exact=True)
 
 
+def _appended(spark, folder):
+    """The profile of listings that were written in three batches, from the batches' states."""
+    listings = view(spark, folder, "listings")
+    path = scratch_path(spark, "profile")
+    for batch in range(3):
+        part = listings.where(F.pmod("property_id", F.lit(3)) == batch)
+        profile_state.append_profile(part, path, accuracy=1 << 15)
+    return profile_state.stored_profile(spark, path)
+
+
+@query(
+    "profile_appended", ["listings"],
+    f"SELECT feature, non_null, {', '.join(f'round({c}, 2) AS {c}' for c in _SHOWN)} FROM fences WHERE non_null > 0",
+    {k: v for k, v in PROFILE_STEPS.items() if k != "outside"},
+)
+def profile_appended(spark, folder):
+    return profile_state.distribution_from_state(_appended(spark, folder))
+
+
+@query("missing_appended", ["listings"], _missing_sql(_ALL_COLUMNS))
+def missing_appended(spark, folder):
+    return profile_state.missing_from_state(_appended(spark, folder), show_all=True).drop("distinct")
+
+
 @query("outlier_counts", ["listings"], "SELECT feature, outliers FROM outside", PROFILE_STEPS)
 def outlier_counts(spark, folder):
     report = profiling.distribution_report(view(spark, folder, "listings"))
