@@ -235,6 +235,14 @@ def neighbours_json(spark, folder):
     return tables.read_neighbours_json(spark, path, _NEIGHBOUR, "3", "gb")
 
 
+@query("neighbours_lookup", ["vectors"], "SELECT * FROM nearest WHERE src_property_id = 3", NEIGHBOUR_STEPS)
+def neighbours_lookup(spark, folder):
+    """One source's neighbours from a table kept in the order of sources."""
+    path = scratch_path(spark, "lookup")
+    tables.write_lookup(vec_knn_batch(spark, folder), path, "src_property_id")
+    return tables.look_up(spark, path, "src_property_id", 3)
+
+
 @query(
     "neighbours_parquet", ["vectors"], "SELECT * FROM nearest WHERE target_cc IN ('FR', 'ES')", NEIGHBOUR_STEPS
 )

@@ -82,6 +82,34 @@ def write_by_country(
     df.write.mode(mode).partitionBy(partition_column).parquet(path)
 
 
+def write_lookup(
+    df: DataFrame,
+    path: str,
+    key: str,
+    row_group_bytes: int = 8 << 20,
+    expected_ids: int = 1_000_000,
+    mode: str = "overwrite",
+) -> None:
+    """A table from which rows of one ``key`` are read without looking at the others.
+
+    Files hold ranges of keys in order, so their statistics, and those of their row groups and
+    pages, name few places for a key; a bloom filter in each row group settles keys
+    that are not there.  Smaller row groups read less for a key and cost more for a whole scan.
+    """
+    ordered = df.repartitionByRange(key).sortWithinPartitions(key)
+    options = {
+        f"parquet.bloom.filter.enabled#{key}": "true",
+        f"parquet.bloom.filter.expected.ndv#{key}": str(expected_ids),
+        "parquet.block.size": str(row_group_bytes),
+    }
+    ordered.write.mode(mode).options(**options).parquet(path)
+
+
+def look_up(spark: SparkSession, path: str, key: str, value) -> DataFrame:
+    """Rows of one key of a table written by ``write_lookup``; none if it has no such key."""
+    return spark.read.parquet(path).where(F.col(key) == F.lit(value))
+
+
 def write_neighbours(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     write_by_country(df, path, "target_cc", mode=mode)
 

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from checks.catalog import QUERIES
@@ -131,3 +132,21 @@ def test_country_pool_ignores_case(spark):
     df = spark.createDataFrame(rows, "property_id bigint, addr_cc string, features_norm array<double>")
     picks, _ = evaluation.pick_diverse(df, 3, seed=1)
     assert {r["property_id"] for r in picks.collect()} == {1, 2, 3}
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_one_key_opens_few_rows(spark, tmp_path, kind):
+    rows = spark.range(200_000).selectExpr(f"cast(id * 7 % 50021 as {kind}) as property_id", "uuid() as payload")
+    plain, path = str(tmp_path / "plain"), str(tmp_path / "lookup")
+    rows.repartition(4).write.parquet(plain)
+    tables.write_lookup(rows, path, "property_id", row_group_bytes=1 << 18)
+    wanted = 4242 if kind == "bigint" else "4242"
+    counts = {}
+    for name, at in (("plain", plain), ("lookup", path)):
+        df = tables.look_up(spark, at, "property_id", wanted)
+        plan = df._jdf.queryExecution().executedPlan()
+        found = len(plan.executeCollect())
+        counts[name] = (found, plan.collectLeaves().head().metrics().apply("numOutputRows").value())
+    assert counts["plain"][0] == counts["lookup"][0] > 0
+    assert counts["plain"][1] >= 100_000 and counts["lookup"][1] < 30_000
+    assert tables.look_up(spark, path, "property_id", -1 if kind == "bigint" else "none").count() == 0
