@@ -37,24 +37,36 @@ UNKNOWN = "und"
 
 
 @functools.lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    """Every code point as its lower-case letter, or a blank if it is no letter or mark.
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Every code point as its lower-case letter, or a blank if it is no letter or mark; and
+    whether it is a letter.
 
-    Letters keep their low 16 bits, so four of them fill one 64-bit number.
+    Letters have 16 bits, so four of them fill one 64-bit number.  Those beyond U+FFFF share the
+    6,400 places that Unicode leaves to private use, so none is taken for a blank or for another
+    of the first 65,536.
     """
     table = np.full(0x110000, _BLANK, dtype=np.uint64)
+    letters = np.zeros(0x110000, dtype=bool)
     for code in range(0x32400):
         letter = chr(code)
-        if unicodedata.category(letter)[0] in "LM":
-            lower = letter.lower()
-            table[code] = (ord(lower) if len(lower) == 1 else code) & 0xFFFF
-    return table
+        kind = unicodedata.category(letter)[0]
+        if kind in "LM":
+            lower = ord(letter.lower()) if len(letter.lower()) == 1 else code
+            table[code] = lower if lower <= 0xFFFF else 0xE000 + lower % 6400
+            letters[code] = kind == "L"
+    return table, letters
 
 
 def letters_of(text: bytes | None) -> np.ndarray:
-    """Letters of a text with one blank between words and none at the ends."""
+    """Letters of a text with one blank between words and none at the ends.
+
+    Marks belong to the letters around them; a text of marks alone has none.
+    """
     codes = np.frombuffer((text or b"").decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
-    found = _letters()[codes]
+    table, letters = _letters()
+    if not letters[codes].any():
+        return np.zeros(0, dtype=np.uint64)
+    found = table[codes]
     blank = found == _BLANK
     inside = ~blank
     inside[1:] |= ~blank[:-1]
