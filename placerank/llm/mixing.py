@@ -220,9 +220,15 @@ def _level(waiting: DataFrame, level: int, width: int, last: bool) -> DataFrame:
     return state.select(F.concat("out", closing).alias("out"), "waiting")
 
 
-def repeat_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Every document as many times as the mix takes it."""
-    taken = mixed.where(F.col("copies") > 0)
-    repeats = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")
-    return taken.select(*[column(c) for c in columns], repeats).drop("__copy")
+def repeat_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **mix) -> DataFrame:
+    """Every row of ``docs`` as many times as ``mix_sources`` with the arguments ``mix`` takes it.
 
+    All columns keep their names and values, also those with the name of a result of the mix.
+    """
+    names = {"key": key, "text": text, "source": source}
+    aside = docs.select(
+        F.struct(*[column(c) for c in docs.columns]).alias("row"), *[column(c).alias(n) for n, c in names.items()]
+    )
+    taken = mix_sources(aside, **{n: n for n in names}, keep=["row"], **mix).where(F.col("copies") > 0)
+    repeats = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
+    return taken.select("row", repeats).select(*[F.col("row")[c].alias(c) for c in docs.columns])

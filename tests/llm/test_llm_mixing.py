@@ -1,6 +1,6 @@
 """Targets against the stepwise rule, and what rounding must keep."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +80,20 @@ def test_odd_rows(spark):
     assert len(found) == 7
     assert {(r.doc_id, r.size, r.copies) for r in found if r.size == 0} == {(1, 0, 0), (2, 0, 0)}
     assert next(r.size for r in found if r.doc_id == 6) == 2
-    repeated = mixing.repeat_copies(mixed, docs.drop("size").columns)
-    assert repeated.count() == sum(r.copies for r in found)
+    repeated = mixing.repeat_copies(docs)
+    assert repeated.columns == docs.columns and repeated.count() == sum(r.copies for r in found)
     assert mixing.mix_sources(docs.limit(0)).count() == 0
+
+
+def test_repeats_keep_every_column(spark):
+    """Columns named like a result of the mix keep their values in the rows that it takes."""
+    rows = [(i, "word " * (i % 7 + 1), "ab"[i % 2], 777 + i, -1.5, "t", 9, "r", "k", 3) for i in range(60)]
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string, source string, size long, target double, source_size string, copies int, "
+        "row string, key string, `a.copy` int"
+    )
+    wanted = {r.doc_id: r.copies for r in mixing.mix_sources(docs, keep=["doc_id"]).collect()}
+    repeated = mixing.repeat_copies(docs)
+    assert repeated.schema == docs.schema
+    found = Counter(tuple(r) for r in repeated.collect())
+    assert found == Counter({r: wanted[r[0]] for r in rows if wanted[r[0]]})
