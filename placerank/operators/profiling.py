@@ -150,16 +150,19 @@ def distribution_report(
     texts: Sequence[str] | None = None,
     iqr_multiplier: float = 1.5,
     skip_all_null: bool = True,
-    exact: bool = False,
+    exact: bool = True,
 ) -> DataFrame:
     """Distribution and outliers of numeric columns and of text lengths.
 
-    Quartiles are sketches, or ``exact`` at the price of further passes.
+    Quartiles are exact, at the price of further passes over the profiled columns, which are
+    written once for them; without ``exact`` they are sketches.
 
-    The fences are a few rows; they are written once and read by both the second
+    The fences are a few rows; they are written once and read by both the last
     pass and the report.
     """
     checked = _profiled(df, numbers, texts)
+    if exact:
+        checked = written(checked, "profiled")
     columns = checked.columns
     fences = written(quartile_fences(checked, columns, iqr_multiplier, exact), "fences")
     outside = outlier_counts(checked, fences, columns)

@@ -24,7 +24,7 @@ _MOST = 1.7976931348623157e308
 class _Wanted:
     """A rank, counted from 0, of a column; it lies in an interval after ``before`` values."""
 
-    column: int
+    column: int | str
     rank: int
     low: float
     high: float
@@ -32,17 +32,22 @@ class _Wanted:
 
 
 def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Numbers of all columns as rows of ``at`` and ``v``; infinite ones as the greatest finite ones."""
+    """Numbers of all columns as rows of ``at``, ``v`` and ``n``, how often the number is there."""
     cells = [F.col(f"`{c}`").cast("double") for c in columns]
-    long = df.select(F.posexplode(F.array(*cells)).alias("at", "v")).where("v is not null and not isnan(v)")
-    return long.withColumn("v", F.greatest(F.least("v", F.lit(_MOST)), F.lit(-_MOST)))
+    return df.select(F.posexplode(F.array(*cells)).alias("at", "v"), F.lit(1).alias("n"))
+
+
+def _finite(values: DataFrame) -> DataFrame:
+    """Rows that hold a number, infinite ones as the greatest finite ones."""
+    held = values.where("v is not null and not isnan(v)")
+    return held.withColumn("v", F.greatest(F.least("v", F.lit(_MOST)), F.lit(-_MOST)))
 
 
 def _narrowed(values: DataFrame, wanted: list[_Wanted], bins: int) -> None:
     """One pass: every rank gets the interval of its bin."""
     intervals = sorted({(w.column, w.low, w.high) for w in wanted})
     number = {interval: i for i, interval in enumerate(intervals)}
-    by_column: dict[int, list[Column]] = {}
+    by_column: dict[int | str, list[Column]] = {}
     for (column, low, high), i in number.items():
         fields = {"i": F.lit(i), "low": F.lit(low), "high": F.lit(high)}
         by_column.setdefault(column, []).append(F.struct(*[v.alias(k) for k, v in fields.items()]))
@@ -52,9 +57,9 @@ def _narrowed(values: DataFrame, wanted: list[_Wanted], bins: int) -> None:
     # Halves first, as the difference of two finite numbers may not be one.
     part = (v / 2 - F.col("s.low") / 2) / (F.col("s.high") / 2 - F.col("s.low") / 2)
     counted = (
-        values.select("v", F.explode(held).alias("s"))
+        values.select("v", "n", F.explode(held).alias("s"))
         .groupBy("s.i", F.least(F.floor(part * bins), F.lit(bins - 1)).alias("bin"))
-        .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        .agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     )
     found: dict[int, list] = {}
     for row in counted.collect():
@@ -83,15 +88,26 @@ def exact_quantiles(
     counts and usually two to four more over the columns, so runs jobs when called; a table
     that is dear to compute should be written first.
     """
-    values = _values(df, columns)
+    known = counted_quantiles(_values(df, columns), probabilities, interpolated, bins)
+    return {c: known.get(at, [None] * len(probabilities)) for at, c in enumerate(columns)}
+
+
+def counted_quantiles(
+    values: DataFrame, probabilities: Sequence[float], interpolated: bool = True, bins: int = BINS
+) -> dict[int | str, list[float]]:
+    """Exact quantiles of every ``at`` of ``values``: a value ``v`` in it and how often, ``n``.
+
+    As ``exact_quantiles``; an ``at`` without numbers has no entry.
+    """
+    values = _finite(values)
     spans = {r["at"]: r for r in values.groupBy("at").agg(
-        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+        F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
     ).collect()}
 
     def position(n: int, q: float) -> float:
         return (n - 1) * q if interpolated else max(math.ceil(n * q) - 1, 0)
 
-    ranks: dict[tuple[int, int], _Wanted] = {}
+    ranks: dict[tuple[int | str, int], _Wanted] = {}
     for at, span in spans.items():
         for q in probabilities:
             place = position(span["n"], q)
@@ -100,11 +116,9 @@ def exact_quantiles(
     while open_ := [w for w in ranks.values() if w.low < w.high]:
         _narrowed(values, open_, bins)
 
-    def value(at: int, q: float) -> float | None:
-        if at not in spans:
-            return None
+    def value(at: int | str, q: float) -> float:
         place = position(spans[at]["n"], q)
         low, high = (ranks[at, rank].low for rank in (math.floor(place), math.ceil(place)))
         return low + (high - low) * (place - math.floor(place))
 
-    return {c: [value(at, q) for q in probabilities] for at, c in enumerate(columns)}
+    return {at: [value(at, q) for q in probabilities] for at in spans}

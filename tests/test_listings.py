@@ -251,6 +251,13 @@ def test_reports(spark):
     assert sum(r["n_rows"] for r in bins) == 9 and max(r["bin"] for r in bins) == 9
 
 
+def test_report_has_exact_quartiles_of_many_values(spark):
+    """A sketch of 400,000 values is off by some ranks."""
+    df = spark.range(400_000, numPartitions=8).select((F.pmod(F.col("id") * 7919, F.lit(400_000)) + 1.0).alias("v"))
+    found = one(profiling.distribution_report(df))
+    assert (found["q25"], found["median"], found["q75"]) == (100_000.0, 200_000.0, 300_000.0)
+
+
 def test_sizes_of_countries(spark):
     df = spark.createDataFrame([(c,) for c, n in (("A", 60), ("B", 50), ("C", 49), ("D", 70)) for _ in range(n)], "addr_cc string")
     got = {(r["size"], r["addr_cc"]) for r in coverage.smallest_and_largest(df, n=2).collect()}
