@@ -55,3 +55,19 @@ def test_no_rows(spark):
     state = ps.merged(ps.profile_state(spark.createDataFrame([], SCHEMA)))
     assert ps.distribution_from_state(state).count() == 0
     assert [r["present"] for r in ps.missing_from_state(state, show_all=True).collect()] == [0] * 5
+
+
+def test_quartiles_are_exact_beyond_the_size_of_a_sketch(spark):
+    df = spark.range(60_000).selectExpr("pmod(id * 7919, 60000) + 1.0d as v")
+    path = scratch_path(spark, "states")
+    for i in range(3):
+        ps.append_profile(df.where(f"v % 3 = {i}"), path, accuracy=64)
+    row = ps.distribution_from_state(ps.stored_profile(spark, path)).first()
+    assert (row["non_null"], row["q25"], row["median"], row["q75"]) == (60_000, 15_000.0, 30_000.0, 45_000.0)
+
+
+def test_sketches_answer_where_a_batch_has_no_counts(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(100)], "v double")
+    parts = [ps.profile_state(df.where(f"v % 2 = {i}"), values=bool(i)) for i in range(2)]
+    row = ps.distribution_from_state(ps.merged(parts[0].unionByName(parts[1]))).first()
+    assert (row["q25"], row["median"], row["q75"]) == (24.0, 49.0, 74.0)
