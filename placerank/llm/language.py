@@ -275,29 +275,33 @@ def held_out(key: str) -> Column:
     return F.coalesce(rest == 0, F.lit(False))
 
 
+def _frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The most frequent sequences of each language, at most ``most`` of them."""
+    spread = counts.groupBy("lang", "n").agg(F.count("*").alias("grams"))
+    above = Window.partitionBy("lang").orderBy(F.col("n").desc())
+    cuts = (
+        spread.withColumn("kept", F.sum("grams").over(above))
+        .groupBy("lang")
+        .agg(F.coalesce(F.min(F.when(F.col("kept") <= most, F.col("n"))), F.max("n")).alias("least"))
+    )
+    return counts.join(written(cuts, "cuts"), "lang").where("n >= least").select("lang", "gram", "n")
+
+
 def learn(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most_grams: int = 200_000
+    docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most_grams: int | None = None
 ) -> Identifier:
     """Models from all labelled rows that are not held out.
 
-    Counts cover every such row.  A model keeps at most ``most_grams`` sequences of a
-    language: those with at least the count at which that many are left, so models
-    stay small enough to be sent to all tasks whatever the corpus.  A row without
-    label or id teaches nothing.
+    Counts cover every such row, and a model keeps every sequence of its language, about
+    forty bytes each.  With ``most_grams`` it keeps at most so many, those with at
+    least the count at which that many are left.  A row without label or id teaches
+    nothing.
     """
     taught = docs.where(column(lang).isNotNull() & column(key).isNotNull() & ~held_out(key))
     counts = written(count_sequences(taught, text, lang), "grams")
-    spread = counts.groupBy("lang", "n").agg(F.count("*").alias("grams"))
-    above = Window.partitionBy("lang").orderBy(F.col("n").desc())
-    cuts = written(
-        spread.withColumn("kept", F.sum("grams").over(above))
-        .groupBy("lang")
-        .agg(F.coalesce(F.min(F.when(F.col("kept") <= most_grams, F.col("n"))), F.max("n")).alias("least")),
-        "cuts",
-    )
-    kept = counts.join(cuts, "lang").where("n >= least").select("lang", "gram", "n")
+    kept = counts if most_grams is None else _frequent(counts, most_grams)
     by_lang: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for row in cuts.select("lang").collect():
+    for row in counts.select("lang").distinct().collect():
         found = kept.where(F.col("lang") == row.lang).select("gram", "n").toArrow()
         by_lang[row.lang] = (
             found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy().astype(np.float64)

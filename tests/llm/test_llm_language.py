@@ -88,3 +88,14 @@ def test_letters_beyond_the_first_plane_and_marks():
     assert la.letters_of("e\u0301".encode()).tolist() == [0x65, 0x301]
     assert la.letters_of("\u0130 \u00c4".encode()).tolist() == [0x130, 32, 0xE4]
     assert (la.letters_of("\U00010400".encode()) == la.letters_of("\U00010428".encode())).all()
+
+
+def test_model_keeps_every_sequence(spark):
+    """Also beyond 200,000 of a language, some of them more frequent than others."""
+    codes = np.random.default_rng(3).integers(0x4E00, 0x5E00, 210_000)
+    text = "".join(map(chr, codes))
+    docs = spark.createDataFrame([(1, text, "zh"), (2, "aaaa aaaa", "zh")], "doc_id long, text string, lang string")
+    taught = docs.where(~la.held_out("doc_id"))
+    assert taught.count() == 2
+    grams, _ = la.sequences([text.encode(), b"aaaa aaaa"])
+    assert len(la.learn(docs).models[0].grams[3][0]) == len(np.unique(grams)) > 200_000
