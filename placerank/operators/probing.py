@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from placerank.constants import N_CANDIDATES
 from placerank.functions.nearest_kernel import Block
 from placerank.functions.probe_kernel import Projections, keys, places, probes
-from placerank.operators.neighbours import as_vectors, nearest_neighbours, nearest_of_pairs
+from placerank.operators.neighbours import as_vectors, met_in_buckets, nearest_neighbours, nearest_of_met
 from placerank.sources.scratch import written
 
 #: Requests that the number of buckets is measured with, and buckets of one request at most.
@@ -112,10 +112,14 @@ def measured_probes(
     few = written(
         requests.select("property_id", "target_cc").dropna().distinct().orderBy(order).limit(asked), "asked"
     )
-    true = nearest_neighbours(index.embedded, few, n, index.vector).select(
-        F.col("src_property_id").alias("src"), F.col("neighbor_property_id").alias("id"), "target_cc"
+    true = written(
+        nearest_neighbours(index.embedded, few, n, index.vector).select(
+            F.col("src_property_id").alias("src"), F.col("neighbor_property_id").alias("id"), "target_cc"
+        ),
+        "true",
     )
-    first = _met(index, _probed(index, few, MOST)).groupBy("src", "id", "target_cc").agg(F.min("turn").alias("turn"))
+    wanted = _met(index, _probed(index, few, MOST)).join(true, ["src", "id", "target_cc"], "left_semi")
+    first = wanted.groupBy("src", "id", "target_cc").agg(F.min("turn").alias("turn"))
     rows = true.join(first, ["src", "id", "target_cc"], "left").select("turn").collect()
     turns = sorted(MOST if r["turn"] is None else r["turn"] for r in rows)
     if not turns:
@@ -132,6 +136,19 @@ def probed_pairs(index: ProbeIndex, requests: DataFrame, looked_at: int) -> Data
     ).distinct()
 
 
+def probed_lists(index: ProbeIndex, requests: DataFrame, looked_at: int) -> DataFrame:
+    """The same pairs as lists: the ``sources`` that each ``neighbor_property_id`` meets."""
+    looked = _probed(index, requests, looked_at).withColumnsRenamed({"src": "src_property_id"}).drop("turn")
+    buckets = index.buckets.withColumnsRenamed({"id": "neighbor_property_id", "addr_cc": "target_cc"})
+    return met_in_buckets(looked, buckets)
+
+
+def nearest_of_lists(index: ProbeIndex, requests: DataFrame, lists: DataFrame, n: int) -> DataFrame:
+    """The ``n`` nearest of ``probed_lists``, with exact distances."""
+    asked = requests.select(F.col("property_id").alias("src_property_id"), "target_cc")
+    return nearest_of_met(index.vectors, asked, lists, n)
+
+
 def probe_neighbours(
     index: ProbeIndex,
     requests: DataFrame,
@@ -147,4 +164,4 @@ def probe_neighbours(
     looked_at = looked_at or measured_probes(index, requests, n, recall)
     if looked_at is None:
         return nearest_neighbours(index.embedded, requests, n, index.vector)
-    return nearest_of_pairs(index.vectors, probed_pairs(index, requests, looked_at), n)
+    return nearest_of_lists(index, requests, probed_lists(index, requests, looked_at), n)
