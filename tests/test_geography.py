@@ -196,3 +196,19 @@ def test_other_radii(spark, radius):
         abs(p[1] - 45) <= radius / 111000 and abs(p[2] - 3) <= reach and metres(45, 3, p[1], p[2]) <= radius for p in pois
     )
     assert found["env_food"] == expected > 0
+
+
+def test_surroundings_are_counted_once_and_compiled(spark, capsys):
+    """Counts come from a written table, and tiles of every level from compiled code."""
+    listings = spark.createDataFrame([(1, "FR", 48.0, 2.0)], "property_id int, addr_cc string, lat double, long double")
+    pois = spark.createDataFrame([("FR", 48.001, 2.001, "food")], "addr_cc string, lat double, lon double, poi_group string")
+    found = geography.attach_environment(listings, pois)
+    assert found.first()["env_food"] == 1
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    places = listings.selectExpr("addr_cc", "lat", "long as lon", "0.01D as dlat", "0.01D as dlon")
+    cover = geography._cover(places, R, geography._radius_grid(R))
+    cover.explain()
+    steps = capsys.readouterr().out.splitlines()
+    assert sum("Generate" in s for s in steps) == 4
+    # Only the tiles of the first level are listed by functions of arrays, which Spark interprets.
+    assert sum("Generate" in s and "lambda" not in s and "*(" in s for s in steps) == 3
