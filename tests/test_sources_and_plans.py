@@ -150,3 +150,14 @@ def test_one_key_opens_few_rows(spark, tmp_path, kind):
     assert counts["plain"][0] == counts["lookup"][0] > 0
     assert counts["plain"][1] >= 100_000 and counts["lookup"][1] < 30_000
     assert tables.look_up(spark, path, "property_id", -1 if kind == "bigint" else "none").count() == 0
+
+
+def test_words_are_counted_where_texts_are_cut(spark):
+    from placerank.operators import embedding
+
+    rows = [(1, "FR", "Sea sea a view"), (1, "FR", "the sea"), (None, "FR", "sea"), (2, None, None), (3, "DE", "")]
+    df = spark.createDataFrame(rows, "property_id int, addr_cc string, text_all string")
+    counted = embedding.words(df)
+    assert plan(counted).count("Exchange") == 1 and "lambda" not in plan(counted)
+    got = {tuple(r) for r in counted.collect()}
+    assert got == {(1, "FR", "sea", 3), (1, "FR", "view", 1), (None, "FR", "sea", 1)}
