@@ -350,6 +350,8 @@ def stored_models(spark, folder):
     again = index.transform(embedding.embed(tables.read_table(spark, scored_path), model))
     stored = tables.read_table(spark, embedded_path).select("property_id", "addr_cc")
     size = F.unwrap_udt("features_norm")
-    return again.where(F.size("hashes") > 0).join(stored, ["property_id", "addr_cc"]).select(
+    # Widths are taken before the join, so that no vector is dealt out.
+    widths = again.where(F.size("hashes") > 0).select(
         "property_id", "addr_cc", F.coalesce(size["size"], F.size(size["values"])).alias("width")
     )
+    return widths.join(stored, ["property_id", "addr_cc"])
