@@ -24,10 +24,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from placerank.llm.common import column, map_texts, others, pieces, small_batches
+from placerank.llm.common import column, others, pieces, small_batches
 from placerank.llm.graph import components
-from placerank.sources.scratch import written
+from placerank.sources.scratch import shuffles_dropped, written
 
 SHINGLE = 5
 SKETCH_BITS = 20
@@ -83,6 +84,15 @@ def digest(tokens: np.ndarray) -> int | None:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes()))))
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """A chunk of counts in the fewest bytes a count that hold them all."""
+    return counts.astype(np.min_scalar_type(counts.max())).tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"u{len(raw) // _CHUNK}").astype(np.int64)
+
+
 def _sets_and_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One pass over the texts that gives two kinds of rows.
 
@@ -129,8 +139,7 @@ def _sets_and_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
         if counts.any():
             chunks = counts.reshape(-1, _CHUNK)
             none = [None] * len(chunks)
-            columns = [none, none, none, none, range(len(chunks)), [part] * len(chunks),
-                       [c.tobytes() for c in chunks]]
+            columns = [none, none, none, none, range(len(chunks)), [part] * len(chunks), [*map(_narrow, chunks)]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=schema.names
             )
@@ -144,10 +153,10 @@ def _add_up(counted: DataFrame, *keys: str) -> DataFrame:
     def add(found: pa.Table) -> pa.Table:
         total = np.zeros(_CHUNK, dtype=np.int64)
         for raw in found.column("counts"):
-            total += np.frombuffer(raw.as_py(), dtype=np.int64)
+            total += _wide(raw.as_py())
         first = found.slice(0, 1)
         return first.set_column(
-            first.schema.get_field_index("counts"), "counts", pa.array([total.tobytes()], pa.binary())
+            first.schema.get_field_index("counts"), "counts", pa.array([_narrow(total)], pa.binary())
         )
 
     return counted.groupBy(*keys).applyInArrow(add, counted.schema)
@@ -162,8 +171,8 @@ def frequency_levels(counted: DataFrame) -> np.ndarray:
     """
     chunks = counted.where("chunk IS NOT NULL").select("chunk", "part", "counts")
     total = np.zeros((1 << SKETCH_BITS) // _CHUNK * _CHUNK, dtype=np.int64).reshape(-1, _CHUNK)
-    for row in _add_up(_add_up(chunks, "chunk", "part"), "chunk").toLocalIterator():
-        total[row["chunk"]] = np.frombuffer(bytes(row["counts"]), dtype=np.int64)
+    for row in _add_up(_add_up(chunks, "chunk", "part"), "chunk").collect():
+        total[row["chunk"]] = _wide(bytes(row["counts"]))
     return np.log2(total.reshape(-1) + 1).astype(np.uint8)
 
 
@@ -192,57 +201,34 @@ def adaptive_prefix(tokens: np.ndarray, levels: np.ndarray, usual: int, percent:
     return tokens[order[: lengths[matches - 1]]], matches, n - frequent
 
 
-_PREFIX = T.StructType(
-    [
-        T.StructField("n", T.LongType()),
-        T.StructField("digest", T.LongType()),
-        T.StructField("matches", T.IntegerType()),
-        T.StructField("rare", T.IntegerType()),
-        T.StructField("prefix", T.ArrayType(T.LongType())),
-    ]
-)
-
-
-def _prefixes(docs: DataFrame, text: str, levels, usual: int, percent: int) -> DataFrame:
-    def factory():
-        table = levels.value
-
-        def work(texts):
-            rows = []
-            for raw in texts:
-                tokens = shingles(raw)
-                if len(tokens):
-                    prefix, matches, rare = adaptive_prefix(tokens, table, usual, percent)
-                    rows.append((len(tokens), digest(tokens), matches, rare, prefix.view(np.int64)))
-                else:
-                    rows.append((0, None, None, None, None))
-            return list(zip(*rows, strict=True))
-
-        return work
+def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """A number for every row, which rows of the same id and text share, and its text."""
+    named = docs.select(
+        column(key).cast("long").alias("doc_id"),
+        F.xxhash64(column(text)).alias("text_hash"),
+        column(text).cast("binary").alias("text"),
+    )
+    return small_batches(named.select(_mark(), "text"))
 
-    return map_texts(docs, text, [], _PREFIX, factory)
 
-
-_SET = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("text_hash", T.LongType()),
-        T.StructField("n", T.LongType()),
-        T.StructField("digest", T.LongType()),
-        T.StructField("tokens", T.ArrayType(T.LongType())),
-    ]
-)
+def _mark() -> Column:
+    return F.xxhash64("doc_id", "text_hash").alias("mark")
 
 
 def _filter_places(hashes: np.ndarray) -> np.ndarray:
     return (hashes.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+def _may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    places = _filter_places(hashes)
+    return (bits[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
+
+
 def _hash_filter(wanted: DataFrame) -> np.ndarray:
-    """A bit for each leading part of the text hashes that are wanted.
+    """A bit for each leading part of the hashes in the only column of ``wanted``.
 
     It has ``2 ** FILTER_BITS`` bits whatever the data, so it may be broadcast.  When very
-    many texts are wanted it lets more pass; the join that follows decides.
+    many hashes are wanted it lets more pass; the join that follows decides.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,68 +249,155 @@ def _hash_filter(wanted: DataFrame) -> np.ndarray:
         return pa.table({"chunk": found.column("chunk").slice(0, 1), "bits": pa.array([total.tobytes()], pa.binary())})
 
     schema = "chunk int, bits binary"
-    found = wanted.select("text_hash").mapInArrow(run, schema).groupBy("chunk").applyInArrow(either, schema)
+    found = wanted.mapInArrow(run, schema).groupBy("chunk").applyInArrow(either, schema)
     bits = np.zeros(((1 << FILTER_BITS) // 8 // _CHUNK, _CHUNK), dtype=np.uint8)
-    for row in found.toLocalIterator():
+    for row in found.collect():
         bits[row["chunk"]] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
     return bits.reshape(-1)
 
 
+_PREFIX = T.StructType(
+    [
+        T.StructField("n", T.LongType()),
+        T.StructField("digest", T.LongType()),
+        T.StructField("matches", T.IntegerType()),
+        T.StructField("rare", T.IntegerType()),
+        T.StructField("prefix", T.ArrayType(T.LongType())),
+        T.StructField("copied", T.BooleanType()),
+    ]
+)
+
+
+def _prefixes(docs: DataFrame, classes: DataFrame, levels, usual: int, key: str, text: str, percent: int) -> DataFrame:
+    """One row for every class with its prefix.
+
+    Only rows of classes that may have several rows are dealt out to find one of each.
+    Of most of these, filters of fixed size let only the class's first document pass.
+    As a place of a filter may hold several digests, all classes of a place go the same way.
+    """
+    spark = docs.sparkSession
+    placed = classes.withColumn("place", F.shiftrightunsigned("digest", 64 - FILTER_BITS))
+    repeated = placed.join(placed.where("copies > 1").select("place").distinct(), "place", "left_semi")
+    filters = spark.sparkContext.broadcast(
+        (_hash_filter(repeated.select("digest")), _hash_filter(repeated.select("first.*").select(_mark())))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = levels.value
+        digests, firsts = filters.value
+        for batch in batches:
+            for piece in pieces(batch, 1):
+                first = _may_hold(firsts, piece.column(0).to_numpy())
+                rows = []
+                for raw, one in zip(piece.column(1).to_pylist(), first, strict=True):
+                    tokens = shingles(raw)
+                    if not len(tokens):
+                        continue
+                    name = digest(tokens)
+                    copied = bool(_may_hold(digests, np.array([name]))[0])
+                    if one or not copied:
+                        prefix, matches, rare = adaptive_prefix(tokens, table, usual, percent)
+                        rows.append((len(tokens), name, matches, rare, prefix.view(np.int64), copied))
+                if rows:
+                    kinds = [to_arrow_type(f.dataType) for f in _PREFIX]
+                    yield pa.RecordBatch.from_arrays(
+                        [*map(pa.array, zip(*rows, strict=True), kinds)], names=_PREFIX.fieldNames()
+                    )
+
+    found = written(
+        _marked(docs, key, text)
+        .mapInArrow(run, _PREFIX)
+        .select(
+            F.xxhash64("digest", "n").alias("node"), F.col("n").cast("int").alias("n"),
+            "matches", "rare", (F.col("n") - F.size("prefix")).cast("int").alias("rest"), "prefix", "copied",
+        ),
+        "prefixes",
+    )
+    facts = ["n", "matches", "rare", "rest", "prefix"]
+    one = found.where("copied").groupBy("node").agg(F.first(F.struct(*facts)).alias("p")).select("node", "p.*")
+    return found.where("not copied").drop("copied").union(written(one, "copied"))
+
+
+_SET = T.StructType(
+    [
+        T.StructField("n", T.LongType()),
+        T.StructField("digest", T.LongType()),
+        T.StructField("tokens", T.ArrayType(T.LongType())),
+    ]
+)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """``node`` and ``tokens`` of the ``wanted`` classes, each from its first document.
+    """``node`` and ``tokens`` of the ``wanted`` first documents of classes, and of few others.
 
     A filter of fixed size keeps most other texts from being cut up and dealt out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_hash_filter(wanted))
-    source = docs.select(
-        column(key).cast("long").alias("doc_id"),
-        F.xxhash64(column(text)).alias("text_hash"),
-        column(text).cast("binary").alias("text"),
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            places = _filter_places(batch.column(1).to_numpy())
-            asked = (bits[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
-            for piece in pieces(batch.filter(pa.array(asked)), 2):
-                found = [shingles(t) for t in piece.column(2).to_pylist()]
+            asked = _may_hold(bits, batch.column(0).to_numpy())
+            for piece in pieces(batch.filter(pa.array(asked)), 1):
+                found = [shingles(t) for t in piece.column(1).to_pylist()]
                 columns = [[len(f) for f in found], [digest(f) for f in found], [f.view(np.int64) for f in found]]
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), *map(pa.array, columns, kinds)], names=_SET.fieldNames()
-                )
+                kinds = [to_arrow_type(f.dataType) for f in _SET]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds)], names=_SET.fieldNames())
 
-    found = small_batches(source).mapInArrow(run, _SET).withColumn("node", F.xxhash64("digest", "n"))
+    found = _marked(docs, key, text).mapInArrow(run, _SET)
     return (
-        found.alias("s")
-        .join(
-            wanted.alias("w"),
-            (F.col("s.node") == F.col("w.node"))
-            & (F.col("s.text_hash") == F.col("w.text_hash"))
-            & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")),
-            "left_semi",
-        )
+        found.select(F.xxhash64("digest", "n").alias("node"), "tokens")
         .groupBy("node")
         .agg(F.first("tokens").alias("tokens"))
     )
 
 
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+
+
 def _verified(
-    pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int
+    pairs: DataFrame, tried: DataFrame | None, classes: DataFrame, docs: DataFrame, key: str, text: str, percent: int
 ) -> DataFrame:
-    """Those pairs ``u``, ``v`` whose sets are similar enough, by comparing the whole sets."""
-    pairs = written(pairs, "pairs")
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = written(
-        nodes.join(classes, "node").select("node", "first.doc_id", "first.text_hash"), "wanted"
-    )
-    sets = written(_sets(docs, wanted, key, text), "tokens")
+    """Pairs ``u``, ``v`` not ``tried`` before, and whether their whole sets are similar enough."""
+    pairs = written(_untried(pairs, tried), "pairs")
+    wanted = _nodes(pairs).join(classes, "node").select("first.*").select(_mark())
+    sets = _sets(docs, wanted, key, text)
     left = sets.select(F.col("node").alias("u"), F.col("tokens").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("tokens").alias("b"))
     both = pairs.join(left, "u").join(right, "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    shared = F.size(F.array_intersect("a", "b")).cast("long")
+    similar = 100 * shared >= percent * (F.size("a") + F.size("b") - shared)
+    return written(both.select("u", "v", similar.alias("linked")), "links")
+
+
+def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """``pairs`` without those that were measured before, in either order."""
+    if tried is None:
+        return pairs
+    either = tried.select("u", "v").union(tried.select("v", "u"))
+    return pairs.join(either, ["u", "v"], "left_anti").select("u", "v")
+
+
+def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
+    """``node``, ``token`` and ``place`` of shingles that documents of similar sizes have in their prefixes.
+
+    Most shingles are in one document only.  They are dealt out with nothing but its
+    number, and one more for its size and the place; in the order of the sizes of a list,
+    a document with one of similar size in it has such a one beside it.
+    """
+    sized = Window.partitionBy("token").orderBy("spot")
+    spots = prefixes.select(
+        "node", F.shiftleft(F.col("n").cast("long"), 32).alias("n"), F.posexplode("prefix").alias("place", "token")
+    ).select("node", "token", (F.col("n") + F.col("place")).alias("spot"))
+    n, before, after = (
+        F.shiftright(c, 32) for c in (F.col("spot"), F.lag("spot").over(sized), F.lead("spot").over(sized))
+    )
+    beside = spots.withColumns({"n": n, "before": before, "after": after})
+    return beside.where(
+        _similar_sizes(F.col("before"), F.col("n"), percent) & F.col("before").isNotNull()
+        | _similar_sizes(F.col("n"), F.col("after"), percent) & F.col("after").isNotNull()
+    ).select("node", "token", (F.col("spot") - F.shiftleft("n", 32)).cast("int").alias("place"))
 
 
 def _may_link(shared: Column, a: str, b: str, percent: int) -> Column:
@@ -394,14 +467,25 @@ def _mixed(posts: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _left_over(posts: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+def _shortened(prefixes: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Leading halves of the shingles' hashes, and how many in a prefix repeat another one.
+
+    Halves that two prefixes share, and the lost ones of either, are at least as many
+    as the shingles that they share.
+    """
+    lists = [(tokens >> 32).astype(np.int32) for tokens in map(np.asarray, prefixes.to_numpy(zero_copy_only=False))]
+    lost = [len(halves) - len(np.unique(halves)) for halves in lists]
+    return pa.array(lists, pa.list_(pa.int32())), pa.array(lost, pa.int32())
+
+
+def _left_over(posts: DataFrame, prefixes: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
     """All pairs of documents of different components that may link.
 
     A pair is met at the first shingle it shares.  From there on both must hold enough
     shingles for two similar sets, so in the smaller one this shingle stands among the first
     ``n - 2 percent / (100 + percent) n``.  Documents whose frequent shingles come later do
     not meet in the long lists of these at all.  What a pair shares is then
-    counted over both prefixes.
+    counted over both prefixes, of which a filter of fixed size keeps most others at home.
     """
     enough = f"{100 + percent}L * ({{0}}_n - {{0}}_place) >= {percent}L * ({{1}})"
     a = posts.select("token", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "place", "component")])
@@ -421,10 +505,25 @@ def _left_over(posts: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame
         .select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
         .distinct()
     )
-    facts = F.struct("node", "n", "rest", "matches", "prefix")
-    left = prefixes.select(F.col("node").alias("u"), facts.alias("a"))
-    right = prefixes.select(F.col("node").alias("v"), facts.alias("b"))
-    shared = F.size(F.array_intersect("a.prefix", "b.prefix"))
+    pairs = written(_untried(pairs, tried), "met")
+    bits = posts.sparkSession.sparkContext.broadcast(_hash_filter(_nodes(pairs)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pa.array(_may_hold(bits.value, batch.column(0).to_numpy())))
+            short, lost = _shortened(kept.column(4))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:4], short, lost], names=schema.names)
+
+    needed = prefixes.select("node", "n", "rest", "matches", "prefix")
+    schema = T.StructType(
+        [*needed.schema.fields[:4], T.StructField("prefix", T.ArrayType(T.IntegerType())),
+         T.StructField("lost", T.IntegerType())]
+    )
+    needed = written(small_batches(needed).mapInArrow(run, schema), "needed")
+    facts = F.struct(*schema.names)
+    left = needed.select(F.col("node").alias("u"), facts.alias("a"))
+    right = needed.select(F.col("node").alias("v"), facts.alias("b"))
+    shared = F.size(F.array_intersect("a.prefix", "b.prefix")) + F.col("a.lost")
     return pairs.join(left, "u").join(right, "v").where(_may_link(shared, "a", "b", percent)).select("u", "v")
 
 
@@ -439,6 +538,15 @@ def jaccard_components(
     there is none.  Empty input gives no rows; other columns of ``docs`` are not read.
     Runs jobs; intermediate tables go to the shared folder.
     """
+    with shuffles_dropped(docs.sparkSession):
+        rows, of_class = _named_classes(docs, key, text, percent)
+    return rows.join(of_class, ["digest", "n"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+    )
+
+
+def _named_classes(docs: DataFrame, key: str, text: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows by ``digest`` and ``n``, and the name of each class's component."""
     spark = docs.sparkSession
     passed = written(_sets_and_counts(docs, key, text), "sets")
     rows = passed.where("chunk IS NULL")
@@ -452,43 +560,28 @@ def jaccard_components(
         .agg(
             F.min("doc_id").alias("smallest"),
             F.min(F.struct("doc_id", "text_hash")).alias("first"),
+            F.count("*").alias("copies"),
         )
         .withColumn("node", F.xxhash64("digest", "n")),
         "classes",
     )
-    prefixes = written(
-        _prefixes(docs, text, shared, usual, percent)
-        .where("digest IS NOT NULL")
-        .groupBy("digest", "n")
-        .agg(F.first(F.struct("matches", "rare", "prefix")).alias("p"))
-        .select(
-            F.xxhash64("digest", "n").alias("node"), F.col("n").cast("int").alias("n"),
-            "p.matches", "p.rare", (F.col("n") - F.size("p.prefix")).cast("int").alias("rest"), "p.prefix",
-        ),
-        "prefixes",
-    )
-    # Most shingles are in one document only; they are dealt out with nothing but its number.
-    lists = (
-        prefixes.select("node", F.posexplode("prefix").alias("place", "token"))
-        .withColumn("length", F.count("*").over(Window.partitionBy("token")))
-        .where("length > 1")
-        .select("node", "token", "place")
-    )
+    prefixes = _prefixes(docs, classes, shared, usual, key, text, percent)
+    lists = _lists(prefixes, percent)
     posts = written(
         lists.join(prefixes.drop("prefix"), "node").withColumn("component", F.col("node")), "posts"
     )
 
-    edges = None
+    tried = None
     left = posts
     for turn in range(_STAR_ROUNDS):
-        found = written(
-            _verified(_pivot_pairs(left, percent, turn > 0), classes, docs, key, text, percent), "links"
-        )
-        edges = found if edges is None else edges.union(found)
-        left = written(_mixed(posts, _labels(edges)), "mixed")
-    pairs = _left_over(left, prefixes, percent)
-    last = written(_verified(pairs, classes, docs, key, text, percent), "links")
-    edges = last if edges is None else edges.union(last)
+        pairs = _pivot_pairs(left, percent, turn > 0)
+        found = _verified(pairs, tried, classes, docs, key, text, percent)
+        tried = found if tried is None else tried.union(found)
+        left = _mixed(posts, _labels(tried.where("linked")))
+    pairs = _left_over(written(left, "mixed"), prefixes, tried, percent)
+    found = _verified(pairs, None, classes, docs, key, text, percent)
+    tried = found if tried is None else tried.union(found)
+    edges = tried.where("linked").select("u", "v")
     labels = components(edges)
 
     named = (
@@ -503,9 +596,7 @@ def jaccard_components(
         ),
         "named",
     )
-    return rows.join(of_class, ["digest", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    return rows, of_class
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:

@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from placerank.llm import jaccard_join as j
 from placerank.llm.graph import components
+from placerank.sources.scratch import shuffles_dropped, written
 
 
 def brute_components(rows: list[tuple]) -> dict:
@@ -108,3 +110,41 @@ def test_components_of_hubs_and_paths(spark):
     rows = {r.node: r.component for r in found.collect()}
     assert rows == {i: 0 for i in range(51)} | {i: 1000 for i in range(1000, 1200)}
     assert components(spark.createDataFrame([], "u long, v long")).where(F.col("node") > 0).count() == 0
+
+
+def test_no_pair_is_measured_twice(spark, monkeypatch):
+    measured = []
+
+    def kept(df, label):
+        df = written(df, label)
+        if label == "pairs":
+            measured.extend(tuple(sorted(r)) for r in df.select("u", "v").collect())
+        return df
+
+    monkeypatch.setattr(j, "written", kept)
+    docs = spark.createDataFrame(near_copies(2), "doc_id long, text string").repartition(5)
+    j.jaccard_components(docs)
+    assert measured and len(measured) == len(set(measured))
+
+
+def test_lists_keep_documents_with_one_of_similar_size(spark):
+    rows = [(1, 100, [7, 8]), (2, 79, [7, 9]), (3, 81, [9, 8]), (4, 300, [8, 10]), (5, 310, [11, 10])]
+    prefixes = spark.createDataFrame(rows, "node long, n int, prefix array<long>")
+    found = sorted(tuple(r) for r in j._lists(prefixes, 80).collect())
+    assert found == [(1, 8, 1), (2, 9, 1), (3, 8, 1), (3, 9, 0), (4, 10, 1), (5, 10, 1)]
+
+
+def test_shortened_prefixes_share_no_less():
+    a, b = [1 << 32, (1 << 32) + 1, 5 << 32], [1 << 32, (1 << 32) + 1, -(7 << 32)]
+    (short, other), lost = (x.to_pylist() for x in j._shortened(pa.array([a, b], pa.list_(pa.int64()))))
+    assert lost == [1, 1] and short == [1, 1, 5] and other == [1, 1, -7]
+    assert len({*short} & {*other}) + lost[0] >= len({*a} & {*b})
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    with pytest.raises(KeyError), shuffles_dropped(spark):
+        assert spark.conf.get(setting) == "true"
+        raise KeyError
+    assert spark.conf.get(setting) == before
