@@ -122,8 +122,10 @@ def test_no_pair_is_measured_twice(spark, monkeypatch):
         return df
 
     monkeypatch.setattr(j, "written", kept)
-    docs = spark.createDataFrame(near_copies(2), "doc_id long, text string").repartition(5)
-    j.jaccard_components(docs)
+    texts = [[f"t{t}w{k}" for k in range(120)] for t in range(20)]
+    copies = [["x" if k % 30 == 15 else w for k, w in enumerate(t)] for t in texts]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts + copies)]
+    j.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert measured and len(measured) == len(set(measured))
 
 
