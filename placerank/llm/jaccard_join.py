@@ -36,7 +36,8 @@ FILTER_BITS = 24
 _CHUNK = 4096
 _MOST_MATCHES = 8
 _STAR_ROUNDS = 2
-_KEPT_WORDS = 150_000
+# A word takes some 250 bytes, and every Python worker of an executor has a table of its own.
+_KEPT_WORDS = 1 << 15
 # Odd multipliers that give each place in a shingle its own weight.
 _WEIGHTS = [np.uint64(xxhash.xxh64_intdigest(bytes([k])) | 1) for k in range(SHINGLE)]
 _MIX = np.uint64(xxhash.xxh64_intdigest(b"mix") | 1)
@@ -219,6 +220,11 @@ def _filter_places(hashes: np.ndarray) -> np.ndarray:
     return (hashes.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+def _hold(bits: np.ndarray, hashes: np.ndarray) -> None:
+    places = _filter_places(hashes)
+    np.bitwise_or.at(bits, places >> 3, (1 << (7 - (places & 7))).astype(np.uint8))
+
+
 def _may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     places = _filter_places(hashes)
     return (bits[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
@@ -232,10 +238,10 @@ def _hash_filter(wanted: DataFrame) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << FILTER_BITS, dtype=bool)
+        held = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
         for batch in batches:
-            held[_filter_places(batch.column(0).to_numpy())] = True
-        chunks = np.packbits(held).reshape(-1, _CHUNK)
+            _hold(held, batch.column(0).to_numpy())
+        chunks = held.reshape(-1, _CHUNK)
         full = np.flatnonzero(chunks.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(full, pa.int32()), pa.array([chunks[k].tobytes() for k in full], pa.binary())],

@@ -45,7 +45,7 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     6,400 places that Unicode leaves to private use, so none is taken for a blank or for another
     of the first 65,536.
     """
-    table = np.full(0x110000, _BLANK, dtype=np.uint64)
+    table = np.full(0x110000, _BLANK, dtype=np.uint16)
     letters = np.zeros(0x110000, dtype=bool)
     for code in range(0x32400):
         letter = chr(code)
@@ -71,7 +71,7 @@ def letters_of(text: bytes | None) -> np.ndarray:
     inside = ~blank
     inside[1:] |= ~blank[:-1]
     found = found[inside]
-    return found[: -1 if len(found) and found[-1] == _BLANK else None]
+    return found[: -1 if len(found) and found[-1] == _BLANK else None].astype(np.uint64)
 
 
 def sequences(texts: Texts) -> tuple[np.ndarray, np.ndarray]:

@@ -150,3 +150,21 @@ def test_shuffle_files_go_with_their_query(spark):
         assert spark.conf.get(setting) == "true"
         raise KeyError
     assert spark.conf.get(setting) == before
+
+
+def test_workers_keep_small_tables():
+    j._HASHES.clear()
+    j.shingles(" ".join(f"w{k}" for k in range(100_000)).encode())
+    assert len(j._HASHES) <= 1 << 15
+    j._HASHES.clear()
+
+
+def test_bits_of_a_filter_are_set_in_place():
+    hashes = np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 5000)
+    hashes[:4] = [0, -1, 2**63 - 1, -(2**63)]
+    bits = np.zeros((1 << j.FILTER_BITS) // 8, dtype=np.uint8)
+    j._hold(bits, hashes[:3000])
+    j._hold(bits, np.append(hashes[1000:], hashes[:10]))
+    held = np.zeros(1 << j.FILTER_BITS, dtype=bool)
+    held[j._filter_places(hashes)] = True
+    assert (bits == np.packbits(held)).all() and j._may_hold(bits, hashes).all()

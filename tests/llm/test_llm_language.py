@@ -42,6 +42,11 @@ def test_letters():
     assert sizes.tolist() == [3, 0, 0, 2] and len(grams) == 5
 
 
+def test_tables_of_letters_are_small():
+    assert sum(table.nbytes for table in la._letters()) < 4_000_000
+    assert la.letters_of("\U00010400 \uffdc".encode()).dtype == np.uint64
+
+
 def test_held_out_accuracy(spark):
     labels = {r.doc_id: r for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     rows = QUERIES["op6_language"](spark, FOLDER).collect()
