@@ -2,9 +2,9 @@
 
 Texts are cut into words once and stored as word ids.  Every task counts the sequences of
 its part in a trie of word ids whose leaves are hash containers: a container that grows too
-large bursts into one container for each next word.  When a trie holds too much, its
-largest subtrees leave it as sorted runs.  Runs are dealt out by the leading words of their
-phrases and merged there.
+large bursts into one container for each next word.  When the tries of a task, one for each
+language, hold too much together, their largest subtrees leave them as sorted runs.  Runs
+are dealt out by the leading words of their phrases and merged there.
 
 A phrase is no more frequent than any part of it, and most sequences of a corpus are rare.
 So hashes of words are counted first, then those of pairs of frequent words, then those of
@@ -24,16 +24,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placerank.llm.common import batch_iterator, column, small_batches
-from placerank.sources.scratch import written
+from placerank.llm.common import batch_bytes, batch_iterator, column, small_batches
+from placerank.sources.scratch import shuffles_dropped, written
 
 LONGEST = 4
-#: Entries of a container that bursts, of a trie that spills, and of a run of hashes.
+#: Entries of a container that bursts, words and entries in all tries of a task that spill
+#: (about 100 bytes each), and entries of a run of hashes.
 BURST = 1 << 12
-SPILL = 1 << 20
+SPILL = 1 << 19
 HASHES = 1 << 21
-#: Sequences a task gathers before they enter its trie.
-GATHERED_ROWS = 1 << 20
+#: Containers at the root of a trie, before words get their own.
+RANGES = 1 << 10
+#: Sequences a task gathers, in all languages, before they enter its tries.
+GATHERED_ROWS = 1 << 19
 #: A filter has this many bits (8 MB), whatever the corpus holds.
 FILTER_BITS = 26
 _CHUNK = 1 << 14
@@ -42,6 +45,8 @@ _MERGE_PARTS = 64
 PART_PHRASES = 20_000
 #: Rows that leave a task at a time.
 _ROWS = 1 << 16
+#: Bytes of a batch that a task hands to its Python worker.
+BATCH_BYTES = 4 << 20
 #: Bytes of text of one language, and of all, that a task gathers before it cuts them.
 PIECE = 1 << 19
 _GATHERED = 16 << 20
@@ -158,11 +163,49 @@ def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
 
 
 # --- the trie -----------------------------------------------------------------------
+def _packed(ids: Sequence[int]) -> int:
+    """Word ids as one number, 32 bits for each, the first highest; an id stands there plus 1.
+
+    Such a number takes a third of the memory of a tuple.
+    """
+    code = 0
+    for i in ids:
+        code = code << 32 | i + 1
+    return code
+
+
+def _unpacked(code: int) -> tuple[int, ...]:
+    ids = []
+    while code:
+        ids.append((code & 0xFFFFFFFF) - 1)
+        code >>= 32
+    return tuple(reversed(ids))
+
+
+def _coded(sequences: np.ndarray) -> list[int]:
+    """Rows of word ids, packed."""
+    code = [0] * len(sequences)
+    for at in range(0, sequences.shape[1], 2):
+        part = sequences[:, at : at + 2].astype(np.int64) + 1
+        bits = 32 * part.shape[1]
+        number = (part[:, 0] << 32 | part[:, 1] if bits == 64 else part[:, 0]).tolist()
+        code = [a << bits | b for a, b in zip(code, number)] if at else number
+    return code
+
+
+def _cut(code: int) -> tuple[int, int]:
+    """The first word of a packed sequence, and the others, packed."""
+    shift = code.bit_length() - 1 & -32
+    return (code >> shift) - 1, code & (1 << shift) - 1
+
+
 class HatTrie:
     """Counts of sequences of word ids: hash containers under a shallow trie.
 
-    A container is a dictionary from the rest of a sequence to its count.  A node is a list:
-    the count of the sequence that ends there, and a dictionary of children by word id.
+    A container is a dictionary from the rest of a sequence, packed, to its count.  A node is
+    a list: the count of the sequence that ends there, and a dictionary of children by word
+    id.  Most words begin few sequences, so those of one range of ids share a container of the
+    root, at ``~`` of the range, until it bursts into one for each word.
     """
 
     def __init__(self, burst: int = BURST):
@@ -172,36 +215,43 @@ class HatTrie:
         self.size = 0
 
     def add(self, sequence: tuple[int, ...], n: int) -> None:
-        """``sequence`` of two words or more, ``n`` times."""
-        head = sequence[0]
+        """``sequence`` of one word or more, ``n`` times."""
+        self.put(sequence[0], _packed(sequence), n)
+
+    def put(self, head: int, code: int, n: int) -> None:
+        """The packed sequence ``code`` that begins with ``head``, ``n`` times."""
         node, depth = self.root, 0
-        while True:
-            key = sequence[depth]
-            child = node[1].get(key)
-            depth += 1
-            if type(child) is list:
-                if depth == len(sequence):
-                    child[0] += n
-                    return
-                node = child
-                continue
-            if child is None:
-                child = node[1][key] = {}
-            rest = sequence[depth:]
-            before = len(child)
-            child[rest] = child.get(rest, 0) + n
-            if len(child) > before:
-                self.size += 1
-                self.sizes[head] = self.sizes.get(head, 0) + 1
-                if before >= self.burst and depth + 1 < LONGEST:
-                    node[1][key] = self._burst(child)
-            return
+        key = top = head if head in node[1] else ~(head % RANGES)
+        if key == head:
+            code, depth = _cut(code)[1], 1
+        while type(child := node[1].get(key)) is list:
+            if not code:
+                child[0] += n
+                return
+            node, depth = child, depth + 1
+            key, code = _cut(code)
+        if child is None:
+            child = node[1][key] = {}
+        before = len(child)
+        child[code] = child.get(code, 0) + n
+        if len(child) > before:
+            self.size += 1
+            self.sizes[top] = self.sizes.get(top, 0) + 1
+            if before >= self.burst and depth + 1 < LONGEST:
+                found = self._burst(child)
+                if depth:
+                    node[1][key] = found
+                else:
+                    del node[1][key], self.sizes[key]
+                    node[1].update(found[1])
+                    self.sizes.update((word, len(c)) for word, c in found[1].items())
 
     @staticmethod
     def _burst(container: dict) -> list:
-        node: list = [container.pop((), 0), {}]
-        for rest, n in container.items():
-            node[1].setdefault(rest[0], {})[rest[1:]] = n
+        node: list = [container.pop(0, 0), {}]
+        for code, n in container.items():
+            key, rest = _cut(code)
+            node[1].setdefault(key, {})[rest] = n
         return node
 
     def _walk(self, at, prefix: tuple) -> Iterator[tuple[tuple, int]]:
@@ -211,16 +261,16 @@ class HatTrie:
             for key, child in at[1].items():
                 yield from self._walk(child, (*prefix, key))
         else:
-            for rest, n in at.items():
-                yield (*prefix, *rest), n
+            for code, n in at.items():
+                yield prefix + _unpacked(code), n
 
     def spill(self, keep: int) -> Iterator[tuple[tuple, int]]:
         """Whole subtrees, the largest first, until at most ``keep`` entries stay."""
-        for head in sorted(self.sizes, key=self.sizes.get, reverse=True):
+        for top in sorted(self.sizes, key=self.sizes.get, reverse=True):
             if self.size <= keep:
                 return
-            self.size -= self.sizes.pop(head)
-            yield from self._walk(self.root[1].pop(head), (head,))
+            self.size -= self.sizes.pop(top)
+            yield from self._walk(self.root[1].pop(top), (top,) if top >= 0 else ())
 
 
 # --- hashes that may be frequent ------------------------------------------------------
@@ -234,8 +284,9 @@ def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _added(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """One sorted run of distinct hashes and counts from several."""
+    """One sorted run of distinct hashes and counts from several, which are let go of."""
     hashes, counts = (np.concatenate(part) for part in zip(*runs))
+    runs.clear()
     order = np.argsort(hashes)
     hashes, counts = hashes[order], counts[order]
     starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)])
@@ -342,7 +393,7 @@ class Counter:
         self.rows = 0
 
     def add(self, piece: Piece, longest: int, filters: Sequence) -> None:
-        place = np.full(len(piece.words), -1, dtype=np.int64)
+        place = np.full(len(piece.words), -1, dtype=np.int32)
         for size, starts, hashes in piece.sequences(longest, filters):
             local = piece.ids[starts[:, None] + np.arange(size)]
             if size == 1:
@@ -358,11 +409,20 @@ class Counter:
 
     def settle(self) -> None:
         """What is gathered goes into the trie."""
-        for parts in self.held.values():
+        put = self.trie.put
+        while self.held:
+            _, parts = self.held.popitem()
             sequences, counts = _distinct(*(np.concatenate(p) for p in zip(*parts)))
-            for sequence, count in zip(sequences.tolist(), counts.tolist()):
-                self.trie.add(tuple(sequence), count)
-        self.held, self.rows = {}, 0
+            for start in range(0, len(counts), _CHUNK):
+                some = slice(start, start + _CHUNK)
+                heads = sequences[some, 0].tolist()
+                for head, code, n in zip(heads, _coded(sequences[some]), counts[some].tolist()):
+                    put(head, code, n)
+        self.rows = 0
+
+    def size(self) -> int:
+        """Words and entries it holds, without what is gathered."""
+        return len(self.names) + self.trie.size
 
     def run(self, keep: int = 0) -> list[tuple[bytes, int]]:
         """A sorted run of phrases and counts: what has to leave so that ``keep`` entries stay."""
@@ -370,12 +430,19 @@ class Counter:
         names = self.names
         return sorted((b" ".join([names[i] for i in s]), n) for s, n in self.trie.spill(keep))
 
-    def overflow(self) -> list[tuple[bytes, int]]:
-        if len(self.names) > SPILL:
-            found = self.run()
-            self.renew()
-            return found
-        return self.run(SPILL // 2) if self.trie.size > SPILL else []
+    def overflow(self, most: int | None = None) -> list[tuple[bytes, int]]:
+        """A run of half of the entries if it holds more than ``most`` (``SPILL``).
+
+        All leave if its words, which stay until then, would be most of what it holds.
+        """
+        if self.size() <= (SPILL if most is None else most):
+            return []
+        self.settle()
+        if len(self.names) <= self.trie.size // 2:
+            return self.run(self.trie.size // 2)
+        found = self.run()
+        self.renew()
+        return found
 
 
 def _prefix(phrase: bytes) -> bytes:
@@ -386,7 +453,8 @@ def _prefix(phrase: bytes) -> bytes:
 def _runs(tokens: DataFrame, longest: int, filters: Sequence, parts: int) -> DataFrame:
     """Sorted runs of phrases with their counts in a piece of a task, cut in prefix partitions.
 
-    A row is what a run has of one of ``parts`` partitions.
+    A row is what a run has of one of ``parts`` partitions: phrases, none of which has a line
+    feed, with line feeds between them, and counts of eight bytes.
     """
 
     def rows(lang: str, found: list) -> Iterator[pa.RecordBatch]:
@@ -397,7 +465,8 @@ def _runs(tokens: DataFrame, longest: int, filters: Sequence, parts: int) -> Dat
             phrases, counts = zip(*run)
             columns = [
                 pa.array([lang], pa.string()), pa.array([part], pa.int64()),
-                pa.array([phrases], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64())),
+                pa.array([_BREAK.join(phrases)], pa.binary()),
+                pa.array([np.array(counts, dtype="<i8").tobytes()], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "part", "phrases", "counts"])
 
@@ -405,18 +474,19 @@ def _runs(tokens: DataFrame, longest: int, filters: Sequence, parts: int) -> Dat
         bits = [f.value for f in filters]
         counters: dict[str, Counter] = {}
         for piece in _piece_rows(batches):
-            counter = counters.setdefault(piece.lang, Counter())
-            counter.add(piece, longest, bits)
-            yield from rows(piece.lang, counter.overflow())
-            # What all languages of a task hold together is bounded too.
-            if sum(len(c.names) + c.trie.size + c.rows for c in counters.values()) > 6 * SPILL:
+            counters.setdefault(piece.lang, Counter()).add(piece, longest, bits)
+            # What a task holds is bounded in all languages together, however many there are.
+            if sum(c.rows for c in counters.values()) > GATHERED_ROWS:
+                for counter in counters.values():
+                    counter.settle()
+            if sum(c.size() for c in counters.values()) > SPILL:
                 for lang, counter in counters.items():
-                    yield from rows(lang, counter.run())
-                counters = {}
+                    yield from rows(lang, counter.overflow(0))
+                counters = {lang: c for lang, c in counters.items() if c.size()}
         for lang, counter in counters.items():
             yield from rows(lang, counter.run())
 
-    return tokens.mapInArrow(run, "lang string, part long, phrases array<binary>, counts array<long>")
+    return tokens.mapInArrow(run, "lang string, part long, phrases binary, counts binary")
 
 
 def _merged(runs: DataFrame, least: int) -> DataFrame:
@@ -431,8 +501,9 @@ def _merged(runs: DataFrame, least: int) -> DataFrame:
         lang = None
         for batch in batches:
             lang = batch.column(0)[0].as_py()
-            for phrases, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                for phrase, n in zip(phrases, counts):
+            for phrases, counts in zip(batch.column(2), batch.column(3)):
+                numbers = np.frombuffer(counts.as_py(), dtype="<i8").tolist()
+                for phrase, n in zip(phrases.as_py().split(_BREAK), numbers):
                     total[phrase] = total.get(phrase, 0) + n
         found = sorted((phrase, n) for phrase, n in total.items() if n >= least)
         columns = [
@@ -476,13 +547,19 @@ def count_phrases(
         F.coalesce(column(lang).cast("string"), F.lit("und")).alias("lang"),
         column(text).cast("binary").alias("text"),
     )
-    tokens = written(_tokens(texts), "tokens")
-    totals = written(_word_totals(tokens), "totals")
+    spark = df.sparkSession
+
+    def kept(found: DataFrame, label: str) -> DataFrame:
+        with shuffles_dropped(spark), batch_bytes(spark, BATCH_BYTES):
+            return written(found, label)
+
+    tokens = kept(_tokens(texts), "tokens")
+    totals = kept(_word_totals(tokens), "totals")
 
     passing: list[int] = []
 
     def filters_of(lengths: Sequence[int], filters: Sequence) -> list:
-        hashes = written(_frequent_hashes(tokens, lengths, filters, least), "hashes")
+        hashes = kept(_frequent_hashes(tokens, lengths, filters, least), "hashes")
         passing.append(hashes.count())
         return [_bit_filter(hashes.where(F.col("words") == size)) for size in lengths]
 
@@ -493,7 +570,7 @@ def count_phrases(
     filters += longer
     parts = -(-sum(passing) // PART_PHRASES) or 1
     runs = _runs(tokens, longest, filters, parts)
-    return written(_merged(runs, least), "phrases"), totals
+    return kept(_merged(runs, least), "phrases"), totals
 
 
 # --- scores ---------------------------------------------------------------------------

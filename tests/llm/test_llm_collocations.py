@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 from placerank.llm import collocations as c
@@ -130,3 +131,81 @@ def test_no_rows(spark):
 def test_repeated_rows_count_again(spark):
     rows = [("a b", "en")] * 30
     assert ours(spark, rows) == [("en", 1, "a b", 30, 30, 30, 60, 1_000_000)]
+
+
+def test_a_task_holds_no_more_in_many_languages(monkeypatch):
+    monkeypatch.setattr(c, "SPILL", 400)
+    monkeypatch.setattr(c, "GATHERED_ROWS", 100)
+    live, most = [], 0
+
+    class Watched(c.Counter):
+        def __init__(self, *args):
+            super().__init__(*args)
+            live.append(self)
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(c, "Counter", Watched)
+    run = c._runs(Frame(), 4, [], 3)
+    pick = random.Random(7)
+    texts = [(f"l{i % 8}", " ".join(f"w{pick.randrange(30)}" for _ in range(20))) for i in range(200)]
+
+    def batches():
+        nonlocal most
+        for lang, text in texts:
+            words, ids = c.word_ids([text.encode()])
+            yield c.pa.RecordBatch.from_pydict({"lang": [lang], "words": [words], "ids": [ids.tobytes()]})
+            most = max(most, sum(len(x.names) + x.trie.size + x.rows for x in live))
+
+    counted = Counter()
+    for batch in run(batches()):
+        for row in batch.to_pylist():
+            for phrase, n in zip(row["phrases"].split(b"\n"), c.np.frombuffer(row["counts"], "<i8").tolist()):
+                counted[row["lang"], phrase.decode()] += n
+    expected = Counter()
+    for lang, text in texts:
+        words = text.split()
+        for k in range(1, 5):
+            expected.update((lang, " ".join(words[i : i + k])) for i in range(len(words) - k + 1))
+    assert counted == expected and most <= 400 + 100 + 2 * 4 * 20
+
+
+def test_an_entry_takes_few_bytes():
+    trie = c.HatTrie()
+    tracemalloc.start()
+    for word in range(20_000):
+        for i in range(4):
+            trie.add((word, 300 + i, 100_000 + word, 400 + i), 1)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert trie.size == 80_000 and held < 150 * trie.size
+
+
+def test_batches_and_shuffles_are_bounded_while_phrases_are_counted(spark, monkeypatch):
+    names = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"]
+    before, seen = [spark.conf.get(n, None) for n in names], []
+    write = c.written
+
+    def watched(df, label):
+        seen.append([spark.conf.get(n, None) for n in names])
+        return write(df, label)
+
+    monkeypatch.setattr(c, "written", watched)
+    assert ours(spark, [("a b", "en")] * 30) == [("en", 1, "a b", 30, 30, 30, 60, 1_000_000)]
+    assert len(seen) == 6 and all(int(size.rstrip("b")) == c.BATCH_BYTES and drop == "true" for size, drop in seen)
+    after = [spark.conf.get(n, None) for n in names]
+    assert after[0] == before[0] and after[1] in (before[1], "false")
+
+
+def test_batches_are_cut_by_bytes(spark):
+    rows = spark.createDataFrame([(i, "x" * 1000) for i in range(200)], "i long, text string").repartition(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield c.pa.RecordBatch.from_pydict({"n": c.pa.array([batch.num_rows], c.pa.int64())})
+
+    with c.batch_bytes(spark, 20_000):
+        found = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) == 200 and max(found) < 40
