@@ -16,6 +16,7 @@ hold one back; counts are exact and the least count is applied to those.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -163,6 +164,9 @@ def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
 
 
 # --- the trie -----------------------------------------------------------------------
+_SLOTS = struct.Struct(f">{LONGEST}I").unpack
+
+
 def _packed(ids: Sequence[int]) -> int:
     """Word ids as one number, 32 bits for each, the first highest; an id stands there plus 1.
 
@@ -175,11 +179,7 @@ def _packed(ids: Sequence[int]) -> int:
 
 
 def _unpacked(code: int) -> tuple[int, ...]:
-    ids = []
-    while code:
-        ids.append((code & 0xFFFFFFFF) - 1)
-        code >>= 32
-    return tuple(reversed(ids))
+    return tuple([i - 1 for i in _SLOTS(code.to_bytes(4 * LONGEST)) if i])
 
 
 def _coded(sequences: np.ndarray) -> list[int]:
@@ -211,7 +211,6 @@ class HatTrie:
     def __init__(self, burst: int = BURST):
         self.burst = burst
         self.root: list = [0, {}]
-        self.sizes: dict[int, int] = {}
         self.size = 0
 
     def add(self, sequence: tuple[int, ...], n: int) -> None:
@@ -221,30 +220,30 @@ class HatTrie:
     def put(self, head: int, code: int, n: int) -> None:
         """The packed sequence ``code`` that begins with ``head``, ``n`` times."""
         node, depth = self.root, 0
-        key = top = head if head in node[1] else ~(head % RANGES)
+        key = head if head in node[1] else ~(head % RANGES)
         if key == head:
             code, depth = _cut(code)[1], 1
         while type(child := node[1].get(key)) is list:
             if not code:
+                self.size += not child[0]
                 child[0] += n
                 return
             node, depth = child, depth + 1
             key, code = _cut(code)
         if child is None:
             child = node[1][key] = {}
-        before = len(child)
-        child[code] = child.get(code, 0) + n
-        if len(child) > before:
-            self.size += 1
-            self.sizes[top] = self.sizes.get(top, 0) + 1
-            if before >= self.burst and depth + 1 < LONGEST:
-                found = self._burst(child)
-                if depth:
-                    node[1][key] = found
-                else:
-                    del node[1][key], self.sizes[key]
-                    node[1].update(found[1])
-                    self.sizes.update((word, len(c)) for word, c in found[1].items())
+        if known := child.get(code):
+            child[code] = known + n
+            return
+        child[code] = n
+        self.size += 1
+        if len(child) > self.burst and depth + 1 < LONGEST:
+            found = self._burst(child)
+            if depth:
+                node[1][key] = found
+            else:
+                del node[1][key]
+                node[1].update(found[1])
 
     @staticmethod
     def _burst(container: dict) -> list:
@@ -254,24 +253,38 @@ class HatTrie:
             node[1].setdefault(key, {})[rest] = n
         return node
 
-    def _walk(self, at, prefix: tuple) -> Iterator[tuple[tuple, int]]:
+    def _walk(self, at, prefix: tuple) -> Iterator[tuple[tuple, dict]]:
         if type(at) is list:
             if at[0]:
-                yield prefix, at[0]
+                yield prefix, {0: at[0]}
             for key, child in at[1].items():
                 yield from self._walk(child, (*prefix, key))
         else:
-            for code, n in at.items():
-                yield prefix + _unpacked(code), n
+            yield prefix, at
 
-    def spill(self, keep: int) -> Iterator[tuple[tuple, int]]:
-        """Whole subtrees, the largest first, until at most ``keep`` entries stay."""
-        for top in sorted(self.sizes, key=self.sizes.get, reverse=True):
+    def _entries(self, at) -> int:
+        if type(at) is list:
+            return bool(at[0]) + sum(map(self._entries, at[1].values()))
+        return len(at)
+
+    def spill_containers(self, keep: int) -> Iterator[tuple[tuple, dict]]:
+        """Whole subtrees, the largest first, until at most ``keep`` entries stay.
+
+        They come as containers, each with the words above it.
+        """
+        sizes = {top: self._entries(child) for top, child in self.root[1].items()}
+        for top in sorted(sizes, key=sizes.get, reverse=True):
             if self.size <= keep:
                 return
-            self.size -= self.sizes.pop(top)
+            self.size -= sizes[top]
             yield from self._walk(self.root[1].pop(top), (top,) if top >= 0 else ())
 
+    def spill(self, keep: int) -> Iterator[tuple[tuple, int]]:
+        """Sequences and counts of what ``spill_containers`` gives."""
+        for prefix, container in self.spill_containers(keep):
+            for code, n in container.items():
+                yield prefix + _unpacked(code), n
+
 
 # --- hashes that may be frequent ------------------------------------------------------
 def _filter_places(hashes: np.ndarray) -> np.ndarray:
@@ -425,10 +438,19 @@ class Counter:
         return len(self.names) + self.trie.size
 
     def run(self, keep: int = 0) -> list[tuple[bytes, int]]:
-        """A sorted run of phrases and counts: what has to leave so that ``keep`` entries stay."""
+        """Phrases and counts: what has to leave so that ``keep`` entries stay."""
         self.settle()
-        names = self.names
-        return sorted((b" ".join([names[i] for i in s]), n) for s, n in self.trie.spill(keep))
+        names, found = [b"", *self.names], []
+        for prefix, container in self.trie.spill_containers(keep):
+            before = b" ".join([self.names[i] for i in prefix])
+            if ends := container.pop(0, 0):
+                found.append((before, ends))
+            before += b" " if prefix else b""
+            found += [
+                (before + b" ".join([names[i] for i in _SLOTS(code.to_bytes(4 * LONGEST)) if i]), n)
+                for code, n in container.items()
+            ]
+        return found
 
     def overflow(self, most: int | None = None) -> list[tuple[bytes, int]]:
         """A run of half of the entries if it holds more than ``most`` (``SPILL``).
@@ -462,7 +484,7 @@ def _runs(tokens: DataFrame, longest: int, filters: Sequence, parts: int) -> Dat
         for entry in found:
             runs.setdefault(xxhash.xxh64_intdigest(_prefix(entry[0])) % parts, []).append(entry)
         for part, run in runs.items():
-            phrases, counts = zip(*run)
+            phrases, counts = zip(*sorted(run))
             columns = [
                 pa.array([lang], pa.string()), pa.array([part], pa.int64()),
                 pa.array([_BREAK.join(phrases)], pa.binary()),
